@@ -9,6 +9,7 @@ micro-batch replaces its own rows.
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, IntegerType, StructField, StructType
 
 from ledgerlens import schemas
 
@@ -28,13 +29,14 @@ def read_table(spark: SparkSession, where, name: str, schema=None) -> DataFrame:
     if isinstance(where, dict):
         return spark.read.format("jdbc").options(**where).option("dbtable", name).load()
     schema = schema or SCHEMAS.get(name)
+    reader = spark.read if schema is None else spark.read.schema(schema)
     try:
-        found = spark.read.parquet(_folder(where, name))
+        found = reader.parquet(_folder(where, name))
     except AnalysisException as error:
         if schema is None or error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
-    return found.select(*schema.names) if schema is not None else found
+    return found if schema is None else found.select(*schema.names)
 
 
 def append_table(df: DataFrame, where, name: str, day: str = "created_at", epoch: int | None = None) -> None:
@@ -85,3 +87,19 @@ def upsert_hot_features(batch: DataFrame, where: str, epoch: int) -> None:
 
 def read_hot_features(spark: SparkSession, where: str) -> DataFrame:
     return read_table(spark, where, "hot_features", schemas.HOT_FEATURES)
+
+
+def _with_partitions(schema) -> StructType:
+    base = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return StructType([*base.fields, StructField("day", DateType()), StructField("epoch", IntegerType())])
+
+
+def read_table_before(spark: SparkSession, where: str, name: str, epoch: int, schema) -> DataFrame:
+    """Rows that earlier epochs wrote; a repeated batch does not see its own first attempt."""
+    return read_table(spark, where, name, _with_partitions(schema)).filter(F.col("epoch") < epoch)
+
+
+def read_epoch(spark: SparkSession, where: str, name: str, epoch: int, schema) -> DataFrame:
+    """Rows that one epoch wrote."""
+    return read_table(spark, where, name, _with_partitions(schema)).filter(F.col("epoch") == epoch) \
+        .drop("day", "epoch")

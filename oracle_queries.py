@@ -573,3 +573,59 @@ SELECT model_type, round(roc_auc, 6) AS roc_auc, fold,
   TIMESTAMP '1970-01-01' + fold * INTERVAL 1 MINUTE AS started_at
 FROM fold_scores WHERE model_type = 'fast' ORDER BY fold DESC LIMIT 1"""),
 }
+
+# --- streams: a window is out once the watermark, ten minutes behind the newest event, has passed its end -------
+
+_CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM tx)"
+
+
+def _closed(width: str) -> str:
+    return f"WHERE window_start + INTERVAL {width} <= {_CLOSED}"
+
+
+ORACLES |= {
+    "stream_user_stats_24h": _with(TX, STATS, select=f"""
+SELECT user_id, window_start, round(mean_amount, 6) AS mean_amount, round(stddev_amount, 6) AS stddev_amount FROM stats
+{_closed('24 HOUR')}"""),
+    "stream_tx_count_1h": _with(TX, HOURLY, select=f"SELECT * FROM hourly {_closed('1 HOUR')}"),
+    "stream_tx_count_1min": _with(TX, MINUTELY, select=f"SELECT * FROM minutely {_closed('1 MINUTE')}"),
+    "stream_join_window_stats": _with(TX, STATS, _joined("stats", "1 HOUR", 24), select=f"""
+SELECT transaction_id, window_start, round({ZSCORE}, 6) AS amount_zscore FROM joined {_closed('24 HOUR')}"""),
+    "stream_join_hourly_counts": _with(TX, HOURLY, _joined("hourly", "5 MINUTE", 12), select=f"""
+SELECT transaction_id, window_start, tx_count FROM joined {_closed('1 HOUR')}"""),
+    "stream_join_minute_counts": _with(TX, MINUTELY, _joined("minutely", "10 SECOND", 6), select=f"""
+SELECT transaction_id, window_start, tx_count_1min FROM joined {_closed('1 MINUTE')}"""),
+    "stream_trailing_features": ORACLES["trailing_features"],
+    "stream_hot_features": ORACLES["upsert_hot_features"],
+    "stream_side_effects": _with(*FEATURED, select=f"""
+SELECT transaction_id, user_id, device_id, amount, {ISO} AS "timestamp", transactions_last_hour AS session_length,
+  0 AS neighbor_count, 0e0 AS graph_score FROM feat"""),
+    "stream_preprocessed": _with(*FEATURED, select=f"""
+SELECT transaction_id, amount, CAST(hour_of_day AS INTEGER) AS hour_of_day, CAST(day_of_week AS INTEGER) AS day_of_week,
+  round({ZSCORE}, 6) AS amount_zscore, transactions_last_hour, tx_count_1min FROM feat"""),
+    "stream_level0": _with(TX, BODIES, _checked(False), BLACKLIST, GATE, select="""
+SELECT transaction_id, user_id, device_id, verdict, reason FROM events0"""),
+    "stream_level1": _with(*FEATURED, """
+hot AS (
+  SELECT transaction_id, amount,
+    CASE WHEN ts = max(ts) OVER (PARTITION BY user_id) THEN tx_count_1min ELSE 0 END AS n FROM feat
+),
+scored AS (
+  SELECT *, least(1e0, n / 10e0 + CASE WHEN amount > 1000 THEN 0.5e0 ELSE 0e0 END) AS score FROM hot
+)""", select=f"SELECT transaction_id, amount, score, {_policy('score')} AS verdict FROM scored"),
+    "stream_level2": ORACLES["heavy_score"].replace("round(heavy_score, 6) AS heavy_score, ", ""),
+    "stream_decisions": _with(*LEVELS, PER_MESSAGE, select="""
+SELECT transaction_id, final_verdict, reason, ts AS created_at, s1 AS level1_score, s2 AS level2_score FROM made"""),
+    "stream_final_decisions": _with(*LEVELS, PER_MESSAGE, select=f"""
+SELECT transaction_id, final_verdict, reason, {ISO} AS "timestamp" FROM made"""),
+    "stream_open_reviews": _with(*LEVELS, PER_MESSAGE, REVIEWS_PER_MESSAGE, select="SELECT * FROM review"),
+    "read_topic": _with(TX, select="""
+SELECT transaction_id, user_id, amount, merchant_category, ts AS "timestamp", location, device_id, is_fraud,
+  CAST(hour(ts) AS INTEGER) AS hour_of_day, CAST(isodow(ts) - 1 AS INTEGER) AS day_of_week FROM tx"""),
+    "read_ingest_json": _with(TX, BODIES, _checked(False), select="""
+SELECT violations, count(*) AS bodies FROM checked GROUP BY violations"""),
+    "write_features": ORACLES["extract_features"],
+    "read_table": ORACLES["labelled_reviews"],
+    "write_feedback_topic": _with(*LEVELS, COMBINED, REVIEWS, JUDGED, select="""
+SELECT review_id, transaction_id, operator_id, verdict, comment FROM feedback"""),
+}
