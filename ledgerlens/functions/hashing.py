@@ -6,27 +6,24 @@ from pyspark.sql import functions as F
 _CHUNK = 4294967296  # 2^32: the digest is folded eight hex digits at a time
 
 
-def bloom_offsets(value: Column, size: int, hashes: int) -> Column:
-    """array<bigint> of `hashes` offsets: SHA-256(utf8 value + two-byte salt) mod `size`.
+def bloom_digest(value: Column, salt: int) -> Column:
+    """Hex SHA-256 of the utf8 value followed by the two-byte salt."""
+    return F.sha2(F.concat(F.encode(value, "UTF-8"), F.lit(salt.to_bytes(2, "big"))), 256)
+
+
+def digest_offset(digest: Column, size: int) -> Column:
+    """Digest, read as a big-endian number, mod `size`. Give it a column: it reads the digest eight times.
 
     The 256-bit remainder is folded over eight 32-bit chunks, which stays inside
     a bigint as long as size is below 2^31.
     """
     if not 0 < size < 2**31:
         raise ValueError("size must be between 1 and 2^31 - 1")
-    text = F.encode(value, "UTF-8")
-    digests = F.array(*[
-        F.sha2(F.concat(text, F.lit(i.to_bytes(2, "big"))), 256) for i in range(hashes)
-    ])
-
-    def remainder(digest):
-        chunks = F.transform(
-            F.sequence(F.lit(0), F.lit(7)),
-            lambda j: F.conv(F.substring(digest, j * 8 + 1, F.lit(8)), 16, 10).cast("bigint"),
-        )
-        return F.aggregate(chunks, F.lit(0).cast("bigint"), lambda a, c: (a * F.lit(_CHUNK) + c) % F.lit(size))
-
-    return F.when(value.isNotNull(), F.transform(digests, remainder))
+    remainder = F.lit(0).cast("bigint")
+    for start in range(1, 65, 8):
+        chunk = F.conv(F.substring(digest, start, 8), 16, 10).cast("bigint")
+        remainder = (remainder * _CHUNK + chunk) % F.lit(size)
+    return remainder
 
 
 def hash_order(key: Column, seed: int) -> Column:

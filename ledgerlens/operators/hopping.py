@@ -20,25 +20,73 @@ def hop(size_slide: tuple[int, int], timestamp: str = "timestamp") -> Column:
     return F.window(timestamp, f"{size} microseconds", f"{slide} microseconds")
 
 
-# The three aggregates below run in batch and in streams. Spark aggregates
-# partially before the shuffle, so a user with very many rows arrives as one
-# partial row per window and map task.
-
-def user_stats_24h(df: DataFrame) -> DataFrame:
+def window_stats(df: DataFrame) -> DataFrame:
+    """Mean and deviation per user and 24 h window, in the plain form that streams can run, too."""
     return df.groupBy("user_id", hop(STATS_24H).alias("window")).agg(
         F.avg("amount").alias("mean_amount"), F.stddev("amount").alias("stddev_amount")
     )
 
 
+def window_counts(df: DataFrame, size_slide: tuple[int, int], name: str) -> DataFrame:
+    """Transactions per user and window, in the plain form that streams can run, too."""
+    return df.groupBy("user_id", hop(size_slide).alias("window")).agg(F.count("*").alias(name))
+
+
+# In batch the same results are built from one row per (user, slot): the plain
+# form sends every transaction to each of its 24, 12 or 6 windows.
+
+def user_stats_24h(df: DataFrame) -> DataFrame:
+    if df.isStreaming:
+        return window_stats(df)
+    slots = with_pivot(_slots(df, STATS_24H, moments_aggs("amount")))
+    w = F.col("_w")
+    return _all_windows(slots, STATS_24H, moments_over).withColumn("_m", pooled_moments(w)).select(
+        "user_id", "window", mean_of(F.col("_m")).alias("mean_amount"), stddev_of(F.col("_m")).alias("stddev_amount")
+    )
+
+
 def tx_count_1h(df: DataFrame) -> DataFrame:
-    return df.groupBy("user_id", hop(COUNT_1H).alias("window")).agg(F.count("*").alias("tx_count"))
+    return _counts(df, COUNT_1H, "tx_count")
 
 
 def tx_count_1min(df: DataFrame) -> DataFrame:
-    return df.groupBy("user_id", hop(COUNT_1MIN).alias("window")).agg(F.count("*").alias("tx_count_1min"))
+    return _counts(df, COUNT_1MIN, "tx_count_1min")
+
+
+def _counts(df: DataFrame, size_slide: tuple[int, int], name: str) -> DataFrame:
+    if df.isStreaming:
+        return window_counts(df, size_slide, name)
+    slots = _slots(df, size_slide, [F.count("*").alias("n")])
+    return _all_windows(slots, size_slide, _count_over).select("user_id", "window", F.col("_w.n").alias(name))
+
+
+def _count_over(frame):
+    return [F.sum("n").over(frame).alias("n")]
+
+
+def _slots(df: DataFrame, size_slide: tuple[int, int], aggregates) -> DataFrame:
+    """Aggregates per (user, slot), a slot being as wide as the windows' slide."""
+    slot = times.slot(times.micros(F.col("timestamp")), size_slide[1])
+    return df.filter(F.col("timestamp").isNotNull()).groupBy("user_id", slot.alias("_slot")).agg(*aggregates)
+
+
+def _all_windows(slots: DataFrame, size_slide: tuple[int, int], measures) -> DataFrame:
+    """Every window that holds a transaction, once: it is taken from the first of its slots that has any."""
+    size, slide = size_slide
+    before = F.lag("_slot").over(Window.partitionBy("user_id").orderBy("_slot"))
+    unfolded = _per_slot_windows(slots.withColumn("_before", before), size // slide, measures, "_before").select(
+        "user_id", "_before", F.explode("_windows").alias("_w")
+    )
+    first = F.col("_w.first_slot")
+    window = F.struct(
+        times.slot_start(first, slide).alias("start"), times.slot_start(first + size // slide, slide).alias("end")
+    )
+    return unfolded.filter(F.col("_before").isNull() | (first > F.col("_before"))).select(
+        "user_id", window.alias("window"), "_w"
+    )
 
 
-def _per_slot_windows(slots: DataFrame, hops: int, measures) -> DataFrame:
+def _per_slot_windows(slots: DataFrame, hops: int, measures, *keep: str) -> DataFrame:
     """For every (user, slot) an array with one struct per window that covers the slot.
 
     The window that starts i slots earlier spans the slots from -i to hops - 1 - i
@@ -46,14 +94,13 @@ def _per_slot_windows(slots: DataFrame, hops: int, measures) -> DataFrame:
     hold at most 2 * hops - 1 rows, and a user has one row per slot, however many
     transactions fall in it.
     """
-    user = Window.partitionBy("user_id")
-    ordered = user.orderBy("_slot")
+    ordered = Window.partitionBy("user_id").orderBy("_slot")
 
     def window(i):
         frame = ordered.rangeBetween(-i, hops - 1 - i)
         return F.struct((F.col("_slot") - i).alias("first_slot"), *measures(frame))
 
-    return slots.select("user_id", "_slot", F.array(*[window(i) for i in range(hops - 1, -1, -1)]).alias("_windows"))
+    return slots.select("user_id", "_slot", *keep, F.array(*[window(i) for i in range(hops - 1, -1, -1)]).alias("_windows"))
 
 
 def _join_windows(df: DataFrame, size_slide, slot_aggs, prepare, measures, outputs) -> DataFrame:
@@ -67,8 +114,7 @@ def _join_windows(df: DataFrame, size_slide, slot_aggs, prepare, measures, outpu
     size, slide = size_slide
     slot = times.slot(times.micros(F.col("timestamp")), slide)
     placed = df.withColumn("_slot", slot)
-    known = df.filter(F.col("user_id").isNotNull() & F.col("timestamp").isNotNull())
-    slots = known.groupBy("user_id", slot.alias("_slot")).agg(*slot_aggs)
+    slots = _slots(df.filter(F.col("user_id").isNotNull()), size_slide, slot_aggs)
     windows = _per_slot_windows(prepare(slots), size // slide, measures)
     joined = placed.join(windows, ["user_id", "_slot"], "left")
     return joined.select(
@@ -83,24 +129,16 @@ def _join_windows(df: DataFrame, size_slide, slot_aggs, prepare, measures, outpu
 
 def join_window_stats(df: DataFrame) -> DataFrame:
     """Every transaction with mean and deviation of each 24 h window that holds it (24 per row)."""
-    moments = moments_aggs("amount")
+    def outputs(w):
+        moments = pooled_moments(w)
+        return [mean_of(moments).alias("mean_amount"), stddev_of(moments).alias("stddev_amount")]
 
-    def measures(frame):
-        return moments_over(frame, pivot="_pivot")
-
-    return _join_windows(
-        df, STATS_24H, moments,
-        lambda slots: slots.withColumn("_pivot", F.avg("mean").over(Window.partitionBy("user_id"))),
-        measures,
-        lambda w: [mean_of(w).alias("mean_amount"), stddev_of(w).alias("stddev_amount")],
-    )
+    return _join_windows(df, STATS_24H, moments_aggs("amount"), with_pivot, moments_over, outputs)
 
 
 def _join_counts(df: DataFrame, size_slide, name: str) -> DataFrame:
     return _join_windows(
-        df, size_slide, [F.count("*").alias("n")], lambda slots: slots,
-        lambda frame: [F.sum("n").over(frame).alias("n")],
-        lambda w: [w["n"].alias(name)],
+        df, size_slide, [F.count("*").alias("n")], lambda slots: slots, _count_over, lambda w: [w["n"].alias(name)],
     )
 
 
@@ -141,35 +179,59 @@ def default_counts(df: DataFrame, *names: str) -> DataFrame:
 
 
 # --- moments: count, mean and squared deviations that can be merged -----------
+#
+# A moments struct has n, mean, m2 (sum of squared distances from the mean),
+# lowest and highest. Raw aggregates and their combination are kept apart,
+# because a window aggregate is evaluated once for every place it appears in.
 
-def moments_aggs(value: str, only: Column | None = None):
-    """Aggregates of `value`, restricted to rows where `only` holds."""
-    x = F.col(value) if only is None else F.when(only, F.col(value))
-    n = F.count(x)
+def moments_aggs(value: str):
+    """Raw moments of `value` in a group."""
     return [
-        n.alias("n"), F.avg(x).alias("mean"), (F.var_pop(x) * n).alias("m2"),
-        F.min(x).alias("lowest"), F.max(x).alias("highest"),
+        F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("variance"),
+        F.min(value).alias("lowest"), F.max(value).alias("highest"),
     ]
 
 
-def moments_over(frame, pivot: str):
-    """Moments of the union of the rows in a window frame, each row being a moments row.
+def direct_moments(raw: Column) -> Column:
+    """Moments struct from raw moments."""
+    return F.struct(
+        raw["n"].alias("n"), raw["mean"].alias("mean"), (raw["variance"] * raw["n"]).alias("m2"),
+        raw["lowest"].alias("lowest"), raw["highest"].alias("highest"),
+    )
 
-    Means are compared with a pivot of similar size (the user's own level), so
+
+def with_pivot(groups: DataFrame) -> DataFrame:
+    """Prepare rows of raw moments per user for moments_over.
+
+    Means are compared with a pivot of similar size, the user's own level, so
     that large amounts with a small spread keep their precision.
     """
-    shifted = F.col("mean") - F.col(pivot)
-    n = F.sum("n").over(frame)
-    first = F.sum(F.col("n") * shifted).over(frame)
-    second = F.sum(F.col("m2") + F.col("n") * shifted * shifted).over(frame)
-    offset = first / F.nullif(n, F.lit(0))
+    pivoted = groups.withColumn("_pivot", F.avg("mean").over(Window.partitionBy("user_id")))
+    shifted = F.col("mean") - F.col("_pivot")
+    return pivoted.withColumns({
+        "_first": F.col("n") * shifted, "_second": F.col("n") * (F.col("variance") + shifted * shifted),
+    })
+
+
+def moments_over(frame):
+    """Raw sums over the rows of a window frame, each row being raw moments with a pivot."""
     return [
-        n.alias("n"), (F.col(pivot) + offset).alias("mean"),
-        F.greatest(second - first * offset, F.lit(0.0)).alias("m2"),
-        F.min("lowest").over(frame).alias("lowest"), F.max("highest").over(frame).alias("highest"),
+        F.sum("n").over(frame).alias("n"), F.sum("_first").over(frame).alias("first"),
+        F.sum("_second").over(frame).alias("second"), F.min("lowest").over(frame).alias("lowest"),
+        F.max("highest").over(frame).alias("highest"), F.col("_pivot").alias("pivot"),
     ]
 
 
+def pooled_moments(raw: Column) -> Column:
+    """Moments struct from the raw sums of moments_over."""
+    offset = raw["first"] / F.nullif(raw["n"], F.lit(0))
+    return F.struct(
+        raw["n"].alias("n"), (raw["pivot"] + offset).alias("mean"),
+        F.greatest(raw["second"] - raw["first"] * offset, F.lit(0.0)).alias("m2"),
+        raw["lowest"].alias("lowest"), raw["highest"].alias("highest"),
+    )
+
+
 def merge_moments(parts: list[Column]) -> Column:
     """One moments struct from several disjoint ones; absent or empty parts count as nothing."""
     def count(p):

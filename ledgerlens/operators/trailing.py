@@ -6,39 +6,76 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import scoring, times
 from ledgerlens.functions.times import DAY, HOUR, MINUTE
 from ledgerlens.operators.hopping import (
-    amount_zscore, mean_of, merge_moments, moments_aggs, moments_over, stddev_of,
+    amount_zscore, direct_moments, mean_of, merge_moments, moments_aggs, moments_over, pooled_moments, stddev_of,
+    with_pivot,
 )
 
 _SHIFTS = (MINUTE, HOUR, DAY)
 
+# A user with more transactions than this on any day is worked on minute by minute.
+BUSY_DAY = 1_000
 
-def trailing_features(df: DataFrame) -> DataFrame:
+
+def trailing_features(df: DataFrame, busy_day: int = BUSY_DAY) -> DataFrame:
     """One row per transaction with trailing 24 h mean, deviation and z-score, 1 h and 1 min counts.
 
-    Frames include the transaction itself and others of the user at the same instant.
+    Frames include the transaction itself and others of the user at the same
+    instant. Rows without user or time have both counts 1 and no statistics.
+
+    Most users get plain range windows: one shuffle, and frames of at most two
+    busy days. A hot user would fill a single task and recompute a long frame for
+    every row, so users above `busy_day` take another path with the same result.
+    They are found by counts that are combined before the shuffle; where there
+    are none, adaptive execution drops that path.
+    """
+    usable = F.col("user_id").isNotNull() & F.col("timestamp").isNotNull()
+    # Rows that belong to no user are spread by input partition instead of forming one huge key.
+    key = F.when(usable, F.concat(F.lit("u"), F.col("user_id"))).otherwise(
+        F.concat(F.lit("-"), F.spark_partition_id().cast("string"))
+    )
+    day = times.slot(times.micros(F.col("timestamp")), DAY)
+    busy = df.filter(usable).groupBy("user_id", day.alias("day")).agg(F.count("*").alias("n")) \
+        .filter(F.col("n") > busy_day).select(F.concat(F.lit("u"), F.col("user_id")).alias("_key")).distinct()
+    keyed = df.withColumn("_key", key)
+    calm = _plain_frames(keyed.join(busy, "_key", "left_anti"), usable)
+    hot = _minute_frames(keyed.join(busy, "_key", "left_semi").select(*df.columns))
+    columns = [*df.columns, *_FRAMED]
+    return amount_zscore(calm.select(*columns).unionByName(hot.select(*columns)))
+
+
+_FRAMED = ["mean_amount", "stddev_amount", "transactions_last_hour", "tx_count_1min"]
 
-    A range window partitioned by user would put all rows of a user in one task
-    and recompute a day of rows for each of them. Here work is cut by (user,
-    minute). With m the minute of a transaction, the frame [t - W, t] is made of
+
+def _plain_frames(keyed: DataFrame, usable) -> DataFrame:
+    ordered = Window.partitionBy("_key").orderBy(times.micros(F.col("timestamp")))
+    day, hour, minute = (ordered.rangeBetween(-width, Window.currentRow) for width in (DAY, HOUR, MINUTE))
+    return keyed.withColumns({
+        "mean_amount": F.when(usable, F.avg("amount").over(day)),
+        "stddev_amount": F.when(usable, F.stddev("amount").over(day)),
+        "transactions_last_hour": F.when(usable, F.count("*").over(hour)).otherwise(1),
+        "tx_count_1min": F.when(usable, F.count("*").over(minute)).otherwise(1),
+    })
+
+
+def _minute_frames(df: DataFrame) -> DataFrame:
+    """The same frames for users of any size, cut by (user, minute).
+
+    With m the minute of a transaction, the frame [t - W, t] is made of
       - rows of minute m up to t,
       - whole minutes in between, from pre-aggregated minute rows,
       - rows of minute m - W at or after t - W; these are copied to minute m
         with their time shifted by W, as narrow (user, time, amount) rows.
     Each part is a frame that only grows, so the cost per row is constant and no
-    task holds more than one user's minute. Rows without user or time pass through
-    with both counts 1 and no statistics.
+    task holds more than one user's minute.
     """
-    usable = F.col("user_id").isNotNull() & F.col("timestamp").isNotNull()
-    shifts = F.when(usable, F.array(*[F.lit(shift).cast("bigint") for shift in (0, *_SHIFTS)])).otherwise(
-        F.array(F.lit(0).cast("bigint"))
-    )
+    shifts = F.array(*[F.lit(shift).cast("bigint") for shift in (0, *_SHIFTS)])
     copies = df.select(
-        "user_id", "amount", F.struct(*df.columns).alias("row"), usable.alias("usable"),
+        "user_id", "amount", F.struct(*df.columns).alias("row"),
         times.micros(F.col("timestamp")).alias("us"), F.explode(shifts).alias("shift"),
     ).select(
-        "user_id", "amount", "shift", "usable", (F.col("us") + F.col("shift")).alias("at"),
+        "user_id", "amount", "shift", (F.col("us") + F.col("shift")).alias("at"),
         F.when(F.col("shift") == 0, F.col("row")).alias("row"),
-    ).withColumn("minute", times.slot_or_spread(F.col("usable"), times.slot(F.col("at"), MINUTE)))
+    ).withColumn("minute", times.slot(F.col("at"), MINUTE))
 
     def only(shift):
         return F.col("shift") == shift
@@ -50,49 +87,46 @@ def trailing_features(df: DataFrame) -> DataFrame:
     def count_over(frame, shift):
         return F.count(F.when(only(shift), 1)).over(frame)
 
-    def moments_in(frame, shift):
+    def raw_moments(frame, shift):
         x = F.when(only(shift), F.col("amount"))
-        n = F.count(x).over(frame)
         return F.struct(
-            n.alias("n"), F.avg(x).over(frame).alias("mean"), (F.var_pop(x).over(frame) * n).alias("m2"),
+            F.count(x).over(frame).alias("n"), F.avg(x).over(frame).alias("mean"),
+            F.var_pop(x).over(frame).alias("variance"),
             F.min(x).over(frame).alias("lowest"), F.max(x).over(frame).alias("highest"),
         )
 
     edges = copies.select(
-        "user_id", "minute", "shift", "usable", "row",
-        count_over(until, 0).alias("n_until"), moments_in(until, 0).alias("m_until"),
+        "user_id", "minute", "shift", "row",
+        count_over(until, 0).alias("n_until"), raw_moments(until, 0).alias("m_until"),
         count_over(since, MINUTE).alias("n_minute"), count_over(since, HOUR).alias("n_hour"),
-        moments_in(since, DAY).alias("m_since"),
+        raw_moments(since, DAY).alias("m_since"),
     ).filter(only(0))
 
-    joined = edges.join(_whole_minutes(df.filter(usable)), ["user_id", "minute"], "left")
-    moments = merge_moments([F.col("m_until"), F.col("m_between"), F.col("m_since")])
-    known = F.col("usable")
-    featured = joined.withColumn("moments", moments).select(
+    joined = edges.join(_whole_minutes(df), ["user_id", "minute"])
+    moments = merge_moments([
+        direct_moments(F.col("m_until")), pooled_moments(F.col("m_between")), direct_moments(F.col("m_since")),
+    ])
+    return joined.withColumn("moments", moments).select(
         "row.*",
-        F.when(known, mean_of(F.col("moments"))).alias("mean_amount"),
-        F.when(known, stddev_of(F.col("moments"))).alias("stddev_amount"),
-        F.when(known, F.col("n_until") + F.coalesce("n_between", F.lit(0)) + F.col("n_hour")).otherwise(1)
-        .alias("transactions_last_hour"),
-        F.when(known, F.col("n_until") + F.col("n_minute")).otherwise(1).alias("tx_count_1min"),
+        mean_of(F.col("moments")).alias("mean_amount"), stddev_of(F.col("moments")).alias("stddev_amount"),
+        (F.col("n_until") + F.coalesce("n_between", F.lit(0)) + F.col("n_hour")).alias("transactions_last_hour"),
+        (F.col("n_until") + F.col("n_minute")).alias("tx_count_1min"),
     )
-    return amount_zscore(featured)
 
 
 def _whole_minutes(known: DataFrame) -> DataFrame:
-    """Per (user, minute): moments of the 1,439 and count of the 59 whole minutes before it."""
+    """Per (user, minute): raw moments of the 1,439 and count of the 59 whole minutes before it."""
     minute = times.slot(times.micros(F.col("timestamp")), MINUTE)
     minutes = known.groupBy("user_id", minute.alias("minute")).agg(
         F.count("*").alias("transactions"), *moments_aggs("amount")
     )
-    user = Window.partitionBy("user_id")
-    day = user.orderBy("minute").rangeBetween(1 - DAY // MINUTE, -1)
-    hour = user.orderBy("minute").rangeBetween(1 - HOUR // MINUTE, -1)
-    pivoted = minutes.withColumn("_pivot", F.avg("mean").over(user))
-    return pivoted.select(
+    ordered = Window.partitionBy("user_id").orderBy("minute")
+    day = ordered.rangeBetween(1 - DAY // MINUTE, -1)
+    hour = ordered.rangeBetween(1 - HOUR // MINUTE, -1)
+    return with_pivot(minutes).select(
         "user_id", "minute",
-        F.struct(*moments_over(day, pivot="_pivot")).alias("m_between"),
-        F.coalesce(F.sum("transactions").over(hour), F.lit(0)).alias("n_between"),
+        F.struct(*moments_over(day)).alias("m_between"),
+        F.sum("transactions").over(hour).alias("n_between"),
     )
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions import hashing, scoring, times
+from ledgerlens.functions import scoring, times
 from ledgerlens.operators import (
     alerts, bloom, decisions, hopping, learning, level0, level1, level2, metrics, parse, profiles, reports, reviews,
     trailing,
@@ -206,9 +206,8 @@ def route_l0_quarantined(spark, d):
 
 @query
 def bloom_offsets(spark, d):
-    offsets = hashing.bloom_offsets(F.col("device_id"), bloom.GATE_SIZE, bloom.GATE_HASHES)
-    return transactions(spark, d).select(
-        "transaction_id", F.posexplode(offsets).alias("hash", "offset")
+    return bloom.bloom_offsets(transactions(spark, d), "device_id", bloom.GATE_SIZE, bloom.GATE_HASHES).select(
+        "transaction_id", "hash", "offset"
     )
 
 

@@ -2,14 +2,21 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, TimestampType
+from pyspark.sql.types import TimestampType
 
-DIGITS = 6
+_SCALE = 1e6  # six places
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
-    """Summation order differs between engines, so computed doubles are compared to six places."""
-    return df.withColumns({n: F.round(F.col(n), DIGITS) for n in names}) if names else df
+    """Summation order differs between engines, so computed doubles are compared to six places.
+
+    Scaled and floored, halves away from zero: the built-in round of doubles goes
+    through decimals, which costs more than most of the queries.
+    """
+    def six_places(c):
+        return F.signum(c) * F.floor(F.abs(c) * _SCALE + 0.5) / _SCALE + F.lit(0.0)
+
+    return df.withColumns({n: six_places(F.col(n)) for n in names}) if names else df
 
 
 def plain_times(df: DataFrame) -> DataFrame:
@@ -32,7 +39,3 @@ def decision_columns(df: DataFrame) -> list[Column]:
         F.col("level1.score").alias("level1_score"), F.col("level1.verdict").alias("level1_verdict"),
         F.col("level2.heavy_score_clamped").alias("level2_score"), F.col("level2.verdict").alias("level2_verdict"),
     ]
-
-
-def doubles(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, DoubleType)]

@@ -19,10 +19,16 @@ def _training(spark, d):
     return folder, *learning.split_holdout(spark.read.parquet(f"{folder}/features"), "review_id")
 
 
+_RUNS = {}
+
+
 def _trained(spark, d):
-    folder, train, holdout = _training(spark, d)
-    runs = learning.train_candidates(train, f"{folder}/models")
-    return folder, runs, holdout
+    """One training run per application and input: the queries below look at different parts of it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _RUNS:
+        folder, train, holdout = _training(spark, d)
+        _RUNS[key] = folder, learning.train_candidates(train, f"{folder}/models"), holdout
+    return _RUNS[key]
 
 
 @query
