@@ -103,8 +103,8 @@ def _per_slot_windows(slots: DataFrame, hops: int, measures, *keep: str) -> Data
     return slots.select("user_id", "_slot", *keep, F.array(*[window(i) for i in range(hops - 1, -1, -1)]).alias("_windows"))
 
 
-def _join_windows(df: DataFrame, size_slide, slot_aggs, prepare, measures, outputs) -> DataFrame:
-    """Left join of each row with all windows that hold it.
+def _join_windows(df: DataFrame, source: DataFrame, size_slide, slot_aggs, prepare, measures, outputs) -> DataFrame:
+    """Left join of each row with all windows of `source` that hold it.
 
     Rows are not multiplied before the shuffle: they meet their slot's array of
     windows in an equi join on (user, slot), one row per key on that side, and
@@ -114,7 +114,7 @@ def _join_windows(df: DataFrame, size_slide, slot_aggs, prepare, measures, outpu
     size, slide = size_slide
     slot = times.slot(times.micros(F.col("timestamp")), slide)
     placed = df.withColumn("_slot", slot)
-    slots = _slots(df.filter(F.col("user_id").isNotNull()), size_slide, slot_aggs)
+    slots = _slots(source.filter(F.col("user_id").isNotNull()), size_slide, slot_aggs)
     windows = _per_slot_windows(prepare(slots), size // slide, measures)
     joined = placed.join(windows, ["user_id", "_slot"], "left")
     return joined.select(
@@ -133,38 +133,41 @@ def join_window_stats(df: DataFrame) -> DataFrame:
         moments = pooled_moments(w)
         return [mean_of(moments).alias("mean_amount"), stddev_of(moments).alias("stddev_amount")]
 
-    return _join_windows(df, STATS_24H, moments_aggs("amount"), with_pivot, moments_over, outputs)
+    return _join_windows(df, df, STATS_24H, moments_aggs("amount"), with_pivot, moments_over, outputs)
 
 
-def _join_counts(df: DataFrame, size_slide, name: str) -> DataFrame:
+def _join_counts(df: DataFrame, source: DataFrame | None, size_slide, name: str) -> DataFrame:
     return _join_windows(
-        df, size_slide, [F.count("*").alias("n")], lambda slots: slots, _count_over, lambda w: [w["n"].alias(name)],
+        df, df if source is None else source, size_slide, [F.count("*").alias("n")], lambda slots: slots, _count_over,
+        lambda w: [w["n"].alias(name)],
     )
 
 
-def join_hourly_counts(df: DataFrame) -> DataFrame:
-    """Every transaction with the count of each 1 h window that holds it (12 per row)."""
-    return _join_counts(df, COUNT_1H, "tx_count")
+def join_hourly_counts(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """Every transaction with the count of each 1 h window that holds it (12 per row).
+
+    The counted transactions are those of `source`, by default the same rows.
+    """
+    return _join_counts(df, source, COUNT_1H, "tx_count")
 
 
-def join_minute_counts(df: DataFrame) -> DataFrame:
+def join_minute_counts(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """Every transaction with the count of each 1 min window that holds it (6 per row)."""
-    return _join_counts(df, COUNT_1MIN, "tx_count_1min")
+    return _join_counts(df, source, COUNT_1MIN, "tx_count_1min")
 
 
 def hopping_features(df: DataFrame) -> DataFrame:
     """The three joins in a row: 24 * 12 * 6 rows per transaction.
 
     Kept for its exact semantics; trailing_features gives one row per transaction.
+    Counts are those of the transactions, not of the rows the first join unfolds.
     """
     drop = ("window_start", "window_end")
     stats = amount_zscore(join_window_stats(df).drop(*drop)).drop("mean_amount", "stddev_amount")
-    hourly = join_hourly_counts(stats).drop(*drop).withColumn(
-        "transactions_last_hour", scoring.default_count(F.col("tx_count"))
-    ).drop("tx_count")
-    return join_minute_counts(hourly).drop(*drop).withColumn(
-        "tx_count_1min", scoring.default_count(F.col("tx_count_1min"))
+    hourly = default_counts(join_hourly_counts(stats, df).drop(*drop), "tx_count").withColumnRenamed(
+        "tx_count", "transactions_last_hour"
     )
+    return default_counts(join_minute_counts(hourly, df).drop(*drop), "tx_count_1min")
 
 
 def amount_zscore(df: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ledgerlens.functions import scoring
 from ledgerlens.operators.parse import message_time
@@ -52,7 +53,7 @@ def onnx_scores(df: DataFrame, model_path: str, count: str = "tx_count_1min") ->
         name = session.get_inputs()[0].name
         return lambda rows: session.run(None, {name: rows.astype(np.float32)})[0][:, 0].astype(np.float64)
 
-    predict = predict_batch_udf(load, return_type="double", batch_size=10_000, input_tensor_shapes=[[2]])
+    predict = predict_batch_udf(load, return_type=DoubleType(), batch_size=10_000, input_tensor_shapes=[[2]])
     inputs = F.array(F.coalesce("amount", F.lit(0.0)), F.coalesce(F.col(count).cast("double"), F.lit(0.0)))
     scored = df.withColumn("_predicted", predict(inputs)).withColumn(
         "score", F.when(F.col("amount").isNull(), plain).otherwise(scoring.clamp01(F.col("_predicted")))

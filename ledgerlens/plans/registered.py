@@ -8,7 +8,7 @@ from ledgerlens.operators import (
     alerts, bloom, decisions, hopping, learning, level0, level1, level2, metrics, parse, profiles, reports, reviews,
     trailing,
 )
-from ledgerlens.plans import canonical, pipeline
+from ledgerlens.plans import canonical, flow
 from ledgerlens.plans.canonical import transactions
 from ledgerlens.plans.shapes import decision_columns, joined_text, plain_times, rounded, with_window_bounds
 
@@ -53,7 +53,7 @@ def time_features(spark, d):
 
 @query
 def to_value(spark, d):
-    messages = parse.to_value(pipeline.features(transactions(spark, d)).select("transaction_id", "amount", "is_fraud"))
+    messages = parse.to_value(flow.features(transactions(spark, d)).select("transaction_id", "amount", "is_fraud"))
     return parse.from_value(messages, "transaction_id string, amount double, is_fraud boolean")
 
 
@@ -99,6 +99,16 @@ def amount_zscore(spark, d):
     return rounded(scored.select("transaction_id", "window_start", "amount_zscore"), "amount_zscore")
 
 
+@query
+def hopping_features(spark, d):
+    """All 1,728 rows of every transaction, added up per transaction."""
+    return rounded(hopping.hopping_features(transactions(spark, d)).groupBy("transaction_id").agg(
+        F.count("*").alias("feature_rows"), F.avg("amount_zscore").alias("amount_zscore"),
+        F.sum("transactions_last_hour").alias("transactions_last_hour"), F.sum("tx_count_1min").alias("tx_count_1min"),
+        F.max(F.col("transactions_last_hour") * F.col("tx_count_1min")).alias("highest_product"),
+    ), "amount_zscore")
+
+
 @query
 def default_count(spark, d):
     """Counts of the windows that start with the transaction's own slot; other transactions have none there."""
@@ -121,12 +131,12 @@ def trailing_features(spark, d):
 
 @query
 def enriched_projection(spark, d):
-    return rounded(trailing.enriched_projection(pipeline.features(transactions(spark, d))), "amount_zscore")
+    return rounded(trailing.enriched_projection(flow.features(transactions(spark, d))), "amount_zscore")
 
 
 @query
 def upsert_hot_features(spark, d):
-    return trailing.hot_features(pipeline.features(transactions(spark, d)))
+    return trailing.hot_features(flow.features(transactions(spark, d)))
 
 
 def _published_features(spark, d) -> DataFrame:
@@ -231,29 +241,29 @@ def bloom_contains(spark, d):
 
 @query
 def fast_score(spark, d):
-    return pipeline.score_transactions(transactions(spark, d)).select("transaction_id", "tx_count_1min", "score")
+    return flow.score_transactions(transactions(spark, d)).select("transaction_id", "tx_count_1min", "score")
 
 
 @query
 def policy_decision(spark, d):
-    return pipeline.score_transactions(transactions(spark, d)).groupBy("verdict").agg(
+    return flow.score_transactions(transactions(spark, d)).groupBy("verdict").agg(
         F.count("*").alias("transactions"), F.sum("tx_count_1min").alias("tx_count_1min")
     )
 
 
 @query
 def l1_actions(spark, d):
-    return pipeline.level1_messages(transactions(spark, d))
+    return flow.level1_messages(transactions(spark, d))
 
 
 @query
 def route_quarantined(spark, d):
-    return level1.route_quarantined(pipeline.level1_messages(transactions(spark, d)))
+    return level1.route_quarantined(flow.level1_messages(transactions(spark, d)))
 
 
 @query
 def heavy_payload(spark, d):
-    payload = level2.heavy_payload(pipeline.features(transactions(spark, d)))
+    payload = level2.heavy_payload(flow.features(transactions(spark, d)))
     return payload.select(
         "transaction_id", "user_id", "device_id", "amount", "timestamp", "session_features.session_length",
         F.size("session_features.recent_amounts").alias("recent_amounts"), "graph_features.neighbor_count",
@@ -280,8 +290,8 @@ def heavy_score(spark, d):
 def level2_inputs(spark, d):
     tx = transactions(spark, d)
     messages = level2.level2_inputs(
-        level2.heavy_payload(pipeline.features(tx)),
-        level1.route_quarantined(pipeline.level1_messages(tx)),
+        level2.heavy_payload(flow.features(tx)),
+        level1.route_quarantined(flow.level1_messages(tx)),
         level0.route_l0_quarantined(_gate(spark, d)),
     )
     return level2.level2_from_messages(messages).select(
@@ -293,13 +303,13 @@ def level2_inputs(spark, d):
 
 @query
 def decisions_per_message(spark, d):
-    made = decisions.decisions_per_message(pipeline.level_messages(transactions(spark, d)))
+    made = decisions.decisions_per_message(flow.level_messages(transactions(spark, d)))
     return made.select("transaction_id", "final_verdict", "reason", *decision_columns(made))
 
 
 def _routed(spark, d) -> tuple[DataFrame, DataFrame]:
     """Level 1 messages, and level 2 verdicts of the quarantined ones only."""
-    l1 = pipeline.level1_messages(transactions(spark, d))
+    l1 = flow.level1_messages(transactions(spark, d))
     return l1, level2.level2_from_messages(parse.to_value(level1.route_quarantined(l1)))
 
 
@@ -317,13 +327,13 @@ def apply_business_rules(spark, d):
 
 @query
 def decisions_combined(spark, d):
-    made = pipeline.combined_decisions(transactions(spark, d))
+    made = flow.combined_decisions(transactions(spark, d))
     return made.select("transaction_id", "final_verdict", "reason", *decision_columns(made))
 
 
 @query
 def final_decision(spark, d):
-    made = pipeline.combined_decisions(transactions(spark, d))
+    made = flow.combined_decisions(transactions(spark, d))
     return decisions.final_decision(made, at=decisions.message_instant(made)).select(
         "transaction_id", "final_verdict", "reason", "timestamp", F.col("level1.amount").alias("amount")
     )
@@ -331,7 +341,7 @@ def final_decision(spark, d):
 
 @query
 def only_escalated(spark, d):
-    return decisions.only_escalated(pipeline.combined_decisions(transactions(spark, d))).select(
+    return decisions.only_escalated(flow.combined_decisions(transactions(spark, d))).select(
         "transaction_id", "reason"
     )
 
@@ -339,7 +349,7 @@ def only_escalated(spark, d):
 @query
 def level_scores(spark, d):
     """Per message, so that one of the two scores is always missing."""
-    made = decisions.decisions_per_message(pipeline.level_messages(transactions(spark, d)))
+    made = decisions.decisions_per_message(flow.level_messages(transactions(spark, d)))
     return decisions.level_scores(made).select("transaction_id", "reason", "level1_score", "level2_score")
 
 
@@ -354,7 +364,7 @@ def detection_path(spark, d):
 
 @query
 def open_reviews(spark, d):
-    return pipeline.review_table(transactions(spark, d)).drop("detection_path")
+    return flow.review_table(transactions(spark, d)).drop("detection_path")
 
 
 # --- reviews ------------------------------------------------------------------------------
@@ -362,7 +372,7 @@ def open_reviews(spark, d):
 @query
 def pending_reviews(spark, d):
     tx = transactions(spark, d)
-    snapshot, _ = reviews.judge_reviews(pipeline.review_table(tx), canonical.judgements(spark, d))
+    snapshot, _ = reviews.judge_reviews(flow.review_table(tx), canonical.judgements(spark, d))
     return reviews.pending_reviews(snapshot).drop("detection_path")
 
 
@@ -373,32 +383,32 @@ def valid_judgements(spark, d):
 
 @query
 def match_reviews(spark, d):
-    return reviews.match_reviews(canonical.judgements(spark, d), pipeline.review_table(transactions(spark, d)))
+    return reviews.match_reviews(canonical.judgements(spark, d), flow.review_table(transactions(spark, d)))
 
 
 @query
 def unmatched_judgements(spark, d):
     return reviews.unmatched_judgements(
-        canonical.judgements(spark, d), pipeline.review_table(transactions(spark, d))
+        canonical.judgements(spark, d), flow.review_table(transactions(spark, d))
     ).select("review_id", "verdict")
 
 
 @query
 def append_feedback(spark, d):
-    return reviews.feedback_rows(canonical.judgements(spark, d), pipeline.review_table(transactions(spark, d)))
+    return reviews.feedback_rows(canonical.judgements(spark, d), flow.review_table(transactions(spark, d)))
 
 
 @query
 def judge_reviews(spark, d):
     snapshot, _ = reviews.judge_reviews(
-        pipeline.review_table(transactions(spark, d)), canonical.judgements(spark, d)
+        flow.review_table(transactions(spark, d)), canonical.judgements(spark, d)
     )
     return snapshot.select("id", "transaction_id", "status", "created_at", "updated_at")
 
 
 @query
 def labelled_reviews(spark, d):
-    opened = pipeline.review_table(transactions(spark, d))
+    opened = flow.review_table(transactions(spark, d))
     feedback = reviews.feedback_rows(canonical.judgements(spark, d), opened)
     return reviews.labelled_reviews(feedback, opened).drop("detection_path", "id")
 
@@ -406,7 +416,7 @@ def labelled_reviews(spark, d):
 @query
 def training_features(spark, d):
     """From per-message decisions, where one score is missing in every row."""
-    made = decisions.decisions_per_message(pipeline.level_messages(transactions(spark, d)))
+    made = decisions.decisions_per_message(flow.level_messages(transactions(spark, d)))
     opened = decisions.open_reviews(made)
     feedback = reviews.feedback_rows(canonical.judgements(spark, d), opened)
     return reviews.training_features(reviews.labelled_reviews(feedback, opened), "review_id")
@@ -424,7 +434,7 @@ def drop_incomplete(spark, d):
 
 @query
 def extract_features(spark, d):
-    return pipeline.training_table(transactions(spark, d), canonical.judgements(spark, d))
+    return flow.training_table(transactions(spark, d), canonical.judgements(spark, d))
 
 
 # --- alerts ---------------------------------------------------------------------------------
@@ -451,7 +461,7 @@ def recent_alerts(spark, d):
 @query
 def latest_per_transaction(spark, d):
     """Two decisions per transaction, one per message; the newer row is kept."""
-    made = decisions.decisions_per_message(pipeline.level_messages(transactions(spark, d)))
+    made = decisions.decisions_per_message(flow.level_messages(transactions(spark, d)))
     second = F.when(F.col("level2").isNotNull(), times.MINUTE).otherwise(0)
     at = F.timestamp_micros(F.unix_micros(decisions.message_instant(made)) + second)
     return alerts.latest_per_transaction(decisions.final_decision_rows(made, at=at)).select(*ALERT)

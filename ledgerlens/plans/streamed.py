@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import level0, parse, reviews
-from ledgerlens.plans import canonical, pipeline
+from ledgerlens.plans import canonical, flow
 from ledgerlens.plans.canonical import transactions
 from ledgerlens.plans.registered import query
 from ledgerlens.plans.shapes import rounded, with_window_bounds
@@ -148,8 +148,8 @@ def _run_decisions(spark, d) -> str:
     """Both levels' messages through their topics into the decision job."""
     folder = work_folder(spark, "decisions")
     tx = transactions(spark, d)
-    topics.write_topic(parse.to_value(pipeline.level1_messages(tx)), topics.LEVEL1_ACTIONS, folder)
-    topics.write_topic(parse.to_value(pipeline.level2_messages(tx)), topics.LEVEL2_VERDICTS, folder)
+    topics.write_topic(parse.to_value(flow.level1_messages(tx)), topics.LEVEL1_ACTIONS, folder)
+    topics.write_topic(parse.to_value(flow.level2_messages(tx)), topics.LEVEL2_VERDICTS, folder)
     messages = topics.read_topics(stream_session(spark), [topics.LEVEL1_ACTIONS, topics.LEVEL2_VERDICTS], folder)
     jobs.stream_decisions(
         messages, folder, f"{folder}/tables", f"{folder}/checkpoint", available_now=True
@@ -205,7 +205,7 @@ def read_ingest_json(spark, d):
 def write_features(spark, d):
     """Training rows through the feature file."""
     folder = work_folder(spark, "training")
-    tables.write_features(pipeline.training_table(transactions(spark, d), canonical.judgements(spark, d)), folder)
+    tables.write_features(flow.training_table(transactions(spark, d), canonical.judgements(spark, d)), folder)
     return tables.read_features(spark, folder)
 
 
@@ -213,7 +213,7 @@ def write_features(spark, d):
 def read_table(spark, d):
     """Reviews and feedback through their tables, then joined to labels."""
     folder = work_folder(spark, "tables")
-    tables.append_manual_reviews(pipeline.review_table(transactions(spark, d)), folder)
+    tables.append_manual_reviews(flow.review_table(transactions(spark, d)), folder)
     opened = tables.read_table(spark, folder, "manual_reviews")
     tables.append_feedback(reviews.feedback_rows(canonical.judgements(spark, d), opened), folder)
     feedback = tables.read_table(spark, folder, "feedback_labels")
@@ -224,7 +224,7 @@ def read_table(spark, d):
 def write_feedback_topic(spark, d):
     """Judgements as messages of the feedback topic."""
     folder = work_folder(spark, "feedback")
-    feedback = reviews.feedback_rows(canonical.judgements(spark, d), pipeline.review_table(transactions(spark, d)))
+    feedback = reviews.feedback_rows(canonical.judgements(spark, d), flow.review_table(transactions(spark, d)))
     topics.write_topic(parse.to_value(reviews.feedback_messages(feedback)), topics.FEEDBACK, folder)
     messages = topics.read_topic(spark, topics.FEEDBACK, folder, streaming=False)
     return parse.from_value(

@@ -5,7 +5,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import learning, level1, trailing
-from ledgerlens.plans import canonical, pipeline
+from ledgerlens.plans import canonical, flow
 from ledgerlens.plans.canonical import transactions
 from ledgerlens.plans.registered import query
 from ledgerlens.session import work_folder
@@ -14,7 +14,7 @@ from ledgerlens.session import work_folder
 def _training(spark, d):
     """Training and holdout rows of the judged reviews, written once: fitting reads them many times."""
     folder = work_folder(spark, "learning")
-    rows = pipeline.training_table(transactions(spark, d), canonical.judgements(spark, d))
+    rows = flow.training_table(transactions(spark, d), canonical.judgements(spark, d))
     rows.write.parquet(f"{folder}/features")
     return folder, *learning.split_holdout(spark.read.parquet(f"{folder}/features"), "review_id")
 

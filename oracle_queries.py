@@ -349,6 +349,16 @@ SELECT transaction_id, window_start, round({ZSCORE}, 6) AS amount_zscore FROM jo
     "default_count": _with(TX, select="""
 SELECT transaction_id, count(*) OVER (PARTITION BY user_id, time_bucket(INTERVAL 1 HOUR, ts)) AS transactions_last_hour
 FROM tx"""),
+    "hopping_features": _with(
+        TX, STATS, HOURLY, MINUTELY,
+        _joined("stats", "1 HOUR", 24).replace("joined AS", "with_stats AS"),
+        _joined("hourly", "5 MINUTE", 12).replace("joined AS", "with_hours AS"),
+        _joined("minutely", "10 SECOND", 6).replace("joined AS", "with_minutes AS"), select=f"""
+SELECT transaction_id, count(*) AS feature_rows, round(avg({ZSCORE.replace('amount -', 's.amount -')}), 6) AS amount_zscore,
+  CAST(sum(h.tx_count) AS BIGINT) AS transactions_last_hour, CAST(sum(m.tx_count_1min) AS BIGINT) AS tx_count_1min,
+  max(h.tx_count * m.tx_count_1min) AS highest_product
+FROM with_stats s JOIN with_hours h USING (transaction_id) JOIN with_minutes m USING (transaction_id)
+GROUP BY transaction_id"""),
     "trailing_features": _with(*FEATURED, select=f"""
 SELECT transaction_id, round(mean_amount, 6) AS mean_amount, round(stddev_amount, 6) AS stddev_amount,
   round({ZSCORE}, 6) AS amount_zscore, transactions_last_hour, tx_count_1min FROM feat"""),
