@@ -24,7 +24,7 @@ from ledgerlens.session import work_folder
 CHUNK_CHARS = 4_000_000  # text of a chunk or a hash bucket, about
 LEAST_CHUNKS = 256
 MOST_BOUNDS = 4_096  # ids that go to the driver to cut the chunks; further cuts are even inside these
-_PACK_BYTES = 24_000_000
+_PACK_BYTES = 16_000_000
 _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -34,11 +34,14 @@ class Work:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.folder = spark, work_folder(spark, name)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes and rereads: cuts the lineage, and frees the shuffle files of the job at its end."""
+    def keep(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Writes (in a folder for each value of `by`) and rereads.
+
+        This cuts the lineage, and frees the shuffle files of the job at its end.
+        """
         path = f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}"
         with shuffles_freed(self.spark):
-            df.write.parquet(path)
+            (df.write.partitionBy(by) if by else df.write).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
 
@@ -93,7 +96,7 @@ def chunking(docs: DataFrame, chunks: int) -> Chunking:
 
 
 def packed(docs: DataFrame, plan: Chunking) -> DataFrame:
-    """chunk and pack (an Arrow stream of doc_id, text): to be grouped by chunk."""
+    """chunk and pack (an Arrow stream of the rows): to be grouped by chunk."""
     def pack(batches):
         held, size = [], 0
         for batch in batches:
@@ -120,7 +123,7 @@ def packed(docs: DataFrame, plan: Chunking) -> DataFrame:
                 [pa.array([int(chunk[begin])], pa.int64()), pa.array([to_stream(table.slice(begin, end - begin))], pa.binary())],
                 names=["chunk", "pack"])
 
-    return docs.select("doc_id", "text").mapInArrow(pack, "chunk bigint, pack binary")
+    return docs.mapInArrow(pack, "chunk bigint, pack binary")
 
 
 def to_stream(table: pa.Table) -> bytes:
@@ -151,6 +154,18 @@ def u64(value) -> np.ndarray:
     return np.frombuffer(value.as_buffer() if isinstance(value, pa.Scalar) else value, np.uint64)
 
 
+def narrow(values: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of each number."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def widened(value, width: int) -> np.ndarray:
+    raw = np.frombuffer(value.as_buffer(), np.uint8).reshape(-1, width)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :width] = raw
+    return out.view(np.uint64).ravel()
+
+
 def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First index of every run of equal values, and the end of the last."""
     if not len(sorted_values):
@@ -162,5 +177,5 @@ def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.append(first, len(sorted_values))
 
 
-__all__ = ["CHUNK_CHARS", "Chunking", "Work", "blocks", "chunking", "corpus_size", "packed", "parts_for", "runs",
-           "shuffles_freed", "to_stream", "u64", "unpacked"]
+__all__ = ["CHUNK_CHARS", "Chunking", "Work", "blocks", "chunking", "corpus_size", "narrow", "packed", "parts_for", "runs",
+           "shuffles_freed", "to_stream", "u64", "unpacked", "widened"]

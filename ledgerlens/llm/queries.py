@@ -5,7 +5,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import substrings
+from ledgerlens.llm import backoff, substrings
 from ledgerlens.llm.shipping import ship
 
 QUERIES = {}
@@ -25,6 +25,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(key: str, by: int):
+    """crc32 of a key as text, modulo `by`; a missing key counts as the empty text."""
+    return F.crc32(F.encode(F.coalesce(F.col(key).cast("string"), F.lit("")), "UTF-8")) % by
+
+
+@_query
+def op4_katz_backoff(spark, sf_dir):
+    """Log probabilities of all documents under a model of those outside the fold."""
+    docs = _table(spark, sf_dir, "documents").withColumn("train", _remainder("doc_id", 7) != 2)
+    return backoff.katz_scores(docs).select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @_query
 def op9_substring_dedup(spark, sf_dir):
     """Passages of 20 words or more that start earlier in the corpus, removed."""
