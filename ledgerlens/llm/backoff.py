@@ -10,7 +10,8 @@ pairs were all seen too often to be discounted gets one more in its denominator.
 
 Counting and scoring go by chunks of documents and by hash buckets:
 1. every chunk sends its distinct words with their training counts; the bucket
-   of a word answers with the total, and stores it in the table of words;
+   of a word answers with the total and a number for the word (small for frequent
+   ones), and stores them in the table of words;
 2. every chunk sends its distinct pairs (with the totals of their second words);
    the bucket of the history stores the pairs and what their weights need, and
    answers with totals. Frequent histories are spread over several buckets by
@@ -19,8 +20,8 @@ Counting and scoring go by chunks of documents and by hash buckets:
    its tokens up, pair first, then history weight and word.
 The tables lie in the shared work folder, partitioned by kind, a row per bucket.
 
-Words are told apart by 64 bits of one hash and a bucket by another, histories
-and second words by 48 bits inside their bucket.
+Words are told apart by 64 bits of one hash and a bucket by another; from then
+on by their numbers, so pairs are never mixed up.
 
 Defined cases: a null text is empty and still has its end token. Rows without
 doc_id or with a repeated one count like any other. No training rows: the only
@@ -39,9 +40,9 @@ from ledgerlens.llm import blocks, packs
 
 U = np.uint64
 TOP = 5  # counts up to this are discounted
-END, BEGIN = U(0x5BF0_3635_1E2D_9A47), U(0x27D4_EB2F_1656_67C5)  # hashes of the two marks
+END = U(0x5BF0_3635_1E2D_9A47)  # hash of the end mark
+BEGIN, FIRST = 1, 2  # number of the begin mark, and of the first word
 _HOT_LISTED = 16_384  # frequent histories at most: their weights go to every task
-_KEY = 6  # bytes of a history or second word inside a bucket
 _ANSWER = "kind string, chunk bigint, bucket bigint, keys binary, counts binary, more binary, sums binary, stats array<bigint>"
 
 
@@ -117,48 +118,44 @@ class _Tokens:
         self.word = np.empty(len(order), np.int64)  # number of the word of each token
         self.word[order] = np.cumsum(new) - 1
         self.keys, self.bucket = key[new], bucket[new].astype(np.int64)
-        self.n_train = np.bincount(self.word[self.train], minlength=len(self.keys)).astype(np.uint32)
+        self.n_train = np.bincount(self.word[self.train], minlength=len(self.keys))
 
-    def counted(self, answers: dict) -> np.ndarray:
-        """Training totals of the words, put together from the buckets' answers."""
+    def answered(self, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Training totals and numbers of the words, put together from the buckets' answers."""
         first, _ = packs.runs(self.bucket)
-        return np.concatenate([answers[b] for b in self.bucket[first].tolist()])
-
-    def pairs(self, totals: np.ndarray, buckets: int, tokens: int) -> _Pairs:
-        return _Pairs(self, totals, buckets, tokens)
+        place = {b: i for i, b in enumerate(answers["bucket"].to_pylist())}
+        rows = [place[b] for b in self.bucket[first].tolist()]
+        totals, numbers = answers["counts"], answers["more"]
+        return (np.concatenate([packs.decoded(totals[i]) for i in rows]),
+                np.concatenate([packs.decoded(numbers[i]) for i in rows]))
 
 
 class _Pairs:
-    """Distinct pairs of a chunk by (bucket, history, second word)."""
+    """Distinct pairs of a chunk by (bucket, history, second word). `n`: training tokens."""
 
-    def __init__(self, tokens: _Tokens, totals: np.ndarray, buckets: int, n: int):
+    def __init__(self, tokens: _Tokens, totals: np.ndarray, numbers: np.ndarray, buckets: int, n: int):
         word = tokens.word
         v = len(tokens.keys)
         before = np.empty_like(word)
         before[1:] = word[:-1]
         before[tokens.first[:-1]] = v  # the begin mark
-        ends = totals[word[tokens.first[1:] - 1]][:1] if len(word) else np.zeros(1, np.uint64)
-        pair = before * (v + 1) + word
-        kinds, self.of = np.unique(pair, return_inverse=True)
+        kinds, self.of = np.unique(before * (v + 1) + word, return_inverse=True)
         history, second = kinds // (v + 1), kinds % (v + 1)
-        seen = np.append(totals, ends).astype(np.float64)  # as many begin marks as end marks in training
-        h = blocks.mix(np.append(tokens.keys, BEGIN) ^ U(0x1D8E_4E27_C47D_124F))[history]
-        w = blocks.mix(np.append(tokens.keys, BEGIN) + U(0x9FB2_1C65_1E98_DF25))[second]
-        limit = n / min(4 * buckets, _HOT_LISTED)
-        hot = seen[history] > limit
-        parts = np.ceil(seen[history] * (4 * buckets) / max(n, 1)).astype(np.int64)
-        spread = np.where(hot, (w >> U(40)).astype(np.int64) % np.maximum(parts, 1), 0)
-        bucket = (blocks.mix(h + spread.astype(U) * U(0xC2B2_AE3D_27D4_EB4F)) % U(buckets)).astype(np.int64)
+        ends = totals[word[tokens.first[1] - 1]]  # training has as many begin marks as end marks
+        self.seen = np.append(totals, ends)
+        h, w = np.append(numbers, BEGIN)[history], numbers[second]
+        hot = self.seen[history] > n / min(4 * buckets, _HOT_LISTED)
+        parts = np.ceil(self.seen[history] * (4 * buckets) / max(n, 1)).astype(np.int64)
+        spread = np.where(hot, (blocks.mix(w.astype(U)) >> U(20)).astype(np.int64) % np.maximum(parts, 1), 0)
+        bucket = (blocks.mix(blocks.mix(h.astype(U)) + spread.astype(U)) % U(buckets)).astype(np.int64)
         bucket += np.where(hot, buckets, 0)
-        mask = U((1 << (8 * _KEY)) - 1)
-        h, w = h & mask, w & mask
         order = np.lexsort((w, h, bucket))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.of = place[self.of]
         self.bucket, self.h, self.w = bucket[order], h[order], w[order]
         self.history, self.second = history[order], second[order]
-        self.n_train = np.bincount(self.of[tokens.train], minlength=len(kinds)).astype(np.uint32)
+        self.n_train = np.bincount(self.of[tokens.train], minlength=len(kinds))
         new = np.ones(len(order), bool)
         new[1:] = (self.h[1:] != self.h[:-1]) | (self.bucket[1:] != self.bucket[:-1])
         self.run = np.flatnonzero(new)  # first pair of every (bucket, history)
@@ -186,23 +183,25 @@ def word_counts(packed: DataFrame, buckets: int) -> DataFrame:
             "bucket": pa.array(found.bucket[first], pa.int64()),
             "chunk": pa.array(np.full(len(first), key[0].as_py()), pa.int64()),
             "keys": blocks.binary_column([found.keys[a:b] for a, b in cut]),
-            "counts": blocks.binary_column([found.n_train[a:b] for a, b in cut]),
+            "counts": blocks.binary_column([packs.coded(found.n_train[a:b]) for a, b in cut]),
         })
 
     def answer(key, table):
         keys = np.concatenate([packs.u64(v) for v in table["keys"]])
-        counts = np.concatenate([np.frombuffer(v.as_buffer(), np.uint32) for v in table["counts"]])
+        counts = np.concatenate([packs.decoded(v) for v in table["counts"]])
         sizes = [len(v.as_buffer()) // 8 for v in table["keys"]]
         kinds, of = np.unique(keys, return_inverse=True)
         total = np.bincount(of, weights=counts, minlength=len(kinds)).astype(np.int64)
-        mine, at = total[of].astype(np.uint64), np.concatenate([[0], np.cumsum(sizes)])
-        bucket, known = key[0].as_py(), total > 0
-        n = len(sizes)
+        bucket, known, n = key[0].as_py(), total > 0, len(sizes)
+        number = np.empty(len(kinds), np.int64)
+        number[np.argsort(-total, kind="stable")] = FIRST + np.arange(len(kinds)) * buckets + bucket
+        mine, own, at = total[of], number[of], np.concatenate([[0], np.cumsum(sizes)])
+        cut = list(zip(at, at[1:], strict=False))
         return pa.concat_tables([
             _rows("answer", n, chunk=table["chunk"].to_pylist(), bucket=[bucket] * n,
-                  counts=[mine[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]),
-            _rows("words", 1, bucket=[bucket], keys=[kinds[known].tobytes()],
-                  counts=[total[known].astype(np.uint64).tobytes()]),
+                  counts=[packs.coded(mine[a:b]) for a, b in cut], more=[packs.coded(own[a:b]) for a, b in cut]),
+            _rows("words", 1, bucket=[bucket], keys=[kinds[known].tobytes()], counts=[packs.coded(total[known])],
+                  more=[packs.coded(number[known])]),
             _rows("stats", 1, stats=[[*_types_by_count(total), int(known.sum()), int(total.sum())]]),
         ])
 
@@ -223,94 +222,85 @@ def pair_counts(packed: DataFrame, words: DataFrame, buckets: int, unigrams: Uni
     """Rows of kinds answer (by chunk and bucket), pairs (the table), histories (their sums) and stats."""
     def send(key, own, answers):
         tokens = _Tokens(packs.unpacked(own), buckets)
-        totals = tokens.counted(_by_bucket(answers, "counts", np.uint64))
-        found = tokens.pairs(totals, buckets, unigrams.tokens)
-        second = np.append(totals, 0)[found.second].astype(np.uint32)
+        totals, numbers = tokens.answered(answers)
+        found = _Pairs(tokens, totals, numbers, buckets, unigrams.tokens)
         first, ends = packs.runs(found.bucket)
-        runs = np.diff(np.append(found.run, len(found.h))).astype(np.uint32)
+        lengths = np.diff(np.append(found.run, len(found.h)))
         run_at = np.append(np.searchsorted(found.run, first), len(found.run))
         cut = list(zip(first, ends[1:], strict=True))
         run_cut = list(zip(run_at, run_at[1:], strict=False))
         return pa.table({
             "bucket": pa.array(found.bucket[first], pa.int64()),
             "chunk": pa.array(np.full(len(first), key[0].as_py()), pa.int64()),
-            "histories": blocks.binary_column([packs.narrow(found.h[found.run[a:b]], _KEY) for a, b in run_cut]),
-            "runs": blocks.binary_column([runs[a:b] for a, b in run_cut]),
-            "seconds": blocks.binary_column([packs.narrow(found.w[a:b], _KEY) for a, b in cut]),
-            "totals": blocks.binary_column([second[a:b] for a, b in cut]),
-            "counts": blocks.binary_column([found.n_train[a:b] for a, b in cut]),
+            "histories": blocks.binary_column([packs.coded(found.h[found.run[a:b]]) for a, b in run_cut]),
+            "runs": blocks.binary_column([packs.coded(lengths[a:b]) for a, b in run_cut]),
+            "seconds": blocks.binary_column([packs.coded(found.w[a:b]) for a, b in cut]),
+            "totals": blocks.binary_column([packs.coded(totals[found.second[a:b]]) for a, b in cut]),
+            "counts": blocks.binary_column([packs.coded(found.n_train[a:b]) for a, b in cut]),
         })
 
     def answer(key, table):
         def column(name):
-            return np.concatenate([np.frombuffer(v.as_buffer(), np.uint32) for v in table[name]])
+            parts = [packs.decoded(v) for v in table[name]]
+            return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
 
-        histories = np.concatenate([packs.widened(v, _KEY) for v in table["histories"]])
-        h_sizes = [len(v.as_buffer()) // _KEY for v in table["histories"]]
-        sizes = [len(v.as_buffer()) // _KEY for v in table["seconds"]]
+        histories, h_at = column("histories")
         h_kinds, h_of = np.unique(histories, return_inverse=True)
-        history = np.repeat(h_of, column("runs"))
-        second = np.concatenate([packs.widened(v, _KEY) for v in table["seconds"]])
+        history = np.repeat(h_of, column("runs")[0])
+        second, at = column("seconds")
         order = np.lexsort((second, history))
-        new = np.ones(len(order), bool)
         hs, ss = history[order], second[order]
+        new = np.ones(len(order), bool)
         new[1:] = (hs[1:] != hs[:-1]) | (ss[1:] != ss[:-1])
         of = np.empty(len(order), np.int64)
         of[order] = np.cumsum(new) - 1
-        total = np.bincount(of, weights=column("counts"), minlength=int(new.sum())).astype(np.int64)
-        word = column("totals")[order][new].astype(np.int64)
+        total = np.bincount(of, weights=column("counts")[0], minlength=int(new.sum())).astype(np.int64)
+        word = column("totals")[0][order][new]
         hs, ss = hs[new], ss[new]
         known = total > 0
-        m = np.zeros((len(h_kinds), TOP))
         low = known & (total <= TOP)
-        np.add.at(m, (hs[low], total[low] - 1), 1)
+        m = np.bincount(hs[low] * TOP + total[low] - 1, minlength=len(h_kinds) * TOP).reshape(-1, TOP)
         high = np.bincount(hs, weights=np.where(total > TOP, total, 0), minlength=len(h_kinds))
         seen = np.bincount(hs, weights=np.where(known, unigrams.probability(word), 0.0), minlength=len(h_kinds))
-        bucket, n = key[0].as_py(), len(sizes)
-        at, h_at = np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([[0], np.cumsum(h_sizes)])
-        mine, mine_h = total[of].astype(np.uint32), h_of.astype(np.uint32)
-        sums = np.column_stack([m, high, seen])
+        bucket, n, mine = key[0].as_py(), len(table), total[of]
         return pa.concat_tables([
             _rows("answer", n, chunk=table["chunk"].to_pylist(), bucket=[bucket] * n,
-                  counts=[mine[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)],
-                  more=[mine_h[a:b].tobytes() for a, b in zip(h_at, h_at[1:], strict=False)]),
-            _rows("pairs", 1, bucket=[bucket], keys=[packs.narrow(ss[known], _KEY)],
-                  counts=[total[known].astype(np.uint32).tobytes()], more=[hs[known].astype(np.uint32).tobytes()]),
-            _rows("histories", 1, bucket=[bucket], keys=[packs.narrow(h_kinds, _KEY)],
-                  sums=[np.ascontiguousarray(sums.T).tobytes()]),
+                  counts=[packs.coded(mine[a:b]) for a, b in zip(at, at[1:], strict=False)],
+                  more=[packs.coded(h_of[a:b]) for a, b in zip(h_at, h_at[1:], strict=False)]),
+            _rows("pairs", 1, bucket=[bucket], keys=[packs.coded(ss[known])], counts=[packs.coded(total[known])],
+                  more=[packs.coded(hs[known])]),
+            _rows("histories", 1, bucket=[bucket], keys=[packs.coded(h_kinds)],
+                  counts=[packs.coded(np.column_stack([m, high]).T.ravel())], sums=[seen.tobytes()]),
             _rows("stats", 1, stats=[[*_types_by_count(total), int(known.sum()), int(total.sum())]]),
         ])
 
     sent = "bucket bigint, chunk bigint, histories binary, runs binary, seconds binary, totals binary, counts binary"
-    asked = words.where("kind = 'answer'").select("chunk", "bucket", "counts")
+    asked = words.where("kind = 'answer'").select("chunk", "bucket", "counts", "more")
     return (
         packed.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(send, sent)
         .groupBy("bucket").applyInArrow(answer, _ANSWER)
     )
 
 
-def _by_bucket(answers: pa.Table, column: str, kind) -> dict:
-    return {b: np.frombuffer(v.as_buffer(), kind)
-            for b, v in zip(answers["bucket"].to_pylist(), answers[column], strict=True) if v.is_valid}
-
-
-def _sums(value) -> np.ndarray:
-    return np.frombuffer(value.as_buffer(), np.float64).reshape(TOP + 2, -1).T
+def _sums(counts: pa.Scalar, seen: pa.Scalar) -> np.ndarray:
+    """Rows of histories: followers seen 1 .. TOP times, occurrences of the others, probability of the seen words."""
+    seen = np.frombuffer(seen.as_buffer(), np.float64)
+    return np.column_stack([packs.decoded(counts).reshape(TOP + 1, -1).T, seen])
 
 
 def _frequent(pairs: DataFrame, buckets: int, d: np.ndarray) -> dict[int, float]:
     """Weights of the histories that are spread over buckets; there are _HOT_LISTED at most."""
     def explode(batches):
         for batch in batches:
-            for keys, sums in zip(batch.column("keys"), batch.column("sums"), strict=True):
-                parts = _sums(sums)
+            for keys, counts, seen in zip(*(batch.column(c) for c in ("keys", "counts", "sums")), strict=True):
+                parts = _sums(counts, seen)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(packs.widened(keys, _KEY).astype(np.int64)), *(pa.array(c) for c in parts.T)],
+                    [pa.array(packs.decoded(keys)), *(pa.array(np.ascontiguousarray(c)) for c in parts.T)],
                     names=["history", *(f"s{i}" for i in range(TOP + 2))])
 
     names = [f"s{i}" for i in range(TOP + 2)]
     rows = (
-        pairs.where(f"kind = 'histories' AND bucket >= {buckets}").select("keys", "sums")
+        pairs.where(f"kind = 'histories' AND bucket >= {buckets}").select("keys", "counts", "sums")
         .mapInArrow(explode, "history bigint, " + ", ".join(f"{n} double" for n in names))
         .groupBy("history").agg(*(F.sum(n).alias(n) for n in names)).collect()
     )
@@ -324,21 +314,21 @@ def _frequent(pairs: DataFrame, buckets: int, d: np.ndarray) -> dict[int, float]
 def _weights_by_chunk(pairs: DataFrame, buckets: int, frequent: dict[int, float], d: np.ndarray) -> DataFrame:
     """chunk, bucket, totals of its pairs and weights of its histories."""
     def look_up(key, asked, histories):
-        sums = _sums(histories["sums"][0])
         if key[0].as_py() >= buckets:
-            weights = np.array([frequent[k] for k in packs.widened(histories["keys"][0], _KEY).tolist()])
+            weights = np.array([frequent[k] for k in packs.decoded(histories["keys"][0]).tolist()])
         else:
+            sums = _sums(histories["counts"][0], histories["sums"][0])
             weights = history_weights(sums[:, :TOP], sums[:, TOP], sums[:, TOP + 1], d)
         return pa.table({
             "kind": pa.array(["pairs"] * len(asked), pa.string()), "chunk": asked["chunk"], "bucket": asked["bucket"],
-            "counts": asked["counts"],
-            "weights": blocks.binary_column([weights[np.frombuffer(v.as_buffer(), np.uint32)] for v in asked["more"]]),
+            "counts": asked["counts"], "more": pa.nulls(len(asked), pa.binary()),
+            "weights": blocks.binary_column([weights[packs.decoded(v)] for v in asked["more"]]),
         })
 
     asked = pairs.where("kind = 'answer'").select("chunk", "bucket", "counts", "more")
-    histories = pairs.where("kind = 'histories'").select("bucket", "keys", "sums")
+    histories = pairs.where("kind = 'histories'").select("bucket", "keys", "counts", "sums")
     return asked.groupBy("bucket").cogroup(histories.groupBy("bucket")).applyInArrow(
-        look_up, "kind string, chunk bigint, bucket bigint, counts binary, weights binary")
+        look_up, "kind string, chunk bigint, bucket bigint, counts binary, more binary, weights binary")
 
 
 def katz_scores(docs: DataFrame) -> DataFrame:
@@ -364,18 +354,17 @@ def katz_scores(docs: DataFrame) -> DataFrame:
         table = packs.unpacked(own)
         found = _Tokens(table, buckets)
         kind = answers["kind"].to_numpy(zero_copy_only=False)
-        totals = found.counted(_by_bucket(answers.filter(pa.array(kind == "words")), "counts", np.uint64)).astype(np.int64)
+        totals, numbers = found.answered(answers.filter(pa.array(kind == "words")))
         mine = answers.filter(pa.array(kind == "pairs"))
-        pair = found.pairs(totals, buckets, tokens)
+        pair = _Pairs(found, totals, numbers, buckets, tokens)
         first, _ = packs.runs(pair.bucket)
-        in_order = pair.bucket[first].tolist()
-        counts, weights = _by_bucket(mine, "counts", np.uint32), _by_bucket(mine, "weights", np.float64)
-        count = np.concatenate([counts[b] for b in in_order]).astype(np.int64)
-        weight = np.concatenate([weights[b] for b in in_order])[pair.run_of]
-        ends = totals[found.word[found.first[1] - 1]]
-        history = np.append(totals, ends)[pair.history] + (weight < 0)
+        place = {b: i for i, b in enumerate(mine["bucket"].to_pylist())}
+        rows = [place[b] for b in pair.bucket[first].tolist()]
+        count = np.concatenate([packs.decoded(mine["counts"][i]) for i in rows])
+        weight = np.concatenate([np.frombuffer(mine["weights"][i].as_buffer(), np.float64) for i in rows])[pair.run_of]
+        size = pair.seen[pair.history] + (weight < 0)
         backed = np.abs(weight) * unigrams.probability(totals)[pair.second]
-        p = np.where(count > 0, discounted(count, d) / np.maximum(history, 1), backed)
+        p = np.where(count > 0, discounted(count, d) / np.maximum(size, 1), backed)
         scores, base = np.log10(p)[pair.of], unigrams.base(totals)[found.word]
         return pa.table({
             "doc_id": table["doc_id"], "train": table["train"],
@@ -387,7 +376,8 @@ def katz_scores(docs: DataFrame) -> DataFrame:
         })
 
     asked = words.where("kind = 'answer'").select(
-        F.lit("words").alias("kind"), "chunk", "bucket", "counts", F.lit(None).cast("binary").alias("weights"))
+        F.lit("words").alias("kind"), "chunk", "bucket", "counts", "more",
+        F.lit(None).cast("binary").alias("weights"))
     answers = asked.unionByName(_weights_by_chunk(pairs, buckets, frequent, d))
     return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
         score, "doc_id bigint, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "

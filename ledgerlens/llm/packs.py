@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,16 +155,21 @@ def u64(value) -> np.ndarray:
     return np.frombuffer(value.as_buffer() if isinstance(value, pa.Scalar) else value, np.uint64)
 
 
-def narrow(values: np.ndarray, width: int) -> bytes:
-    """The low `width` bytes of each number."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+def coded(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 in as few bytes as the largest needs, compressed byte place by byte place."""
+    values = np.ascontiguousarray(values, np.uint64)
+    width = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
-def widened(value, width: int) -> np.ndarray:
-    raw = np.frombuffer(value.as_buffer(), np.uint8).reshape(-1, width)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :width] = raw
-    return out.view(np.uint64).ravel()
+def decoded(value: pa.Scalar) -> np.ndarray:
+    raw = value.as_buffer()
+    width = raw[0] if isinstance(raw[0], int) else raw[0][0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(raw)[1:]), np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view(np.uint64).ravel().astype(np.int64)
 
 
 def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,5 +183,5 @@ def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.append(first, len(sorted_values))
 
 
-__all__ = ["CHUNK_CHARS", "Chunking", "Work", "blocks", "chunking", "corpus_size", "narrow", "packed", "parts_for", "runs",
-           "shuffles_freed", "to_stream", "u64", "unpacked", "widened"]
+__all__ = ["CHUNK_CHARS", "Chunking", "Work", "blocks", "chunking", "coded", "corpus_size", "decoded", "packed", "parts_for", "runs",
+           "shuffles_freed", "to_stream", "u64", "unpacked"]
