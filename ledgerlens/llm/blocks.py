@@ -54,7 +54,7 @@ def _inverse(base: int) -> int:
     return pow(base, -1, 1 << 64)
 
 
-def _byte_numbers(base: int) -> np.ndarray:
+def byte_numbers(base: int) -> np.ndarray:
     if base not in _tables:
         _tables[base] = mix(np.arange(1, 257, dtype=U) * U(base & _M64 | 1))
     return _tables[base]
@@ -112,7 +112,7 @@ class Words:
 
     def hashes(self, which: int = 0) -> np.ndarray:
         base = BASES[which]
-        return range_hashes(_byte_numbers(base)[self.data], self.starts, self.ends, base)
+        return range_hashes(byte_numbers(base)[self.data], self.starts, self.ends, base)
 
     def text_of(self) -> np.ndarray:
         """Index of the text of every word."""
@@ -126,7 +126,7 @@ def windows(words: Words, width: int) -> np.ndarray:
 
 
 def text_hashes(data: np.ndarray, offsets: np.ndarray, which: int = 0) -> np.ndarray:
-    return range_hashes(_byte_numbers(BASES[which])[data], offsets[:-1], offsets[1:], BASES[which])
+    return range_hashes(byte_numbers(BASES[which])[data], offsets[:-1], offsets[1:], BASES[which])
 
 
 def sums_between(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:

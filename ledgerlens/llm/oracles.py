@@ -28,3 +28,26 @@ SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT
        sha256(coalesce(k.text, '')) AS kept_sha256
 FROM d LEFT JOIN kept k USING (doc_id)
 """
+
+# The template's control strings, quoted for a pattern, and the lengths of its marks.
+_CONTROL = r"<s>|</s>|<\|start\|>|<\|message\|>|<\|next\|>|<\|end\|>|\[INST\]|\[/INST\]"
+
+ORACLES["op1_chat_formatting"] = rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), o AS (
+  SELECT *, row_number() OVER w AS i, coalesce(lag(role) OVER w = role, false) AS again FROM t
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+), s AS (
+  SELECT *, length(regexp_replace(text, '(\\*)({_CONTROL})', '\1\1\\\2', 'g')) AS n_text,
+         length(regexp_replace(role, '(\\*)({_CONTROL})', '\1\1\\\2', 'g')) AS n_role FROM o
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       (3 + 5 + sum(n_text + CASE WHEN again THEN 9 ELSE 10 + 12 + 8 + n_role END))::BIGINT AS formatted_chars
+FROM s GROUP BY conv_id
+"""

@@ -25,6 +25,7 @@ from ledgerlens.session import work_folder
 CHUNK_CHARS = 4_000_000  # text of a chunk or a hash bucket, about
 LEAST_CHUNKS = 256
 MOST_BOUNDS = 4_096  # ids that go to the driver to cut the chunks; further cuts are even inside these
+NO_ID = np.iinfo(np.int64).min  # stands for a missing id, before all others
 _PACK_BYTES = 16_000_000
 _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -96,8 +97,27 @@ def chunking(docs: DataFrame, chunks: int) -> Chunking:
     return Chunking(bounds, -(-chunks // ranges))
 
 
-def packed(docs: DataFrame, plan: Chunking) -> DataFrame:
-    """chunk and pack (an Arrow stream of the rows): to be grouped by chunk."""
+def heads(docs: DataFrame, plan: Chunking) -> tuple[np.ndarray, np.ndarray]:
+    """Least id of every chunk that has rows, and the chunk with rows before it (before the first comes the last)."""
+    def least(batches):
+        for batch in batches:
+            ids = batch.column(0).fill_null(NO_ID).to_numpy()
+            chunk = plan.numbers(ids)
+            order = np.lexsort((ids, chunk))
+            first, _ = runs(chunk[order])
+            yield pa.RecordBatch.from_arrays([pa.array(chunk[order][first]), pa.array(ids[order][first])], names=["chunk", "id"])
+
+    rows = docs.select("doc_id").mapInArrow(least, "chunk bigint, id bigint").groupBy("chunk").agg(F.min("id").alias("id"))
+    found = sorted((r["chunk"], r["id"]) for r in rows.collect())
+    chunks, ids = np.array([c for c, _ in found], np.int64), np.array([i for _, i in found], np.int64)
+    return ids, np.roll(chunks, 1)
+
+
+def packed(docs: DataFrame, plan: Chunking, next_heads: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """chunk and pack (an Arrow stream of the rows): to be grouped by chunk.
+
+    With `next_heads`, rows with the least id of a chunk also go to the chunk before, marked `extra`.
+    """
     def pack(batches):
         held, size = [], 0
         for batch in batches:
@@ -114,8 +134,14 @@ def packed(docs: DataFrame, plan: Chunking) -> DataFrame:
         table = pa.concat_tables(tables).combine_chunks()
         if not table.num_rows:
             return
-        ids = table["doc_id"].fill_null(np.iinfo(np.int64).min).to_numpy()
+        ids = table["doc_id"].fill_null(NO_ID).to_numpy()
         chunk = plan.numbers(ids)
+        if next_heads is not None:
+            at = np.minimum(np.searchsorted(next_heads[0], ids), len(next_heads[0]) - 1)
+            again = np.flatnonzero(next_heads[0][at] == ids)
+            table = pa.concat_tables([table, table.take(pa.array(again))])
+            table = table.append_column("extra", pa.array(np.arange(len(table)) >= len(ids)))
+            chunk = np.append(chunk, next_heads[1][at[again]])
         order = np.argsort(chunk, kind="stable")
         table, chunk = table.take(pa.array(order)).combine_chunks(), chunk[order]
         at = np.flatnonzero(np.diff(chunk, prepend=-1))
@@ -141,7 +167,7 @@ def unpacked(packs: pa.Table, column: str = "pack") -> pa.Table:
         with pa.ipc.open_stream(value.as_buffer()) as reader:
             tables.append(reader.read_all())
     table = pa.concat_tables(tables)
-    ids = table["doc_id"].fill_null(np.iinfo(np.int64).min).to_numpy()
+    ids = table["doc_id"].fill_null(NO_ID).to_numpy()
     known = np.diff(ids)
     if (known > 0).all() and table["doc_id"].null_count == 0:
         return table
@@ -183,5 +209,5 @@ def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.append(first, len(sorted_values))
 
 
-__all__ = ["CHUNK_CHARS", "Chunking", "Work", "blocks", "chunking", "coded", "corpus_size", "decoded", "packed", "parts_for", "runs",
+__all__ = ["CHUNK_CHARS", "Chunking", "Work", "blocks", "chunking", "coded", "corpus_size", "decoded", "heads", "packed", "parts_for", "runs",
            "shuffles_freed", "to_stream", "u64", "unpacked"]
