@@ -5,7 +5,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import backoff, chat, substrings, syncmers
+from ledgerlens.llm import backoff, chat, factorisation, outliers, substrings, syncmers
 from ledgerlens.llm.shipping import ship
 
 QUERIES = {}
@@ -63,6 +63,23 @@ def op4_katz_backoff(spark, sf_dir):
         "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@_query
+def op5_factorisation_machine(spark, sf_dir):
+    """Quality of all documents, learnt from the labels outside the fold."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = factorisation.train(docs, labels.where(_remainder("doc_id", 4) != 2))
+    return factorisation.scored(docs.select("doc_id", "text"), model).select(
+        "doc_id", (_remainder("doc_id", 4) == 2).alias("held_out"), "score",
+        (F.col("score") >= factorisation.THRESHOLD).cast("int").alias("predicted"))
+
+
+@_query
+def op7_robust_outliers(spark, sf_dir):
+    """Base rules and outliers per language and source, over all documents."""
+    return outliers.robust_outliers(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
 @_query
 def op9_substring_dedup(spark, sf_dir):
     """Passages of 20 words or more that start earlier in the corpus, removed."""

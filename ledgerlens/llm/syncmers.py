@@ -19,6 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ledgerlens.llm import blocks, packs
 
@@ -158,7 +159,7 @@ def fingerprints(docs: DataFrame, column: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, "fingerprint"])
 
     kept = docs.drop("fingerprint")
-    return kept.mapInArrow(sketch, kept.schema.add("fingerprint", "string"))
+    return kept.mapInArrow(sketch, StructType([*kept.schema.fields, StructField("fingerprint", StringType())]))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
