@@ -51,3 +51,51 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        (3 + 5 + sum(n_text + CASE WHEN again THEN 9 ELSE 10 + 12 + 8 + n_role END))::BIGINT AS formatted_chars
 FROM s GROUP BY conv_id
 """
+
+ORACLES["op10_temperature_mixing"] = rf"""
+WITH RECURSIVE u AS (
+  SELECT doc_id, coalesce(source, '') AS source, md5(coalesce(text, '')) AS key, count(*) AS copies,
+         sum(len(regexp_extract_all(coalesce(text, ''), '{_WORDS}')))::BIGINT AS n_tokens
+  FROM documents GROUP BY 1, 2, 3
+), s AS (SELECT source, sum(n_tokens)::BIGINT AS total FROM u GROUP BY 1
+), p AS (SELECT source, total, total / sum(total) OVER () AS p FROM s WHERE total > 0
+), halving AS (
+  SELECT 0 AS i, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high
+  UNION ALL
+  SELECT i + 1, CASE WHEN good THEN (low + high) / 2 ELSE low END, CASE WHEN good THEN high ELSE (low + high) / 2 END
+  FROM (SELECT i, low, high, (SELECT ln(sum(pow(p, (low + high) / 2))) - (low + high) / 2 *
+          sum(pow(p, (low + high) / 2) * ln(p)) / sum(pow(p, (low + high) / 2)) FROM p) >=
+          0.95 * (SELECT ln(count(*)) FROM p) AS good
+        FROM halving WHERE i < 30)
+), a AS (
+  SELECT CASE WHEN (SELECT -sum(p * ln(p)) FROM p) >= 0.95 * (SELECT ln(count(*)) FROM p) THEN 1.0
+         ELSE (SELECT low FROM halving WHERE i = 30) END AS a
+), q AS (
+  SELECT p.*, pow(p, a) / sum(pow(p, a)) OVER () * sum(total) OVER () AS quota, sum(total) OVER () AS tokens FROM p, a
+), f AS (
+  SELECT s.source, s.total, coalesce(floor(round(quota / s.total, 9)), 1)::BIGINT AS full_,
+         coalesce(round(quota - floor(round(quota / s.total, 9)) * s.total, 6), 0.0) AS rest,
+         greatest(1, ceil(s.total / greatest(100000, ceil(coalesce(tokens, 0) / 65536))))::BIGINT AS blocks
+  FROM s LEFT JOIN q USING (source)
+), placed AS (
+  SELECT u.*, total, full_, rest,
+         ('0x' || substr(md5('1|' || coalesce(doc_id::VARCHAR, '') || '|' || key), 1, 8))::BIGINT % blocks AS block
+  FROM u JOIN f USING (source)
+), epochs AS (
+  SELECT source, unnest(range(0, full_ + (rest > 0)::INT)) AS epoch FROM f
+), sizes AS (SELECT source, block, sum(n_tokens) AS size FROM placed GROUP BY 1, 2
+), offsets AS (
+  SELECT source, block, epoch, coalesce(sum(size) OVER (PARTITION BY source, epoch
+    ORDER BY md5('1|' || source || '|' || epoch || '|' || block), block
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_
+  FROM sizes JOIN epochs USING (source)
+), starts AS (
+  SELECT d.*, epoch, before_ + coalesce(sum(n_tokens) OVER (PARTITION BY source, epoch, block
+    ORDER BY md5('1|' || epoch || '|' || coalesce(doc_id::VARCHAR, '') || '|' || key), doc_id, key
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS within_
+  FROM placed d JOIN offsets USING (source, block)
+)
+SELECT doc_id, source, copies::BIGINT AS copies, n_tokens, epoch::BIGINT AS epoch,
+       (epoch * total + within_)::BIGINT AS start
+FROM starts WHERE epoch < full_ OR within_ < rest
+"""

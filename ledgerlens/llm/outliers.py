@@ -51,7 +51,7 @@ def statistics(docs: DataFrame) -> DataFrame:
                 s = Structure(data, offsets)
                 words, lines = np.maximum(s.n_words, 1), np.maximum(s.n_lines, 1)
                 vector = [
-                    np.log1p(s.n_words), np.log(s.word_chars / words + 0.1) * 3, np.arcsinh(10 * s.n_symbols / words),
+                    np.log1p(s.n_words) / 2, np.log(s.word_chars / words + 0.1) * 3, np.arcsinh(10 * s.n_symbols / words),
                     np.arcsinh(2 * s.n_dup_lines / lines), np.arcsinh(2 * s.n_repeat_words / words),
                     np.arcsinh(10 * s.n_upper / np.maximum(s.n_bytes, 1)),
                 ]

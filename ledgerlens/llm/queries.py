@@ -5,7 +5,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import backoff, chat, factorisation, outliers, substrings, syncmers
+from ledgerlens.llm import backoff, chat, factorisation, mixing, outliers, packs, secrets, substrings, syncmers
 from ledgerlens.llm.shipping import ship
 
 QUERIES = {}
@@ -80,8 +80,28 @@ def op7_robust_outliers(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+@_query
+def op8_secret_scan(spark, sf_dir):
+    """Secrets in all documents: the base kinds and high entropy."""
+    found = secrets.found_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(secrets.of_kind(F.col("secrets"), k)).cast("bigint").alias(f"n_{name}")
+              for k, name in enumerate(secrets.KINDS[:3])]
+    base = F.filter("secrets", lambda s: s["kind"] < 3)
+    return found.select("doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+                        secrets.listed(F.col("secrets")).alias("spans"))
+
+
 @_query
 def op9_substring_dedup(spark, sf_dir):
     """Passages of 20 words or more that start earlier in the corpus, removed."""
     found = substrings.remove_repeated_passages(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@_query
+def op10_temperature_mixing(spark, sf_dir):
+    """As many tokens as the corpus has, flattened to 95 % of the greatest entropy, no source more than four times."""
+    work = packs.Work(spark, "mixing")
+    known = work.keep(mixing.units(_table(spark, sf_dir, "documents")), "units")
+    return mixing.planned(known, work, target_entropy=0.95, most_repeats=4.0).select(
+        "doc_id", "source", "copies", "n_tokens", "epoch", "start")
