@@ -99,3 +99,23 @@ SELECT doc_id, source, copies::BIGINT AS copies, n_tokens, epoch::BIGINT AS epoc
        (epoch * total + within_)::BIGINT AS start
 FROM starts WHERE epoch < full_ OR within_ < rest
 """
+
+ORACLES["op3_jaccard_join"] = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '{_WORDS}') AS ws FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(1, len(ws) - 4) + 1)) AS i FROM d WHERE len(ws) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1
+), links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))
+), reach AS (
+  SELECT doc_id AS node, doc_id AS label FROM d
+  UNION SELECT l.v, r.label FROM reach r JOIN links l ON l.u = r.node WHERE r.label < l.v
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(label) AS component_id
+FROM d LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.node = d.doc_id GROUP BY d.doc_id, n
+"""

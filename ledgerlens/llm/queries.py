@@ -5,7 +5,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import backoff, chat, factorisation, mixing, outliers, packs, secrets, substrings, syncmers
+from ledgerlens.llm import backoff, chat, factorisation, jaccard, mixing, outliers, packs, secrets, substrings, syncmers
 from ledgerlens.llm.shipping import ship
 
 QUERIES = {}
@@ -55,6 +55,12 @@ def op2_closed_syncmers(spark, sf_dir):
                         "edited_fingerprint", "near_edited", "near_next")
 
 
+@_query
+def op3_jaccard_join(spark, sf_dir):
+    """Components of near copies among all documents."""
+    return jaccard.linked_components(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op4_katz_backoff(spark, sf_dir):
     """Log probabilities of all documents under a model of those outside the fold."""
