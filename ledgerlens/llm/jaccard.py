@@ -17,7 +17,7 @@ are enumerated only by documents that consist of little else.
 Documents with equal sets are one class. Classes that meet in a signature's
 bucket are candidates: all pairs of a small group; in a larger one every class
 with the group's first class. Candidates are compared as whole sets and joined to
-components. Then, in larger groups that still hold several components, the pairs
+components (parity sketches exclude most others before that). Then, in larger groups that still hold several components, the pairs
 across components follow, unless sizes or parity sketches exclude them. So
 every link between different sets is either found or inside a component already.
 
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import blocks, packs
-from ledgerlens.llm.shingles import ShingleSets
+from ledgerlens.llm.shingles import ShingleSets, least_difference
 
 U = np.uint64
 SMALL_GROUP = 8
@@ -100,7 +100,7 @@ def _summed(slices: DataFrame) -> np.ndarray:
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """Rows of kinds doc (doc_id, n, class, parity) and slice (slice, counts)."""
+    """Rows of kinds doc (doc_id, n, class, its first half as name, parity) and slice (slice, counts)."""
     def measure(batches):
         counts = np.zeros(_COUNTERS, np.int64)
         for batch in batches:
@@ -111,19 +111,19 @@ def _classes(docs: DataFrame) -> DataFrame:
                 names = np.column_stack(sets.digests())
                 yield pa.RecordBatch.from_arrays([
                     pa.array(["doc"] * n, pa.string()), part.column("doc_id"), pa.array(sets.sizes.astype(np.int64)),
-                    blocks.binary_column(list(names)), blocks.binary_column(list(sets.parities())),
-                    pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
+                    blocks.binary_column(list(names)), pa.array(names[:, 0].view(np.int64) if n else [], pa.int64()),
+                    blocks.binary_column(sets.parities()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
                 ], names=names_)
         found = _sliced(counts)
         n = len(found)
         yield pa.RecordBatch.from_arrays([
             pa.array(["slice"] * n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()),
-            pa.nulls(n, pa.binary()), pa.array([i for i, _ in found], pa.int32()), pa.array([c for _, c in found], pa.binary()),
+            pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array([i for i, _ in found], pa.int32()), pa.array([c for _, c in found], pa.binary()),
         ], names=names_)
 
-    names_ = ["kind", "doc_id", "n", "class", "parity", "slice", "counts"]
+    names_ = ["kind", "doc_id", "n", "class", "name", "parity", "slice", "counts"]
     return docs.mapInArrow(
-        measure, "kind string, doc_id bigint, n bigint, class binary, parity binary, slice int, counts binary")
+        measure, "kind string, doc_id bigint, n bigint, class binary, name bigint, parity binary, slice int, counts binary")
 
 
 def _enumerated(docs: DataFrame, counts, buckets: int) -> DataFrame:
@@ -209,6 +209,20 @@ def _candidates(sent: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(meet, "kind string, a bigint, b bigint, grp bigint, members binary")
 
 
+def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that sizes and parity sketches do not exclude."""
+    def compare(batches):
+        for batch in batches:
+            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
+            least = np.array([int(least_difference(packs.u64(x), packs.u64(y)))
+                              for x, y in zip(batch.column("x"), batch.column("y"), strict=True)], np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(7 * least <= n + m))
+
+    left = classes.select(F.col("name").alias("a"), F.col("parity").alias("x"), "n")
+    right = classes.select(F.col("name").alias("b"), F.col("parity").alias("y"), F.col("n").alias("m"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y", "n", "m").mapInArrow(compare, "a bigint, b bigint")
+
+
 def _marked(pairs: DataFrame) -> np.ndarray:
     """Fixed-size table of marks of the classes that occur in pairs."""
     def mark(batches):
@@ -287,18 +301,26 @@ def _across(groups: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFra
     def cross(key, table):
         place = np.unique(np.array([v.as_py() for v in table["label"]], object), return_inverse=True)[1]
         name, size = table["name"].to_numpy(), table["n"].to_numpy()
-        parity = np.stack([packs.u64(v) for v in table["parity"]])
-        mine = np.flatnonzero(table["own"].to_numpy(zero_copy_only=False))
+        parity = [packs.u64(v) for v in table["parity"]]
+        words = np.array([len(x) for x in parity])
+        own = np.flatnonzero(table["own"].to_numpy(zero_copy_only=False))
+        stacked = {w: (np.flatnonzero(words == w), np.stack([x for x in parity if len(x) == w])) for w in set(words.tolist())}
         a, b = [], []
-        for i in mine:
-            apart = (place > place[i]) & _near_in_size(size, size[i])
-            others = np.flatnonzero(apart)
-            differ = np.bitwise_count(parity[others] ^ parity[i]).sum(axis=1)
-            others = others[7 * differ.astype(np.int64) <= size[others] + size[i]]
-            a.append(np.full(len(others), name[i]))
-            b.append(name[others])
-        empty = np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(np.concatenate([empty, *a]), pa.int64()), "b": pa.array(np.concatenate([empty, *b]), pa.int64())})
+        for i in own:
+            found = []
+            for rows, sketches in stacked.values():
+                near = (place[rows] > place[i]) & _near_in_size(size[rows], size[i])
+                rows, sketches = rows[near], sketches[near]
+                found.append(name[rows[7 * least_difference(sketches, parity[i]) <= size[rows] + size[i]]])
+            found = np.concatenate(found)
+            if len(found):
+                a.append(int(name[i]))
+                b.append(np.sort(found).tobytes())
+        return pa.table({"a": pa.array(a, pa.int64()), "others": pa.array(b, pa.binary())})
+
+    def once(key, table):
+        others = np.unique(np.concatenate([np.frombuffer(v.as_buffer(), np.int64) for v in table["others"]]))
+        return pa.table({"a": pa.array(np.full(len(others), key[0].as_py()), pa.int64()), "b": pa.array(others)})
 
     known = classes.join(labels, classes["class"] == labels["node"], "left").select(
         "name", "n", "parity", F.coalesce("label", "class").alias("label"))
@@ -310,7 +332,7 @@ def _across(groups: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFra
     rows = rows.withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1))).withColumn(
         "own", F.pmod(F.xxhash64("name"), shares) == F.col("share"))
     return rows.select("grp", "share", "name", "n", "parity", "label", "own").groupBy("grp", "share").applyInArrow(
-        cross, "a bigint, b bigint").distinct()
+        cross, "a bigint, others binary").groupBy("a").applyInArrow(once, "a bigint, b bigint")
 
 
 def linked_components(docs: DataFrame) -> DataFrame:
@@ -320,16 +342,16 @@ def linked_components(docs: DataFrame) -> DataFrame:
     work = packs.Work(spark, "jaccard")
     _, size = packs.corpus_size(docs)
     measured = work.keep(_classes(docs), "classes", by="kind")
-    rows = measured.where("kind = 'doc'").select("doc_id", "n", "class", "parity")
+    rows = measured.where("kind = 'doc'").select("doc_id", "n", "class", "name", "parity")
     counts = _summed(measured.where("kind = 'slice'").select("slice", "counts")).astype(np.uint32)
-    name = F.expr("cast(conv(hex(reverse(substring(class, 1, 8))), 16, -10) as bigint)")
     classes = rows.where("n > 0").groupBy("class").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parity").alias("parity")).withColumn("name", name)
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("name").alias("name"),
+        F.first("parity").alias("parity"))
 
     shared = spark.sparkContext.broadcast(counts)
     found = work.keep(_candidates(_enumerated(docs, shared, packs.parts_for(size))), "candidates", by="kind")
     shared.unpersist()
-    pairs = work.keep(found.where("kind = 'pair'").select("a", "b").distinct(), "pairs")
+    pairs = work.keep(_possible(found.where("kind = 'pair'").select("a", "b").distinct(), classes), "pairs")
     links = work.keep(_compared(docs, pairs, work), "links")
     labels = components(links, work)
 

@@ -5,10 +5,11 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import backoff, chat, factorisation, jaccard, mixing, outliers, packs, secrets, substrings, syncmers
+from ledgerlens.llm import backoff, chat, factorisation, jaccard, mixing, outliers, packs, pieces, secrets, substrings, syncmers
 from ledgerlens.llm.shipping import ship
 
 QUERIES = {}
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _query(run):
@@ -25,7 +26,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _remainder(key: str, by: int):
+def remainder(key: str, by: int):
     """crc32 of a key as text, modulo `by`; a missing key counts as the empty text."""
     return F.crc32(F.encode(F.coalesce(F.col(key).cast("string"), F.lit("")), "UTF-8")) % by
 
@@ -64,7 +65,7 @@ def op3_jaccard_join(spark, sf_dir):
 @_query
 def op4_katz_backoff(spark, sf_dir):
     """Log probabilities of all documents under a model of those outside the fold."""
-    docs = _table(spark, sf_dir, "documents").withColumn("train", _remainder("doc_id", 7) != 2)
+    docs = _table(spark, sf_dir, "documents").withColumn("train", remainder("doc_id", 7) != 2)
     return backoff.katz_scores(docs).select(
         "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
@@ -73,12 +74,21 @@ def op4_katz_backoff(spark, sf_dir):
 def op5_factorisation_machine(spark, sf_dir):
     """Quality of all documents, learnt from the labels outside the fold."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    model = factorisation.train(docs, labels.where(_remainder("doc_id", 4) != 2))
+    model = factorisation.train(docs, labels.where(remainder("doc_id", 4) != 2))
     return factorisation.scored(docs.select("doc_id", "text"), model).select(
-        "doc_id", (_remainder("doc_id", 4) == 2).alias("held_out"), "score",
+        "doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score",
         (F.col("score") >= factorisation.THRESHOLD).cast("int").alias("predicted"))
 
 
+@_query
+def op6_nbest_pieces(spark, sf_dir):
+    """The three best segmentations of all documents, and the best one decoded."""
+    rows = pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_MODEL).drop("text")
+    return pieces.decode(rows, PIECE_MODEL).select(
+        "doc_id", "n_pieces", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), "scores", "alternatives")
+
+
 @_query
 def op7_robust_outliers(spark, sf_dir):
     """Base rules and outliers per language and source, over all documents."""

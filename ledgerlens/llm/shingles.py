@@ -7,7 +7,6 @@ import numpy as np
 from ledgerlens.llm import blocks
 
 WIDTH = 5
-PARITY_WORDS = 4  # 64-bit words of a parity sketch
 
 
 class ShingleSets:
@@ -43,9 +42,31 @@ class ShingleSets:
             out.append(blocks.mix(total[self.first[1:]] - total[self.first[:-1]] + self.sizes.astype(np.uint64)))
         return out[0], out[1]
 
-    def parities(self) -> np.ndarray:
-        """Bit sketches: one more or one less element changes one bit, so sketches differ in no more bits than sets do."""
-        bit = blocks.mix(self.hashes ^ np.uint64(0x6A09_E667_F3BC_C908)) % np.uint64(64 * PARITY_WORDS)
-        out = np.zeros((len(self.sizes), PARITY_WORDS), np.uint64)
-        np.bitwise_xor.at(out, (self.owner, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
-        return out
+    def parities(self) -> list[np.ndarray]:
+        """Bit sketches of 4 to 8 bits per element (a power of two, 64 at least).
+
+        Each element turns one bit over, so the sketches of two sets differ in no
+        more bits than the sets do in elements. Halves laid over one another are
+        the sketch of half the size.
+        """
+        level = np.floor(np.log2(np.maximum(self.sizes, 1))).astype(np.int64)
+        words = np.maximum(1, (8 << level) >> 6)
+        at = np.concatenate([[0], np.cumsum(words)])
+        bit = blocks.mix(self.hashes ^ np.uint64(0x6A09_E667_F3BC_C908)).astype(np.int64) & ((words << 6) - 1)[self.owner]
+        out = np.zeros(at[-1], np.uint64)
+        np.bitwise_xor.at(out, at[self.owner] + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+        return np.split(out, at[1:-1])
+
+
+def folded(parity: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (in the last dimension) brought to a smaller size."""
+    while parity.shape[-1] > words:
+        half = parity.shape[-1] // 2
+        parity = parity[..., :half] ^ parity[..., half:]
+    return parity
+
+
+def least_difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Elements in which the sets of two sketches differ at least."""
+    words = min(a.shape[-1], b.shape[-1])
+    return np.bitwise_count(folded(a, words) ^ folded(b, words)).sum(axis=-1, dtype=np.int64)
