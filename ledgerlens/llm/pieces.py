@@ -36,10 +36,10 @@ N = 3
 UNKNOWN = 10.0
 MARK = 0x2581
 _LITERAL = 0x110000  # a mark that stands in the text itself
-_LONG = 64  # stretches up to this are worked on together
+_LONG = 40  # stretches up to this are worked on together
 _NONE = -1e18
 _BITS = 20
-_BYTES = 2_000_000
+_BYTES = 600_000
 RESULTS = StructType([
     StructField("n_pieces", LongType()), StructField("ids", ArrayType(IntegerType())),
     StructField("scores", ArrayType(DoubleType())),
@@ -347,10 +347,12 @@ def decode(rows: DataFrame, model_path: str, column: str = "ids", into: str = "d
         for batch in batches:
             lists = batch.column(column).fill_null([])
             offsets = lists.offsets.to_numpy().astype(np.int64)
-            ids = lists.values.to_numpy()[offsets[0]:offsets[-1]]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, decoded(model, ids, offsets - offsets[0]).cast(pa.string())],
-                names=[*batch.schema.names, into])
+            for begin, end in blocks.slices(np.diff(offsets), _BYTES // 4):
+                part = offsets[begin:end + 1]
+                ids = lists.values.to_numpy()[part[0]:part[-1]]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.slice(begin, end - begin).columns, decoded(model, ids, part - part[0]).cast(pa.string())],
+                    names=[*batch.schema.names, into])
 
     return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(into, StringType())]))
 
