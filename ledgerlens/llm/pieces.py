@@ -135,9 +135,12 @@ def nbest(model: Pieces, codes: list[int], n: int) -> list[tuple[float, list[int
     for end in range(1, len(codes) + 1):
         best[end] = max(best[start] + score for start, score, _ in lattice[end])
     queue: list = [(-best[-1], 0, len(codes), 0.0, None)]
-    out, serial = [], 0
+    out, serial, visits = [], 0, [0] * (len(codes) + 1)
     while queue and len(out) < n:
         _, _, at, behind, path = heapq.heappop(queue)
+        visits[at] += 1
+        if visits[at] > n:  # n better ways on from here are known
+            continue
         if at == 0:
             ids: list[int] = []
             while path is not None:
@@ -146,7 +149,7 @@ def nbest(model: Pieces, codes: list[int], n: int) -> list[tuple[float, list[int
             out.append((behind, ids))
             continue
         for start, score, own in lattice[at]:
-            serial += 1
+            serial -= 1  # of equal paths the longest first
             heapq.heappush(queue, (-(best[start] + score + behind), serial, start, score + behind, (own, path)))
     return out
 
