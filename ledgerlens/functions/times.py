@@ -23,8 +23,8 @@ def slot_start(number: Column, width: int) -> Column:
 
 
 def iso_utc(timestamp: Column) -> Column:
-    """ISO text with a trailing Z, for a session in UTC."""
-    return F.date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    """ISO text with a trailing Z, whatever the session's time zone is."""
+    return F.date_format(F.to_utc_timestamp(timestamp, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
 def slot_or_spread(usable: Column, number: Column) -> Column:

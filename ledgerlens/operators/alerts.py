@@ -16,7 +16,7 @@ FEED_SIZE = 100
 MAX_PAGE_SIZE = 100
 # ----------------------------------------------------------------------------
 
-_TOP_K_ROWS = 1_000_000
+_TOP_K_ROWS = 10_000
 
 
 def detection_level(decisions: DataFrame) -> DataFrame:

@@ -43,8 +43,11 @@ def decisions_per_message(messages: DataFrame) -> DataFrame:
 
 
 def latest_message(df: DataFrame, name: str) -> DataFrame:
-    """Latest message per transaction as a struct column; copies collapse before the shuffle."""
-    newest = F.struct("timestamp", F.xxhash64(*df.columns))
+    """Latest message per transaction as a struct column; copies collapse before the shuffle.
+
+    Latest by instant: ISO texts with and without fractions or offsets do not sort as text.
+    """
+    newest = F.struct(F.col("timestamp").try_cast("timestamp"), "timestamp", F.xxhash64(*df.columns))
     return drop_undecodable(df).groupBy("transaction_id").agg(
         F.max_by(F.struct(*df.columns), newest).alias(name)
     )

@@ -164,7 +164,7 @@ def register_model(model: PipelineModel, comparison: DataFrame, run_id: str, pat
         comparison.select(
             F.lit(name).alias("name"), F.lit(version).alias("version"), F.lit(run_id).alias("run_id"),
             F.lit(model_path).alias("model_path"), F.lit("Staging").alias("stage"),
-            F.format_string("Trained on %s. AUC: %.4f, PR-AUC: %.4f", F.current_date().cast("string"),
+            F.format_string("Trained on %s; holdout ROC area %.4f, PR area %.4f", F.current_date().cast("string"),
                             F.col("auc_score"), F.col("pr_auc")).alias("description"),
             F.current_timestamp().alias("created_at"),
         ).write.mode("append").parquet(f"{path}/registry")

@@ -52,11 +52,12 @@ def judge_reviews(reviews: DataFrame, judgements: DataFrame) -> tuple[DataFrame,
     """New snapshot of the reviews, and the feedback to append.
 
     Resolved reviews may be judged again: a later judgement moves updated_at.
-    Judgements are reduced to one time per review before the join.
+    Judgements are reduced to one time per review before the join; one without a
+    time counts as made now.
     """
     feedback = feedback_rows(judgements, reviews)
     judged = valid_judgements(judgements).groupBy(F.col("review_id").alias("id")).agg(
-        F.max("judged_at").alias("_judged_at")
+        F.max(F.coalesce("judged_at", F.current_timestamp())).alias("_judged_at")
     )
     hit = F.col("_judged_at").isNotNull()
     snapshot = reviews.join(judged, "id", "left").withColumns({
