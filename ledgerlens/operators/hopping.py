@@ -38,10 +38,10 @@ def window_counts(df: DataFrame, size_slide: tuple[int, int], name: str) -> Data
 def user_stats_24h(df: DataFrame) -> DataFrame:
     if df.isStreaming:
         return window_stats(df)
-    slots = with_pivot(_slots(df, STATS_24H, moments_aggs("amount")))
-    w = F.col("_w")
-    return _all_windows(slots, STATS_24H, moments_over).withColumn("_m", pooled_moments(w)).select(
-        "user_id", "window", mean_of(F.col("_m")).alias("mean_amount"), stddev_of(F.col("_m")).alias("stddev_amount")
+    slots = _slots(df, STATS_24H, moments_aggs("amount"))
+    moments = F.col("_w.moments")
+    return _all_windows(slots, STATS_24H, _per_slot_moments).select(
+        "user_id", "window", mean_of(moments).alias("mean_amount"), stddev_of(moments).alias("stddev_amount")
     )
 
 
@@ -57,11 +57,7 @@ def _counts(df: DataFrame, size_slide: tuple[int, int], name: str) -> DataFrame:
     if df.isStreaming:
         return window_counts(df, size_slide, name)
     slots = _slots(df, size_slide, [F.count("*").alias("n")])
-    return _all_windows(slots, size_slide, _count_over).select("user_id", "window", F.col("_w.n").alias(name))
-
-
-def _count_over(frame):
-    return [F.sum("n").over(frame).alias("n")]
+    return _all_windows(slots, size_slide, _per_slot_counts).select("user_id", "window", F.col("_w.n").alias(name))
 
 
 def _slots(df: DataFrame, size_slide: tuple[int, int], aggregates) -> DataFrame:
@@ -70,11 +66,11 @@ def _slots(df: DataFrame, size_slide: tuple[int, int], aggregates) -> DataFrame:
     return df.filter(F.col("timestamp").isNotNull()).groupBy("user_id", slot.alias("_slot")).agg(*aggregates)
 
 
-def _all_windows(slots: DataFrame, size_slide: tuple[int, int], measures) -> DataFrame:
+def _all_windows(slots: DataFrame, size_slide: tuple[int, int], per_slot) -> DataFrame:
     """Every window that holds a transaction, once: it is taken from the first of its slots that has any."""
     size, slide = size_slide
     before = F.lag("_slot").over(Window.partitionBy("user_id").orderBy("_slot"))
-    unfolded = _per_slot_windows(slots.withColumn("_before", before), size // slide, measures, "_before").select(
+    unfolded = per_slot(slots.withColumn("_before", before), size // slide, "_before").select(
         "user_id", "_before", F.explode("_windows").alias("_w")
     )
     first = F.col("_w.first_slot")
@@ -86,24 +82,43 @@ def _all_windows(slots: DataFrame, size_slide: tuple[int, int], measures) -> Dat
     )
 
 
-def _per_slot_windows(slots: DataFrame, hops: int, measures, *keep: str) -> DataFrame:
-    """For every (user, slot) an array with one struct per window that covers the slot.
+def _per_slot_counts(slots: DataFrame, hops: int, *keep: str) -> DataFrame:
+    """For every (user, slot) an array with one struct (first_slot, n) per window that covers the slot.
 
     The window that starts i slots earlier spans the slots from -i to hops - 1 - i
     around the current one, which is a range frame over the user's slots. Frames
-    hold at most 2 * hops - 1 rows, and a user has one row per slot, however many
+    hold at most hops rows, and a user has one row per slot, however many
     transactions fall in it.
     """
     ordered = Window.partitionBy("user_id").orderBy("_slot")
 
     def window(i):
         frame = ordered.rangeBetween(-i, hops - 1 - i)
-        return F.struct((F.col("_slot") - i).alias("first_slot"), *measures(frame))
+        return F.struct((F.col("_slot") - i).alias("first_slot"), F.sum("n").over(frame).alias("n"))
 
     return slots.select("user_id", "_slot", *keep, F.array(*[window(i) for i in range(hops - 1, -1, -1)]).alias("_windows"))
 
 
-def _join_windows(df: DataFrame, source: DataFrame, size_slide, slot_aggs, prepare, measures, outputs) -> DataFrame:
+def _per_slot_moments(slots: DataFrame, hops: int, *keep: str) -> DataFrame:
+    """Like _per_slot_counts with structs (first_slot, moments).
+
+    Each slot meets the moments of its 2 * hops - 1 neighbours at most, and every
+    window pools those that it spans.
+    """
+    around = Window.partitionBy("user_id").orderBy("_slot").rangeBetween(1 - hops, hops - 1)
+    part = F.struct("_slot", direct_moments().alias("moments"))
+    near = slots.select("user_id", "_slot", *keep, F.collect_list(part).over(around).alias("_near"))
+
+    def window(back):
+        first = F.col("_slot") - back
+        inside = F.filter("_near", lambda part: part["_slot"].between(first, first + hops - 1))
+        return F.struct(first.alias("first_slot"), pooled_moments(inside["moments"]).alias("moments"))
+
+    starts = F.sequence(F.lit(hops - 1), F.lit(0), F.lit(-1))
+    return near.select("user_id", "_slot", *keep, F.transform(starts, window).alias("_windows"))
+
+
+def _join_windows(df: DataFrame, source: DataFrame, size_slide, slot_aggs, per_slot, outputs) -> DataFrame:
     """Left join of each row with all windows of `source` that hold it.
 
     Rows are not multiplied before the shuffle: they meet their slot's array of
@@ -115,7 +130,7 @@ def _join_windows(df: DataFrame, source: DataFrame, size_slide, slot_aggs, prepa
     slot = times.slot(times.micros(F.col("timestamp")), slide)
     placed = df.withColumn("_slot", slot)
     slots = _slots(source.filter(F.col("user_id").isNotNull()), size_slide, slot_aggs)
-    windows = _per_slot_windows(prepare(slots), size // slide, measures)
+    windows = per_slot(slots, size // slide)
     joined = placed.join(windows, ["user_id", "_slot"], "left")
     return joined.select(
         *df.columns, F.explode_outer("_windows").alias("_w")
@@ -130,15 +145,15 @@ def _join_windows(df: DataFrame, source: DataFrame, size_slide, slot_aggs, prepa
 def join_window_stats(df: DataFrame) -> DataFrame:
     """Every transaction with mean and deviation of each 24 h window that holds it (24 per row)."""
     def outputs(w):
-        moments = pooled_moments(w)
+        moments = w["moments"]
         return [mean_of(moments).alias("mean_amount"), stddev_of(moments).alias("stddev_amount")]
 
-    return _join_windows(df, df, STATS_24H, moments_aggs("amount"), with_pivot, moments_over, outputs)
+    return _join_windows(df, df, STATS_24H, moments_aggs("amount"), _per_slot_moments, outputs)
 
 
 def _join_counts(df: DataFrame, source: DataFrame | None, size_slide, name: str) -> DataFrame:
     return _join_windows(
-        df, df if source is None else source, size_slide, [F.count("*").alias("n")], lambda slots: slots, _count_over,
+        df, df if source is None else source, size_slide, [F.count("*").alias("n")], _per_slot_counts,
         lambda w: [w["n"].alias(name)],
     )
 
@@ -195,43 +210,38 @@ def moments_aggs(value: str):
     ]
 
 
-def direct_moments(raw: Column) -> Column:
-    """Moments struct from raw moments."""
+def direct_moments(raw: Column | None = None) -> Column:
+    """Moments struct from raw moments, those of a struct or of the row itself."""
+    def part(name):
+        return F.col(name) if raw is None else raw[name]
+
     return F.struct(
-        raw["n"].alias("n"), raw["mean"].alias("mean"), (raw["variance"] * raw["n"]).alias("m2"),
-        raw["lowest"].alias("lowest"), raw["highest"].alias("highest"),
+        part("n").alias("n"), part("mean").alias("mean"), (part("variance") * part("n")).alias("m2"),
+        part("lowest").cast("double").alias("lowest"), part("highest").cast("double").alias("highest"),
     )
 
 
-def with_pivot(groups: DataFrame) -> DataFrame:
-    """Prepare rows of raw moments per user for moments_over.
+def pooled_moments(parts: Column) -> Column:
+    """Moments struct of an array of disjoint ones, merged pair by pair.
 
-    Means are compared with a pivot of similar size, the user's own level, so
-    that large amounts with a small spread keep their precision.
+    Every step compares means of the array itself, so the spread of a frame keeps
+    its precision whatever the level of other amounts of the user.
     """
-    pivoted = groups.withColumn("_pivot", F.avg("mean").over(Window.partitionBy("user_id")))
-    shifted = F.col("mean") - F.col("_pivot")
-    return pivoted.withColumns({
-        "_first": F.col("n") * shifted, "_second": F.col("n") * (F.col("variance") + shifted * shifted),
-    })
-
-
-def moments_over(frame):
-    """Raw sums over the rows of a window frame, each row being raw moments with a pivot."""
-    return [
-        F.sum("n").over(frame).alias("n"), F.sum("_first").over(frame).alias("first"),
-        F.sum("_second").over(frame).alias("second"), F.min("lowest").over(frame).alias("lowest"),
-        F.max("highest").over(frame).alias("highest"), F.col("_pivot").alias("pivot"),
-    ]
-
-
-def pooled_moments(raw: Column) -> Column:
-    """Moments struct from the raw sums of moments_over."""
-    offset = raw["first"] / F.nullif(raw["n"], F.lit(0))
-    return F.struct(
-        raw["n"].alias("n"), (raw["pivot"] + offset).alias("mean"),
-        F.greatest(raw["second"] - raw["first"] * offset, F.lit(0.0)).alias("m2"),
-        raw["lowest"].alias("lowest"), raw["highest"].alias("highest"),
+    def merge(a, p):
+        n, gap = a["n"] + p["n"], p["mean"] - a["mean"]
+        return F.struct(
+            n.alias("n"), (a["mean"] + gap * p["n"] / n).alias("mean"),
+            (a["m2"] + p["m2"] + gap * gap * a["n"] * p["n"] / n).alias("m2"),
+            F.least(a["lowest"], p["lowest"]).alias("lowest"), F.greatest(a["highest"], p["highest"]).alias("highest"),
+        )
+
+    empty = F.struct(
+        F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"),
+        F.lit(None).cast("double").alias("lowest"), F.lit(None).cast("double").alias("highest"),
+    )
+    return F.aggregate(
+        F.filter(parts, lambda p: p["n"] > 0), empty, merge,
+        lambda a: a.withField("mean", F.when(a["n"] > 0, a["mean"])),
     )
 
 

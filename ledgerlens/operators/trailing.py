@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import scoring, times
 from ledgerlens.functions.times import DAY, HOUR, MINUTE
 from ledgerlens.operators.hopping import (
-    amount_zscore, direct_moments, mean_of, merge_moments, moments_aggs, moments_over, pooled_moments, stddev_of,
-    with_pivot,
+    amount_zscore, direct_moments, mean_of, merge_moments, moments_aggs, pooled_moments, stddev_of,
 )
 
 _SHIFTS = (MINUTE, HOUR, DAY)
@@ -29,9 +28,9 @@ def trailing_features(df: DataFrame, busy_day: int = BUSY_DAY) -> DataFrame:
     are none, adaptive execution drops that path.
     """
     usable = F.col("user_id").isNotNull() & F.col("timestamp").isNotNull()
-    # Rows that belong to no user are spread by input partition instead of forming one huge key.
+    # A row that belongs to no user is a group by itself: no huge key, and no frame to run over.
     key = F.when(usable, F.concat(F.lit("u"), F.col("user_id"))).otherwise(
-        F.concat(F.lit("-"), F.spark_partition_id().cast("string"))
+        F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))
     )
     day = times.slot(times.micros(F.col("timestamp")), DAY)
     busy = df.filter(usable).groupBy("user_id", day.alias("day")).agg(F.count("*").alias("n")) \
@@ -104,7 +103,7 @@ def _minute_frames(df: DataFrame) -> DataFrame:
 
     joined = edges.join(_whole_minutes(df), ["user_id", "minute"])
     moments = merge_moments([
-        direct_moments(F.col("m_until")), pooled_moments(F.col("m_between")), direct_moments(F.col("m_since")),
+        direct_moments(F.col("m_until")), F.col("m_between"), direct_moments(F.col("m_since")),
     ])
     return joined.withColumn("moments", moments).select(
         "row.*",
@@ -115,18 +114,45 @@ def _minute_frames(df: DataFrame) -> DataFrame:
 
 
 def _whole_minutes(known: DataFrame) -> DataFrame:
-    """Per (user, minute): raw moments of the 1,439 and count of the 59 whole minutes before it."""
-    minute = times.slot(times.micros(F.col("timestamp")), MINUTE)
-    minutes = known.groupBy("user_id", minute.alias("minute")).agg(
-        F.count("*").alias("transactions"), *moments_aggs("amount")
+    """Per (user, minute): moments of the 1,439 and count of the 59 whole minutes before it.
+
+    The 1,439 minutes are those before it in its hour, the 23 whole hours before
+    that, and the end of the hour before those: lists of 59, 23 and 59 at most.
+    """
+    at = times.micros(F.col("timestamp"))
+
+    def per(width, name):
+        return known.groupBy("user_id", times.slot(at, width).alias(name)).agg(
+            F.count("*").alias("transactions"), *moments_aggs("amount")
+        )
+
+    minutes_of_hour = HOUR // MINUTE
+    this_hour = F.floor(F.col("minute") / minutes_of_hour).cast("bigint")
+    minutes = per(MINUTE, "minute").withColumns({"hour": this_hour, "part": direct_moments()})
+    by_minute = Window.partitionBy("user_id").orderBy("minute")
+    before = by_minute.rangeBetween(1 - minutes_of_hour, -1)
+    far = by_minute.rangeBetween(1 - DAY // MINUTE, minutes_of_hour - DAY // MINUTE)
+    listed = F.struct("hour", "part")
+    minutes = minutes.select(
+        "user_id", "minute", "hour",
+        F.collect_list(listed).over(before).alias("before"), F.collect_list(listed).over(far).alias("far"),
+        F.sum("transactions").over(before).alias("n_between"),
     )
-    ordered = Window.partitionBy("user_id").orderBy("minute")
-    day = ordered.rangeBetween(1 - DAY // MINUTE, -1)
-    hour = ordered.rangeBetween(1 - HOUR // MINUTE, -1)
-    return with_pivot(minutes).select(
-        "user_id", "minute",
-        F.struct(*moments_over(day)).alias("m_between"),
-        F.sum("transactions").over(hour).alias("n_between"),
+
+    by_hour = Window.partitionBy("user_id").orderBy("hour")
+    hours = per(HOUR, "hour").select(
+        "user_id", "hour",
+        F.collect_list(direct_moments()).over(by_hour.rangeBetween(1 - DAY // HOUR, -1)).alias("hours"),
+    )
+
+    def in_hour(parts, hour):
+        return F.filter(parts, lambda p: p["hour"] == hour)["part"]
+
+    return minutes.join(hours, ["user_id", "hour"]).select(
+        "user_id", "minute", "n_between",
+        pooled_moments(F.concat(
+            in_hour("before", F.col("hour")), F.col("hours"), in_hour("far", F.col("hour") - DAY // HOUR),
+        )).alias("m_between"),
     )
 
 

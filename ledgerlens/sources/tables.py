@@ -1,18 +1,21 @@
 """Tables: Parquet folders, or a database over JDBC.
 
 `where` is a folder with one sub-folder per table, or a dict of JDBC options
-(url, driver, user ...). Parquet tables of the pipeline are partitioned by date
-and, when written by a stream, by the epoch that wrote them, so that a repeated
-micro-batch replaces its own rows.
+(url, driver, user ...). Parquet tables of the pipeline are partitioned by who
+wrote them, by the epoch of the writer, and by date. A stream's writer is the id
+in its checkpoint: a repeated micro-batch replaces its own rows, and a stream with
+a new checkpoint, whose epochs start again, leaves those of others alone.
 """
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, IntegerType, StructField, StructType
+from pyspark.sql.types import DateType, IntegerType, StringType, StructField, StructType
 
 from ledgerlens import schemas
 
+BATCH = "batch"  # writer of rows that no stream wrote
+
 SCHEMAS = {
     "manual_reviews": schemas.MANUAL_REVIEWS,
     "feedback_labels": schemas.FEEDBACK_LABELS,
@@ -39,29 +42,33 @@ def read_table(spark: SparkSession, where, name: str, schema=None) -> DataFrame:
     return found if schema is None else found.select(*schema.names)
 
 
-def append_table(df: DataFrame, where, name: str, day: str = "created_at", epoch: int | None = None) -> None:
-    """Append rows. With `epoch` the write is idempotent: the epoch's own partitions are overwritten."""
+def append_table(
+    df: DataFrame, where, name: str, day: str = "created_at", epoch: int | None = None, writer: str = BATCH
+) -> None:
+    """Append rows. With `epoch` the write is idempotent: it replaces all that this writer's epoch wrote before."""
     if isinstance(where, dict):
         df.write.format("jdbc").options(**where).option("dbtable", name).mode("append").save()
         return
     rows = df.withColumn("day", F.to_date(day))
     if epoch is None:
-        rows.write.mode("append").partitionBy("day").parquet(_folder(where, name))
+        rows.withColumns({"writer": F.lit(writer), "epoch": F.lit(0)}).write.mode("append") \
+            .partitionBy("writer", "epoch", "day").parquet(_folder(where, name))
     else:
-        rows.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").partitionBy("day", "epoch") \
-            .option("partitionOverwriteMode", "dynamic").parquet(_folder(where, name))
+        # the whole folder is replaced: a repeat may date its rows differently
+        rows.write.mode("overwrite").partitionBy("day").option("partitionOverwriteMode", "static") \
+            .parquet(f"{_folder(where, name)}/writer={writer}/epoch={epoch}")
 
 
-def append_final_decisions(rows: DataFrame, where, epoch: int | None = None) -> None:
-    append_table(rows, where, "final_decisions", epoch=epoch)
+def append_final_decisions(rows: DataFrame, where, epoch: int | None = None, writer: str = BATCH) -> None:
+    append_table(rows, where, "final_decisions", epoch=epoch, writer=writer)
 
 
-def append_manual_reviews(rows: DataFrame, where, epoch: int | None = None) -> None:
-    append_table(rows, where, "manual_reviews", epoch=epoch)
+def append_manual_reviews(rows: DataFrame, where, epoch: int | None = None, writer: str = BATCH) -> None:
+    append_table(rows, where, "manual_reviews", epoch=epoch, writer=writer)
 
 
-def append_feedback(rows: DataFrame, where, epoch: int | None = None) -> None:
-    append_table(rows, where, "feedback_labels", epoch=epoch)
+def append_feedback(rows: DataFrame, where, epoch: int | None = None, writer: str = BATCH) -> None:
+    append_table(rows, where, "feedback_labels", epoch=epoch, writer=writer)
 
 
 def replace_reviews(snapshot: DataFrame, where: str, name: str) -> None:
@@ -78,28 +85,32 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def upsert_hot_features(batch: DataFrame, where: str, epoch: int) -> None:
+def upsert_hot_features(batch: DataFrame, where: str, epoch: int, writer: str = BATCH) -> None:
     """New version of the users' hot features. Readers take the newest version of a user within its TTL."""
-    batch.withColumn("day", F.to_date("updated_at")).withColumn("epoch", F.lit(epoch)).write.mode("overwrite") \
-        .partitionBy("day", "epoch").option("partitionOverwriteMode", "dynamic") \
-        .parquet(_folder(where, "hot_features"))
+    append_table(batch, where, "hot_features", day="updated_at", epoch=epoch, writer=writer)
 
 
-def read_hot_features(spark: SparkSession, where: str) -> DataFrame:
-    return read_table(spark, where, "hot_features", schemas.HOT_FEATURES)
+def read_hot_features(spark: SparkSession, where: str, days: tuple | None = None) -> DataFrame:
+    """All versions, or those of the days from days[0] to days[1]; no other folders are read then."""
+    found = read_table(spark, where, "hot_features", _with_partitions(schemas.HOT_FEATURES))
+    kept = found if days is None else found.filter(F.col("day").between(*days))
+    return kept.select(*schemas.HOT_FEATURES.names)
 
 
 def _with_partitions(schema) -> StructType:
     base = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    return StructType([*base.fields, StructField("day", DateType()), StructField("epoch", IntegerType())])
+    return StructType([
+        *base.fields, StructField("writer", StringType()), StructField("epoch", IntegerType()), StructField("day", DateType()),
+    ])
 
 
-def read_table_before(spark: SparkSession, where: str, name: str, epoch: int, schema) -> DataFrame:
-    """Rows that earlier epochs wrote; a repeated batch does not see its own first attempt."""
-    return read_table(spark, where, name, _with_partitions(schema)).filter(F.col("epoch") < epoch)
+def read_table_before(spark: SparkSession, where: str, name: str, epoch: int, schema, writer: str = BATCH) -> DataFrame:
+    """Rows of other writers and of earlier epochs: a repeated batch does not see its own first attempt."""
+    own = (F.col("writer") == writer) & (F.col("epoch") >= epoch)
+    return read_table(spark, where, name, _with_partitions(schema)).filter(~own)
 
 
-def read_epoch(spark: SparkSession, where: str, name: str, epoch: int, schema) -> DataFrame:
-    """Rows that one epoch wrote."""
-    return read_table(spark, where, name, _with_partitions(schema)).filter(F.col("epoch") == epoch) \
-        .drop("day", "epoch")
+def read_epoch(spark: SparkSession, where: str, name: str, epoch: int, schema, writer: str = BATCH) -> DataFrame:
+    """Rows that one epoch of a writer wrote."""
+    return read_table(spark, where, name, _with_partitions(schema)).filter(
+        (F.col("writer") == writer) & (F.col("epoch") == epoch)).drop("writer", "epoch", "day")

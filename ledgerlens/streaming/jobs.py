@@ -1,11 +1,15 @@
 """Streaming jobs: thin wrappers that feed micro-batches to the batch operators.
 
 Every job writes from the executors, has a checkpoint folder of its own, and
-tags what it writes with the epoch of the micro-batch, so that a repeated batch
-replaces its tables rows instead of adding to them. Topics are at-least-once.
+tags what it writes with the id in that folder and the epoch of the micro-batch,
+so that a repeated batch replaces its tables rows instead of adding to them, and
+jobs do not replace each other's. Topics are at-least-once.
 """
 
-from pyspark.sql import DataFrame
+import datetime as dt
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,13 +17,31 @@ from ledgerlens.operators import decisions, level0, level1, level2, parse, trail
 from ledgerlens.sources import tables, topics
 from ledgerlens.streaming.windows import features_of_batch
 
+
+def writer_of(spark: SparkSession, checkpoint: str) -> str:
+    """Id of the stream that owns a checkpoint: it survives restarts, and a new checkpoint has another."""
+    return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata", wholetext=True).first()["value"])["id"]
+
+
+def _now():
+    """The time of a batch, the same in all of its writes."""
+    return F.lit(dt.datetime.now(dt.timezone.utc))
+
+
 def start(stream: DataFrame, process, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """foreachBatch with an own checkpoint; `process` sees non-empty batches only, cached for its several writes."""
+    """foreachBatch with an own checkpoint.
+
+    `process` gets non-empty batches, cached for its several writes, with their epoch and writer.
+    """
+    writer_ids = []
+
     def run(batch: DataFrame, epoch: int):
         held = batch.persist()
         try:
             if not held.isEmpty():
-                process(held, epoch)
+                if not writer_ids:
+                    writer_ids.append(writer_of(batch.sparkSession, checkpoint))
+                process(held, epoch, writer_ids[0])
         finally:
             held.unpersist()
 
@@ -29,9 +51,9 @@ def start(stream: DataFrame, process, checkpoint: str, available_now: bool = Fal
 
 def stream_gate(bodies: DataFrame, blacklist: DataFrame, topic_where, checkpoint: str, **options) -> StreamingQuery:
     """Level 0: every accepted body gives an event; quarantined ones go to level 2 as well."""
-    def process(batch: DataFrame, epoch: int):
+    def process(batch: DataFrame, epoch: int, writer: str):
         good = level0.accepted(level0.validate_schema(batch.select("value")))
-        events = level0.gatekeeping_events(level0.level0_verdict(level0.blacklist_match(good, blacklist)))
+        events = level0.gatekeeping_events(level0.level0_verdict(level0.blacklist_match(good, blacklist)), _now())
         topics.write_topic(parse.to_value(events), topics.GATEKEEPING, topic_where)
         routed = level0.route_l0_quarantined(events).withColumn(
             "amount", F.get_json_object("payload", "$.amount").try_cast("double")
@@ -41,11 +63,11 @@ def stream_gate(bodies: DataFrame, blacklist: DataFrame, topic_where, checkpoint
     return start(bodies, process, checkpoint, **options)
 
 
-def side_effects(features: DataFrame, epoch: int, topic_where, table_where) -> None:
+def side_effects(features: DataFrame, epoch: int, topic_where, table_where, writer: str = tables.BATCH) -> None:
     """What a batch of features leaves behind: enriched messages, hot features and level 2 payloads."""
     enriched = trailing.enriched_projection(features)
     topics.write_topic(parse.to_value(enriched), topics.PREPROCESSED, topic_where)
-    tables.upsert_hot_features(trailing.hot_features(features), table_where, epoch)
+    tables.upsert_hot_features(trailing.hot_features(features), table_where, epoch, writer)
     topics.write_topic(parse.to_value(level2.heavy_payload(features)), topics.LEVEL2, topic_where)
 
 
@@ -58,11 +80,11 @@ def stream_features(tx: DataFrame, topic_where, table_where, checkpoint: str, **
     a user are computed minute by minute in parallel. A late row gets its true
     trailing frame; rows already emitted are not revised.
     """
-    def process(batch: DataFrame, epoch: int):
+    def process(batch: DataFrame, epoch: int, writer: str):
         spark = batch.sparkSession
         rows = parse.time_features(batch)
         span = batch.agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last")).first()
-        past = tables.read_table_before(spark, table_where, "features", epoch, _FEATURE_ROW)
+        past = tables.read_table_before(spark, table_where, "features", epoch, _FEATURE_ROW, writer)
         if span["first"] is None:
             history = past.limit(0)
         else:
@@ -71,9 +93,9 @@ def stream_features(tx: DataFrame, topic_where, table_where, checkpoint: str, **
                 F.col("day").between(F.to_date(since), F.to_date(until)) & F.col("timestamp").between(since, until)
             ).join(batch.select("user_id").distinct(), "user_id", "left_semi")
         featured = features_of_batch(rows, history)
-        tables.append_table(featured, table_where, "features", day="timestamp", epoch=epoch)
-        written = tables.read_epoch(spark, table_where, "features", epoch, featured.schema)
-        side_effects(written, epoch, topic_where, table_where)
+        tables.append_table(featured, table_where, "features", day="timestamp", epoch=epoch, writer=writer)
+        written = tables.read_epoch(spark, table_where, "features", epoch, featured.schema, writer)
+        side_effects(written, epoch, topic_where, table_where, writer)
 
     return start(tx, process, checkpoint, **options)
 
@@ -83,9 +105,13 @@ _FEATURE_ROW = "user_id string, timestamp timestamp, amount double"
 
 def stream_level1(tx: DataFrame, topic_where, table_where, checkpoint: str, model=None, **options) -> StreamingQuery:
     """Level 1: score with the user's hot feature as of the transaction; quarantined ones go to level 2."""
-    def process(batch: DataFrame, epoch: int):
+    def process(batch: DataFrame, epoch: int, writer: str):
         spark = batch.sparkSession
-        looked_up = trailing.lookup_hot_feature(batch, tables.read_hot_features(spark, table_where))
+        span = batch.agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last")).first()
+        # a feature is seen within its TTL, so no earlier day than the one before the batch counts
+        first, last = F.lit(span["first"]).cast("date"), F.lit(span["last"]).cast("date")
+        features = tables.read_hot_features(spark, table_where, (F.date_sub(first, 1), last))
+        looked_up = trailing.lookup_hot_feature(batch, features)
         actions = level1.l1_actions(level1.model_scores(looked_up, model, "hot_tx_count_1min"))
         topics.write_topic(parse.to_value(actions), topics.LEVEL1_ACTIONS, topic_where)
         topics.write_topic(parse.to_value(level1.route_quarantined(actions)), topics.LEVEL2, topic_where)
@@ -106,15 +132,15 @@ def stream_decisions(messages: DataFrame, topic_where, table_where, checkpoint:
     for escalated transactions that no earlier epoch has opened one for: an anti
     join with the ids of the review table, which is exact and survives restarts.
     """
-    def process(batch: DataFrame, epoch: int):
+    def process(batch: DataFrame, epoch: int, writer: str):
         spark = batch.sparkSession
         made = decisions.decisions_per_message(batch)
-        at = F.coalesce(decisions.message_instant(made), F.current_timestamp())
+        at = F.coalesce(decisions.message_instant(made), _now())
         topics.write_topic(parse.to_value(decisions.final_decision(made, at)), topics.FINAL_DECISIONS, topic_where)
-        tables.append_final_decisions(decisions.final_decision_rows(made, at), table_where, epoch)
-        existing = tables.read_table_before(spark, table_where, "manual_reviews", epoch, "transaction_id string")
+        tables.append_final_decisions(decisions.final_decision_rows(made, at), table_where, epoch, writer)
+        existing = tables.read_table_before(spark, table_where, "manual_reviews", epoch, "transaction_id string", writer)
         opened = decisions.open_reviews(made, existing, at)
-        tables.append_manual_reviews(opened, table_where, epoch)
+        tables.append_manual_reviews(opened, table_where, epoch, writer)
 
     return start(messages, process, checkpoint, **options)
 

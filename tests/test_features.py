@@ -155,3 +155,45 @@ def test_pattern_flags(spark):
     got = {r["transaction_id"]: [n for n in names if r[n]] for r in profiles.fraud_pattern_flags(df).collect()}
     assert got == {"1": [], "2": ["rapid_fire"], "3": ["high_amount", "location_jump"], "4": ["new_device"],
                    "5": ["unusual_category"], "6": [], "7": [], "8": [], "9": [], "10": ["high_amount"]}
+
+
+SHIFT = [(1_000_000_000.0 + i, 0) for i in range(50)] + [(10.0 + i, 10 * 86400) for i in range(5)]
+
+
+def shifted_level(spark):
+    """One user whose amounts fall from about 1e9 to about 10."""
+    base = dt.datetime(2024, 1, 1, 13)
+    return spark.createDataFrame(
+        [(str(i), "u", amount, base + dt.timedelta(seconds=after + 60 * i)) for i, (amount, after) in enumerate(SHIFT)],
+        "transaction_id string, user_id string, amount double, timestamp timestamp")
+
+
+@pytest.mark.parametrize("busy_day", [0, 10**6])
+def test_deviation_survives_a_level_shift(spark, busy_day):
+    got = {int(r["transaction_id"]): r for r in trailing.trailing_features(shifted_level(spark), busy_day).collect()}
+    for i in range(51, 55):
+        amounts = [a for a, _ in SHIFT[50:i + 1]]
+        assert got[i]["mean_amount"] == pytest.approx(statistics.mean(amounts))
+        assert got[i]["stddev_amount"] == pytest.approx(statistics.stdev(amounts))
+
+
+def test_batch_windows_equal_plain_windows_after_a_level_shift(spark):
+    tx = shifted_level(spark)
+    got = {r["window"]: r for r in hopping.user_stats_24h(tx).collect()}
+    plain = hopping.window_stats(tx).collect()
+    assert len(got) == len(plain) == 48
+    joined = {r["window_start"]: r for r in hopping.join_window_stats(tx).collect()}
+    for r in plain:
+        for g in (got[r["window"]], joined[r["window"]["start"]]):
+            assert g["mean_amount"] == pytest.approx(r["mean_amount"])
+            assert g["stddev_amount"] == (r["stddev_amount"] and pytest.approx(r["stddev_amount"]))
+
+
+def test_rows_without_a_user_do_not_meet_in_frames(spark):
+    n = 100_000
+    tx = spark.range(0, n, 1, 1).select(
+        F.col("id").cast("string").alias("transaction_id"), F.lit(None).cast("string").alias("user_id"),
+        F.lit(1.0).alias("amount"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("timestamp"))
+    found = trailing.trailing_features(tx).agg(
+        F.count("*"), F.max("transactions_last_hour"), F.max("tx_count_1min"), F.count("mean_amount")).first()
+    assert tuple(found) == (n, 1, 1, 0)

@@ -118,3 +118,40 @@ def test_late_rows_are_left_out_of_closed_windows(spark, tmp_path):
     out = spark.read.parquet(f"{tmp_path}/out").filter(F.col("start") < "2024-01-01 02:00:00")
     assert {r["tx_count"] for r in out.collect()} == {1}
     assert out.count() == 12
+
+
+def test_a_new_checkpoint_keeps_rows_and_opens_no_second_review(spark, tmp_path):
+    where = str(tmp_path)
+    message = {"transaction_id": "t1", "user_id": "u", "device_id": "d", "amount": 9.0, "verdict": "Quarantine"}
+
+    def decide(checkpoint, *ids):
+        folder = f"{where}/in-{checkpoint}"
+        rows = [(topics.LEVEL1_ACTIONS, json.dumps(message | {"transaction_id": i, "score": 0.6, "detection_level": 1}))
+                for i in ids]
+        spark.createDataFrame(rows, "topic string, value string").coalesce(1).write.parquet(folder)
+        stream = stream_session(spark).readStream.schema("topic string, value string").parquet(folder)
+        jobs.stream_decisions(
+            stream, f"{where}/topics", f"{where}/tables", f"{where}/{checkpoint}", available_now=True).awaitTermination()
+
+    def ids(name):
+        return sorted(r[0] for r in tables.read_table(spark, f"{where}/tables", name).select("transaction_id").collect())
+
+    decide("first", "t1", "t2")
+    opened = ids("manual_reviews")
+    decide("second", "t1", "t3")
+    assert ids("final_decisions") == ["t1", "t1", "t2", "t3"]
+    assert opened and ids("manual_reviews") == sorted({*opened, "t3"})
+
+
+def test_a_repeated_epoch_replaces_rows_of_another_day(spark, tmp_path):
+    def write(day, epoch, writer):
+        rows = spark.createDataFrame([(f"{writer}-{epoch}", day)], "transaction_id string, created_at timestamp")
+        tables.append_table(rows, str(tmp_path), "audit", epoch=epoch, writer=writer)
+
+    write(dt.datetime(2024, 1, 1, 23, 59), 0, "a")
+    write(dt.datetime(2024, 1, 2, 0, 1), 0, "a")
+    write(dt.datetime(2024, 1, 2, 0, 1), 0, "b")
+    found = tables.read_table(spark, str(tmp_path), "audit").select("transaction_id", "day").collect()
+    assert sorted(map(tuple, found)) == [("a-0", dt.date(2024, 1, 2)), ("b-0", dt.date(2024, 1, 2))]
+    before = tables.read_table_before(spark, str(tmp_path), "audit", 0, "transaction_id string", "a").collect()
+    assert [r["transaction_id"] for r in before] == ["b-0"]
