@@ -22,9 +22,17 @@ def _drain(stream: DataFrame, folder: str) -> str:
 
 
 def _windows(spark, d, name: str, joined: bool, *columns: str) -> DataFrame:
-    tx = canonical.transaction_stream(stream_session(spark), d)
+    """All windows: once the input is read to its end, a closing row lets the last ones out."""
+    session, folder = stream_session(spark), work_folder(spark, name)
+    tx, closing = canonical.transaction_stream(session, d), f"{folder}/closing"
+    last = windows.closing_row(session, tx.schema)
+    last.limit(0).write.parquet(closing)
+    tx = tx.unionByName(session.readStream.schema(tx.schema).parquet(closing))
     stream = (windows.window_join if joined else windows.window_aggregate)(tx, name)
-    return spark.read.parquet(_drain(with_window_bounds(stream).select(*columns), work_folder(spark, name)))
+    out = with_window_bounds(stream).select(*columns)
+    _drain(out, folder)
+    last.write.mode("append").parquet(closing)
+    return spark.read.parquet(_drain(out, folder))
 
 
 @query

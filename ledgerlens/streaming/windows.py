@@ -1,12 +1,16 @@
 """Hopping-window features as streams."""
 
-from pyspark.sql import DataFrame
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerlens.operators import hopping, parse, trailing
 
 # --- fixed value: how late a transaction may be and still count ---------------------
 LATENESS = "10 minutes"
+CLOSING_TIME = dt.datetime(9999, 12, 31, tzinfo=dt.UTC)
 # ----------------------------------------------------------------------------
 
 WINDOWS = {
@@ -21,6 +25,18 @@ def watermarked(tx: DataFrame) -> DataFrame:
     return tx.filter(F.col("timestamp").isNotNull()).withWatermark("timestamp", LATENESS)
 
 
+def closing_row(spark: SparkSession, schema: StructType) -> DataFrame:
+    """A transaction that ends a stream: all its columns but time and user are null.
+
+    It has a user because a join leaves out rows without one before it looks at
+    their times. Windows are emitted once the watermark has passed their end, so the last ones
+    need a later event. The windows of this one stay open: it is emitted nowhere.
+    It must arrive after all others, which would be late behind it.
+    """
+    known = {"timestamp": CLOSING_TIME, "user_id": "closing"}
+    return spark.range(1).select(*(F.lit(known.get(f.name)).cast(f.dataType).alias(f.name) for f in schema))
+
+
 def window_aggregate(tx: DataFrame, name: str) -> DataFrame:
     """The batch aggregate over a watermarked stream. A window is emitted once the watermark passes its end."""
     aggregate, _ = WINDOWS[name]
@@ -32,13 +48,16 @@ def window_join(tx: DataFrame, name: str) -> DataFrame:
 
     Streams can only join on equal, watermarked keys, so the row is given its
     windows first and both sides meet on (user, window). One query per window:
-    a chain of two windows would carry two event-time columns. A row later than
-    the watermark finds its windows closed and is emitted without statistics.
+    a chain of two windows would carry two event-time columns. Only the windows
+    are watermarked, not the rows: a row later than the watermark finds its windows
+    closed and is emitted without statistics. A row without time has no window and
+    is emitted once, without statistics.
     """
     _, size_slide = WINDOWS[name]
-    rows = watermarked(tx).withColumn("window", hopping.hop(size_slide))
     stats = window_aggregate(tx, name)
+    rows = tx.filter(F.col("timestamp").isNotNull()).withColumn("window", hopping.hop(size_slide))
     joined = rows.join(stats, ["user_id", "window"], "left")
+    joined = joined.unionByName(tx.filter(F.col("timestamp").isNull()), allowMissingColumns=True)
     if name == "stats_24h":
         return hopping.amount_zscore(joined)
     return hopping.default_counts(joined, "tx_count" if name == "count_1h" else "tx_count_1min")

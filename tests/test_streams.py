@@ -1,13 +1,16 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from ledgerlens.operators import decisions, trailing
 from ledgerlens.plans import canonical
 from ledgerlens.session import stream_session
 from ledgerlens.sources import tables, topics
 from ledgerlens.streaming import jobs, windows
+from tools.check_oracles import compare, connect
 
 SCHEMA = """transaction_id string, user_id string, amount double, merchant_category string, timestamp timestamp,
     location string, device_id string, is_fraud boolean"""
@@ -155,3 +158,48 @@ def test_a_repeated_epoch_replaces_rows_of_another_day(spark, tmp_path):
     assert sorted(map(tuple, found)) == [("a-0", dt.date(2024, 1, 2)), ("b-0", dt.date(2024, 1, 2))]
     before = tables.read_table_before(spark, str(tmp_path), "audit", 0, "transaction_id string", "a").collect()
     assert [r["transaction_id"] for r in before] == ["b-0"]
+
+
+WHOLE = {
+    "stream_user_stats_24h": "user_stats_24h", "stream_tx_count_1h": "tx_count_1h", "stream_tx_count_1min": "tx_count_1min",
+    "stream_join_window_stats": "amount_zscore", "stream_join_hourly_counts": "join_hourly_counts",
+    "stream_join_minute_counts": "join_minute_counts",
+}
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_window_streams_equal_the_whole_batch_sql(spark, sf_dir, name):
+    out = entry.queries()[name](spark, sf_dir)
+    sql = f"SELECT {', '.join(out.columns)} FROM ({entry.oracle_sql()[WHOLE[name]]})"
+    message, _, good = compare(spark, connect(sf_dir), sf_dir, name, lambda *_: out, sql)
+    assert good, message
+
+
+@pytest.mark.parametrize(("name", "count", "hops"), [("count_1h", "tx_count", 12), ("stats_24h", "amount_zscore", 24)])
+def test_window_join_keeps_late_and_timeless_rows(spark, tmp_path, name, count, hops):
+    base = dt.datetime(2024, 1, 1)
+
+    def tx(i, hours):
+        return (i, "u", 10.0, "x", None if hours is None else base + dt.timedelta(hours=hours), "N", "d", False)
+
+    (tmp_path / "in").mkdir()
+    stream = stream_session(spark).readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")
+    joined = windows.window_join(stream, name).select("transaction_id", F.col("window.start").alias("start"), count)
+
+    def run(rows):
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        joined.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append") \
+            .trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+
+    run(spark.createDataFrame([tx("1", 0.5), tx("1b", 0.5), tx("2", 30), tx("timeless", None)], SCHEMA))
+    run(spark.createDataFrame([tx("late", 0.5), tx("3", 90)], SCHEMA))
+    run(windows.closing_row(spark, stream.schema))
+    out = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()]
+    default = 1 if name == "count_1h" else 0.0
+    assert [r for r in out if r[0] == "timeless"] == [("timeless", None, default)]
+    late = [r for r in out if r[0] == "late"]
+    assert len(late) == len({r[1] for r in late}) == hops and {r[2] for r in late} == {default}
+    assert {i: sum(r[0] == i for r in out) for i in ("1", "1b", "2", "3")} == dict.fromkeys(("1", "1b", "2", "3"), hops)
+    assert len(out) == 5 * hops + 1  # and nothing of the closing row
+    if name == "count_1h":
+        assert {r[2] for r in out if r[0] in ("1", "1b")} == {2}
