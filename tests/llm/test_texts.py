@@ -160,6 +160,17 @@ def test_outliers_are_found_beside_many_normal_rows(spark):
     assert kept == {i for i, *_ in normal}
 
 
+@pytest.mark.parametrize("copies", [160, 200])  # of 460 and 500 rows: 35 and 40 per cent
+def test_outliers_are_found_beside_a_third_of_copies(spark, copies):
+    rng = random.Random(5)
+    normal = [(i, " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(rng.randrange(80, 300))), "en", "s")
+              for i in range(300)]
+    strange = [(1000 + i, " ".join("ab###" + str(j) for j in range(100)), "en", "s") for i in range(copies)]
+    rows = spark.createDataFrame(normal + strange, "doc_id bigint, text string, lang string, source string")
+    kept = {r.doc_id for r in outliers.robust_outliers(rows).where("kept").collect()}
+    assert kept == {i for i, *_ in normal}
+
+
 def entropy_spans(run, limit):
     w = secrets.WINDOW
     high = [i for i in range(len(run) - w + 1)
