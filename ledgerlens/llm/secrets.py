@@ -4,7 +4,10 @@ Three kinds are patterns: assignments to telling names, access key ids, and long
 hexadecimal runs. The fourth is entropy: in every run of key characters, a window
 of WINDOW characters slides along with one count per character, of which each
 step changes two; the Shannon entropy follows from the changed terms alone. Each
-character class has its own limit. Runs on the allow-list are left alone.
+character class has its own limit: that of the window, if it has letters and digits,
+else that of its run. Runs on the allow-list are left alone. Of a run that names a
+listed word only the part between = / _ that holds it is, and what stands before and
+behind are runs by themselves; a hyphen joins a word to its part.
 
 Positions are code points; ends are exclusive. Matches of a kind are the leftmost
 ones that do not overlap: the text is split at them, and their places follow from
@@ -36,12 +39,12 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 LIMITS = {"hex": 2.9, "lower": 3.6, "mixed": 3.75}
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # UUID
-    r"(?i)example|sample|placeholder|dummy|changeme|xxxx",
     r"(?i)^(sha|md)[0-9]{1,3}[-=]",  # published checksums
-    r"(?i)abcdefghij|0123456789|1234567890|qwertyuiop",
     r"^[A-Za-z]*[-_/]?[0-9]+$",  # a name and a number
     r"^([A-Za-z]{2,}|[0-9]{1,4})([-_/]+([A-Za-z]{2,}|[0-9]{1,4}))+[-_/]*$",  # words and short numbers: paths, slugs, dates
 )
+LISTED = (r"[^=/_]*(?i:example|sample|placeholder|dummy|changeme|xxxx|"
+          r"abcdefghij|0123456789|1234567890|qwertyuiop)[^=/_]*")
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -95,8 +98,16 @@ def _term(count: Column) -> Column:
 
 
 def suspicious_stretch(run: Column, limit: Column) -> Column:
-    """struct<first, last>: begin of the first and end of the last window at or above the limit; nulls if there is none."""
+    """struct<first, last>: begin of the first and end of the last window at or above its limit; nulls if there is none.
+
+    `limit` is that of windows without letters or without digits.
+    """
+    classes = {  # of places in ALPHABET
+        "upper": lambda c: c.between(1, 26), "lower": lambda c: c.between(27, 52), "digit": lambda c: c.between(53, 62),
+        "upper_hex": lambda c: c.between(1, 6), "lower_hex": lambda c: c.between(27, 32),
+    }
     state = F.struct(
+        *(F.lit(0).alias(k) for k in classes),
         F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"), F.lit(0.0).alias("sum"),
         F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
 
@@ -113,8 +124,17 @@ def suspicious_stretch(run: Column, limit: Column) -> Column:
         counts = F.transform(s["counts"], lambda n, k: n + (k == step["enters"]).cast("int") - F.coalesce(
             (k == step["leaves"]).cast("int"), F.lit(0)))
         total = s["sum"] + change
-        high = (step["i"] >= WINDOW - 1) & (F.lit(math.log2(WINDOW)) - total / WINDOW >= limit)
+        n = {k: s[k] + of(step["enters"]).cast("int") - F.coalesce(of(step["leaves"]).cast("int"), F.lit(0))
+             for k, of in classes.items()}
+        own = (
+            F.when((n["digit"] == 0) | (n["upper"] + n["lower"] == 0), limit)
+            .when((n["lower_hex"] + n["digit"] == WINDOW) | (n["upper_hex"] + n["digit"] == WINDOW), F.lit(LIMITS["hex"]))
+            .when((n["upper"] == 0) | (n["lower"] == 0), F.lit(LIMITS["lower"]))
+            .otherwise(F.lit(LIMITS["mixed"]))
+        )
+        high = (step["i"] >= WINDOW - 1) & (F.lit(math.log2(WINDOW)) - total / WINDOW >= own)
         return F.struct(
+            *(v.alias(k) for k, v in n.items()),
             counts.alias("counts"), total.alias("sum"),
             F.when(high, F.coalesce(s["first"], step["i"] - (WINDOW - 1))).otherwise(s["first"]).cast("int").alias("first"),
             F.when(high, step["i"] + 1).otherwise(s["last"]).cast("int").alias("last"))
@@ -122,12 +142,34 @@ def suspicious_stretch(run: Column, limit: Column) -> Column:
     return F.aggregate(steps, state, slide, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
 
 
+def _unlisted(run: Column) -> Column:
+    """array<struct<at, part>>: what a run has beside listed parts."""
+    matches = F.regexp_extract_all(run, F.lit(LISTED), F.lit(0))
+    parts = F.zip_with(F.split(run, LISTED, -1), matches, lambda p, m: F.struct(
+        p.alias("part"), F.coalesce(F.length(m), F.lit(0)).alias("gap")))
+    none = F.array().cast("array<struct<at:int,part:string>>")
+    cut = F.aggregate(
+        parts, F.struct(F.lit(0).alias("at"), none.alias("found")),
+        lambda s, p: F.struct(
+            (s["at"] + F.length(p["part"]) + p["gap"]).alias("at"),
+            F.concat(s["found"], F.array(F.struct(s["at"].alias("at"), p["part"].alias("part")))).alias("found")),
+        lambda s: s["found"])
+    return F.filter(F.when(run.rlike(LISTED), cut).otherwise(F.array(F.struct(
+        F.lit(0).alias("at"), run.alias("part")))), lambda p: F.length(p["part"]) >= WINDOW)
+
+
 def _entropy(match: Column, start: Column) -> Column:
-    limit = _limit(match)
-    # arrays of one, so that the limit and the stretch are worked out once
-    stretches = F.transform(F.filter(F.array(limit), lambda x: x.isNotNull()), lambda x: suspicious_stretch(match, x))
-    return F.transform(F.filter(stretches, lambda s: s["first"].isNotNull()), lambda s: F.struct(
-        (start + s["first"]).cast("int").alias("start"), F.lit(3).alias("kind"), (start + s["last"]).cast("int").alias("end")))
+    def found(p):
+        # behind a listed part, the character that ends it is no part of the name
+        name = F.when(p["at"] > 0, F.regexp_replace(p["part"], "^[=/_]+", "")).otherwise(p["part"])
+        # arrays of one, so that the limit and the stretch are worked out once
+        limits = F.filter(F.array(_limit(name)), lambda x: x.isNotNull())
+        stretches = F.transform(limits, lambda x: suspicious_stretch(p["part"], x))
+        return F.transform(F.filter(stretches, lambda s: s["first"].isNotNull()), lambda s: F.struct(
+            (start + p["at"] + s["first"]).cast("int").alias("start"), F.lit(3).alias("kind"),
+            (start + p["at"] + s["last"]).cast("int").alias("end")))
+
+    return F.flatten(F.transform(_unlisted(match), found))
 
 
 def found_secrets(docs: DataFrame, column: str = "text") -> DataFrame:
