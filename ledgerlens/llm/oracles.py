@@ -119,3 +119,64 @@ WITH RECURSIVE d AS (
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(label) AS component_id
 FROM d LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.node = d.doc_id GROUP BY d.doc_id, n
 """
+
+
+def _counted(value: str) -> str:
+    return f"coalesce(strlen({value})::VARCHAR || ':' || {value}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_counted, (
+        "doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text))) + ")"
+
+
+# crc32 of an id, byte by byte and bit by bit, before its last inversion
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))"""
+
+ORACLES["op12_merkle_manifest"] = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, source, {_leaf('text')} AS leaf,
+         CASE WHEN {_CRC} & 1 = 1 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf('text')} END AS other
+  FROM documents
+), placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS src, count(*) OVER (PARTITION BY source) AS n,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+  FROM leaves
+), up AS (
+  SELECT src, 0 AS l, pos, leaf AS h, n FROM placed
+  UNION ALL
+  SELECT src, l + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3
+  FROM up WHERE n > 1 GROUP BY src, l, pos // 3, n
+), subroots AS (
+  SELECT src, h, count(*) OVER () AS n FROM up WHERE n = 1
+), crown AS (
+  SELECT 0 AS l, src AS pos, h, n FROM subroots
+  UNION ALL
+  SELECT l + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3
+  FROM crown WHERE n > 1 GROUP BY l, pos // 3, n
+), nodes AS (
+  SELECT src, l, pos, h, n FROM up WHERE n > 1
+  UNION ALL SELECT -1, l, pos, h, n FROM crown WHERE n > 1
+), sides AS (
+  SELECT a.src, a.l, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS before,
+         coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS after
+  FROM nodes a JOIN nodes b ON a.src = b.src AND a.l = b.l AND a.pos // 3 = b.pos // 3 GROUP BY a.src, a.l, a.pos
+), steps AS (
+  SELECT p.src, p.pos, s.l, s.before, s.after
+  FROM placed p JOIN sides s ON s.src = p.src AND s.pos = p.pos // (3 ** s.l)::BIGINT
+  UNION ALL
+  SELECT p.src, p.pos, s.l + 1000, s.before, s.after
+  FROM placed p JOIN sides s ON s.src = -1 AND s.pos = p.src // (3 ** s.l)::BIGINT
+), ways AS (
+  SELECT src, pos, string_agg(before || after, '' ORDER BY l) AS proof, list(before || '|' || after ORDER BY l) AS path
+  FROM steps GROUP BY src, pos
+), done AS (
+  SELECT p.doc_id, p.leaf, r.h AS subroot, (SELECT h FROM crown WHERE n = 1) AS root,
+         sha256(coalesce(w.proof, '')) AS proof_sha256,
+         CASE WHEN w.path IS NULL THEN p.other ELSE list_reduce(list_prepend(p.other, w.path),
+           lambda h, s: sha256(split_part(s, '|', 1) || h || split_part(s, '|', 2))) END AS folded_root
+  FROM placed p JOIN subroots r USING (src) LEFT JOIN ways w USING (src, pos)
+)
+SELECT *, folded_root = root AS verified FROM done
+"""

@@ -5,11 +5,14 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import backoff, chat, factorisation, jaccard, mixing, outliers, packs, pieces, secrets, substrings, syncmers
+from ledgerlens.llm import (
+    alignment, backoff, chat, factorisation, jaccard, merkle, mixing, outliers, packs, pieces, secrets, substrings, syncmers,
+)
 from ledgerlens.llm.shipping import ship
 
 QUERIES = {}
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def _query(run):
@@ -121,3 +124,22 @@ def op10_temperature_mixing(spark, sf_dir):
     known = work.keep(mixing.units(_table(spark, sf_dir, "documents")), "units")
     return mixing.planned(known, work, target_entropy=0.95, most_repeats=4.0).select(
         "doc_id", "source", "copies", "n_tokens", "epoch", "start")
+
+
+@_query
+def op12_merkle_manifest(spark, sf_dir):
+    """Leaf, subroot, root and proof of all documents; line ends deleted from half of them, and found by the proof."""
+    docs = _table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 2 == 0
+    text = F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    found = merkle.manifest(docs, {"text": text})
+    return found.withColumn("folded_root", merkle.folded(F.col("path"), F.col("changed_leaf"))).select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof_text(F.col("path")), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@_query
+def op13_token_alignment(spark, sf_dir):
+    """Groups and links of two tokenizers over all documents, with how often the linked ids meet in the corpus."""
+    found = alignment.aligned_documents(_table(spark, sf_dir, "documents"), BYTE_MODEL, PIECE_MODEL)
+    return found.withColumnRenamed("groups", "groups_sha256")

@@ -20,7 +20,7 @@ def test_equals_sql(spark, con, sf_dir, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert [k for k, _ in corpus_pipeline.STAGES] == [
         "quality classifier", "n-gram Jaccard join", "secret scans", "mixing sources to target weights",
         "SentencePiece encoding and decoding"]
