@@ -8,6 +8,7 @@ from ledgerlens.functions.barrier import evaluate_once
 from ledgerlens.operators.parse import drop_undecodable
 from ledgerlens.schemas import LEVEL1_ACTION, LEVEL2_VERDICT
 
+POSITION = ("broker_time", "partition", "offset")  # place of a message in its topic, where the source tells it
 LEVEL1_TOPIC = "level1.actions"
 LEVEL2_TOPIC = "level2.verdicts"
 
@@ -27,38 +28,56 @@ def apply_business_rules(df: DataFrame) -> DataFrame:
     return evaluate_once(df, outcome)
 
 
-def decisions_per_message(messages: DataFrame) -> DataFrame:
-    """One decision per message: `topic` routes the JSON `value` to its level. No state, no shuffle.
+def _position(df: DataFrame) -> list[str]:
+    return [c for c in POSITION if c in df.columns]
 
-    Messages that cannot be read or have no transaction id are skipped.
-    """
+
+def _parsed_levels(messages: DataFrame) -> DataFrame:
+    """level1 and level2 structs, one of them null: `topic` routes the JSON `value` to its level."""
     text = F.col("value").cast("string")
     parsed = F.struct(
         F.when(F.col("topic") == LEVEL1_TOPIC, F.from_json(text, LEVEL1_ACTION)).alias("level1"),
         F.when(F.col("topic") == LEVEL2_TOPIC, F.from_json(text, LEVEL2_VERDICT)).alias("level2"),
     )
-    routed = messages.filter(F.col("topic").isin(LEVEL1_TOPIC, LEVEL2_TOPIC)).select(F.inline(F.array(parsed)))
-    keyed = routed.withColumn("transaction_id", F.coalesce(F.col("level1.transaction_id"), F.col("level2.transaction_id")))
+    routed = messages.filter(F.col("topic").isin(LEVEL1_TOPIC, LEVEL2_TOPIC))
+    return routed.select(*_position(messages), F.inline(F.array(parsed)))
+
+
+def decisions_per_message(messages: DataFrame) -> DataFrame:
+    """One decision per message. No state, no shuffle.
+
+    Messages that cannot be read or have no transaction id are skipped.
+    """
+    keyed = _parsed_levels(messages).withColumn(
+        "transaction_id", F.coalesce(F.col("level1.transaction_id"), F.col("level2.transaction_id")))
     return apply_business_rules(drop_undecodable(keyed))
 
 
+def levels_from_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Level 1 and level 2 messages of a frame of topics, with their places, to be correlated."""
+    parsed = _parsed_levels(messages)
+    return tuple(parsed.filter(F.col(level).isNotNull()).select(f"{level}.*", *_position(messages)) for level in ("level1", "level2"))
+
+
 def latest_message(df: DataFrame, name: str) -> DataFrame:
     """Latest message per transaction as a struct column; copies collapse before the shuffle.
 
     Latest by instant: ISO texts with and without fractions or offsets do not sort as text.
+    Of messages of one instant the last in its topic counts, if their places are known.
     """
-    newest = F.struct(F.col("timestamp").try_cast("timestamp"), "timestamp", F.xxhash64(*df.columns))
+    content = [c for c in df.columns if c not in POSITION]
+    newest = F.struct(F.col("timestamp").try_cast("timestamp"), *_position(df), "timestamp", F.xxhash64(*content))
     return drop_undecodable(df).groupBy("transaction_id").agg(
-        F.max_by(F.struct(*df.columns), newest).alias(name)
+        F.max_by(F.struct(*content), newest).alias(name)
     )
 
 
 def correlate_levels(l1: DataFrame, l2: DataFrame) -> DataFrame:
     """Full outer join of the latest level 1 and level 2 message of each transaction."""
     left = l1.select(*[F.col(c) if c in l1.columns else F.lit(None).cast(LEVEL1_ACTION[c].dataType).alias(c)
-                       for c in LEVEL1_ACTION.names])
+                       for c in LEVEL1_ACTION.names], *_position(l1))
     right = l2.select(*[F.col(c) if c in l2.columns else F.lit(None).cast(LEVEL2_VERDICT[c].dataType).alias(c)
-                        for c in LEVEL2_VERDICT.names])
+                        for c in LEVEL2_VERDICT.names], *_position(l2))
     return latest_message(left, "level1").join(latest_message(right, "level2"), "transaction_id", "full_outer")
 
 
@@ -119,18 +138,20 @@ def open_reviews(decisions: DataFrame, existing: DataFrame | None = None, at: Co
     def field(name):
         return F.when(l1, F.col(f"level1.{name}")).otherwise(F.col(f"level2.{name}"))
 
+    place = _position(decisions)
     rows = detection_path(escalated).select(
-        F.col("transaction_id").alias("id"), "transaction_id",
+        *place, F.col("transaction_id").alias("id"), "transaction_id",
         field("user_id").alias("user_id"), field("device_id").alias("device_id"), field("amount").alias("amount"),
         "detection_path", "level1_score", "level2_score", F.lit("pending").alias("status"),
         "created_at", F.col("created_at").alias("updated_at"),
     )
-    # At the same instant the synchronous level 1 message comes before level 2.
-    first = F.struct("created_at", has_level2(F.col("detection_path.level2")),
+    # At the same instant the synchronous level 1 message comes before level 2, then the place in the topic decides.
+    first = F.struct("created_at", has_level2(F.col("detection_path.level2")), *place,
                      F.xxhash64("detection_path.level1.verdict", "detection_path.level2.verdict"))
+    columns = [c for c in rows.columns if c not in place]
     opened = rows.groupBy("transaction_id").agg(
-        F.min_by(F.struct(*[c for c in rows.columns if c != "transaction_id"]), first).alias("r")
-    ).select("r.id", "transaction_id", *[f"r.{c}" for c in rows.columns if c not in ("id", "transaction_id")])
+        F.min_by(F.struct(*[c for c in columns if c != "transaction_id"]), first).alias("r")
+    ).select("r.id", "transaction_id", *[f"r.{c}" for c in columns if c not in ("id", "transaction_id")])
     if existing is not None:
-        opened = opened.join(existing.select("transaction_id"), "transaction_id", "left_anti").select(*rows.columns)
+        opened = opened.join(existing.select("transaction_id"), "transaction_id", "left_anti").select(*columns)
     return opened

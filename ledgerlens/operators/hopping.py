@@ -38,10 +38,15 @@ def window_counts(df: DataFrame, size_slide: tuple[int, int], name: str) -> Data
 def user_stats_24h(df: DataFrame) -> DataFrame:
     if df.isStreaming:
         return window_stats(df)
-    slots = _slots(df, STATS_24H, moments_aggs("amount"))
-    moments = F.col("_w.moments")
-    return _all_windows(slots, STATS_24H, _per_slot_moments).select(
-        "user_id", "window", mean_of(moments).alias("mean_amount"), stddev_of(moments).alias("stddev_amount")
+    size, slide = STATS_24H
+    hops = size // slide
+    blocks = _block_windows(_slots(df, STATS_24H, moments_aggs("amount")), hops)
+    first = F.col("_w.first_slot")
+    window = F.struct(
+        times.slot_start(first, slide).alias("start"), times.slot_start(first + hops, slide).alias("end")
+    )
+    return blocks.select("user_id", F.explode("_windows").alias("_w")).filter("_w.seen").select(
+        "user_id", window.alias("window"), "_w.mean_amount", "_w.stddev_amount"
     )
 
 
@@ -99,23 +104,59 @@ def _per_slot_counts(slots: DataFrame, hops: int, *keep: str) -> DataFrame:
     return slots.select("user_id", "_slot", *keep, F.array(*[window(i) for i in range(hops - 1, -1, -1)]).alias("_windows"))
 
 
-def _per_slot_moments(slots: DataFrame, hops: int, *keep: str) -> DataFrame:
-    """Like _per_slot_counts with structs (first_slot, moments).
+def _block_windows(slots: DataFrame, hops: int) -> DataFrame:
+    """user_id, _block and _windows: one struct for each of the `hops` windows that begin in a block of as many slots.
 
-    Each slot meets the moments of its 2 * hops - 1 neighbours at most, and every
-    window pools those that it spans.
+    A window is the end of the block that it begins in and the beginning of the next
+    one. So every block is gone through once forward and once backward, pooling its
+    slots one by one, and a window pools two of those results; only slots that have
+    transactions are held. Structs are (first_slot, seen, mean_amount, stddev_amount);
+    a window without transactions is not `seen`.
     """
-    around = Window.partitionBy("user_id").orderBy("_slot").rangeBetween(1 - hops, hops - 1)
-    part = F.struct("_slot", direct_moments().alias("moments"))
-    near = slots.select("user_id", "_slot", *keep, F.collect_list(part).over(around).alias("_near"))
+    place = F.pmod("_slot", F.lit(hops))
+    part = F.struct(place.alias("place"), direct_moments().alias("moments"))
+    blocks = slots.groupBy("user_id", times.slot(F.col("_slot"), hops).alias("_block")).agg(
+        F.array_sort(F.collect_list(part)).alias("_parts"))
+
+    def pooled_one_by_one(parts):
+        def add(done, part):
+            last = F.get(done, F.size(done) - 1)
+            pooled = merge_moments([last["moments"], part["moments"]])
+            return F.concat(done, F.array(F.struct(part["place"].alias("place"), pooled.alias("moments"))))
+
+        return F.aggregate(parts, F.array().cast(_POOLED), add)
+
+    none = F.lit(None).cast(_POOLED)
+    roles = F.array(
+        F.struct(F.col("_block").alias("_block"), pooled_one_by_one(F.reverse("_parts")).alias("ends"), none.alias("begins")),
+        F.struct((F.col("_block") - 1).alias("_block"), none.alias("ends"), pooled_one_by_one(F.col("_parts")).alias("begins")),
+    )
+    both = blocks.select("user_id", F.inline(roles)).groupBy("user_id", "_block").agg(
+        F.first("ends", ignorenulls=True).alias("ends"), F.first("begins", ignorenulls=True).alias("begins"))
+
+    def halves(i):
+        end = F.filter("ends", lambda p: p["place"] >= i)  # the last of these pools all of them
+        begin = F.filter("begins", lambda p: p["place"] < i)
+        return F.struct(
+            (F.col("_block") * hops + i).alias("first_slot"),
+            F.get(end, F.size(end) - 1)["moments"].alias("end"), F.get(begin, F.size(begin) - 1)["moments"].alias("begin"))
+
+    def window(half):
+        return F.struct(
+            half["first_slot"].alias("first_slot"), (half["end"].isNotNull() | half["begin"].isNotNull()).alias("seen"),
+            merge_moments([half["end"], half["begin"]]).alias("moments"))
+
+    def result(w):
+        return F.struct(w["first_slot"].alias("first_slot"), w["seen"].alias("seen"),
+                        mean_of(w["moments"]).alias("mean_amount"), stddev_of(w["moments"]).alias("stddev_amount"))
 
-    def window(back):
-        first = F.col("_slot") - back
-        inside = F.filter("_near", lambda part: part["_slot"].between(first, first + hops - 1))
-        return F.struct(first.alias("first_slot"), pooled_moments(inside["moments"]).alias("moments"))
+    # one transform after the other, so that each part is worked out once
+    starts = F.sequence(F.lit(0), F.lit(hops - 1))
+    windows = F.transform(F.transform(F.transform(starts, halves), window), result)
+    return both.select("user_id", "_block", windows.alias("_windows"))
 
-    starts = F.sequence(F.lit(hops - 1), F.lit(0), F.lit(-1))
-    return near.select("user_id", "_slot", *keep, F.transform(starts, window).alias("_windows"))
+
+_POOLED = "array<struct<place:bigint,moments:struct<n:bigint,mean:double,m2:double,lowest:double,highest:double>>>"
 
 
 def _join_windows(df: DataFrame, source: DataFrame, size_slide, slot_aggs, per_slot, outputs) -> DataFrame:
@@ -143,12 +184,25 @@ def _join_windows(df: DataFrame, source: DataFrame, size_slide, slot_aggs, per_s
 
 
 def join_window_stats(df: DataFrame) -> DataFrame:
-    """Every transaction with mean and deviation of each 24 h window that holds it (24 per row)."""
-    def outputs(w):
-        moments = w["moments"]
-        return [mean_of(moments).alias("mean_amount"), stddev_of(moments).alias("stddev_amount")]
+    """Every transaction with mean and deviation of each 24 h window that holds it (24 per row).
 
-    return _join_windows(df, df, STATS_24H, moments_aggs("amount"), _per_slot_moments, outputs)
+    Like _join_windows, by blocks of slots: the windows of a slot begin in its own
+    block or in the one before.
+    """
+    size, slide = STATS_24H
+    hops = size // slide
+    blocks = _block_windows(_slots(df.filter(F.col("user_id").isNotNull()), STATS_24H, moments_aggs("amount")), hops)
+    of_user = Window.partitionBy("user_id").orderBy("_block")
+    # a block with transactions has windows that begin in it and in the one before it
+    around = blocks.select("user_id", "_block", F.lag("_windows").over(of_user).alias("_before"), "_windows")
+    slot = times.slot(times.micros(F.col("timestamp")), slide)
+    placed = df.withColumn("_slot", slot).withColumn("_block", times.slot(F.col("_slot"), hops))
+    held = F.slice(F.concat("_before", "_windows"), (F.pmod("_slot", F.lit(hops)) + 2).cast("int"), hops)
+    joined = placed.join(around, ["user_id", "_block"], "left").select(*df.columns, F.explode_outer(held).alias("_w"))
+    return joined.select(
+        *df.columns, times.slot_start(F.col("_w.first_slot"), slide).alias("window_start"),
+        times.slot_start(F.col("_w.first_slot") + hops, slide).alias("window_end"), "_w.mean_amount", "_w.stddev_amount",
+    )
 
 
 def _join_counts(df: DataFrame, source: DataFrame | None, size_slide, name: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Training, evaluation and registration of risk models with Spark ML."""
 
+import datetime as dt
+import uuid
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
@@ -10,10 +12,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerlens.functions.hashing import hash_order
 from ledgerlens.operators.metrics import cv_mean, ranking_metrics, roc_auc
 from ledgerlens.operators.running import running_totals
+from ledgerlens.sources.tables import read_table
 
 # --- fixed values ---------------------------------------------------------------
 SEED = 42
@@ -24,9 +28,12 @@ FEATURES = ["amount", "level1_score", "level2_score"]
 # ----------------------------------------------------------------------------
 
 _PARTS = 1_000_000
-RUNS_SCHEMA = "run_id string, model_type string, cv_auc double, started_at timestamp, run_order int"
+RUNS_SCHEMA = ("session string, run_id string, model_type string, model_path string, cv_auc double, "
+               "started_at timestamp, run_order int")
 REGISTRY_SCHEMA = ("name string, version int, run_id string, model_path string, stage string, "
                    "description string, created_at timestamp")
+_STAGES_SCHEMA = "name string, version int, stage string, moved_at timestamp, move int"
+STAGING, PRODUCTION = "Staging", "Production"
 
 
 def with_holdout(df: DataFrame, key: str, share: float = HOLDOUT_SHARE, seed: int = SEED) -> DataFrame:
@@ -87,22 +94,31 @@ def cross_validate(train: DataFrame, estimator, features: list[str], k: int = FO
 
 def train_candidates(train: DataFrame, models_path: str, features: list[str] | None = None,
                      candidates: dict | None = None, k: int = FOLDS, key: str = "review_id") -> DataFrame:
-    """Cross-validate every candidate, fit it on all training rows, save it, and give the run records."""
+    """Cross-validate every candidate, fit it on all training rows, save it, and give the run records of this session.
+
+    Every run has an id and a folder of its own, so later sessions leave it as it is; `runs_of` has all of them.
+    """
     spark = train.sparkSession
     features = features or FEATURES
+    session = uuid.uuid4().hex
     folded = stratified_folds(train, key, k=k)
     # Tree fitting makes many passes: cut the lineage behind the features once.
-    folded = _written(folded, f"{models_path}/folded")
-    runs = None
+    folded = _written(folded, f"{models_path}/folded/{session}")
     for order, (name, estimator) in enumerate((candidates or default_candidates()).items()):
         scores = cross_validate(folded, estimator, features, k).withColumn("model_type", F.lit(name))
         pipeline = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), estimator])
-        pipeline.fit(folded).write().overwrite().save(f"{models_path}/{name}")
-        run = cv_mean(scores).select(
-            F.lit(f"{name}-{SEED}").alias("run_id"), "model_type", "cv_auc",
-            F.current_timestamp().alias("started_at"), F.lit(order).alias("run_order"),
-        )
-        log_run(run, f"{models_path}/runs")
+        run_id = f"{name}-{uuid.uuid4().hex}"
+        path = f"{models_path}/models/{run_id}"
+        pipeline.fit(folded).write().save(path)
+        log_run(cv_mean(scores).select(
+            F.lit(session).alias("session"), F.lit(run_id).alias("run_id"), "model_type", F.lit(path).alias("model_path"),
+            "cv_auc", F.lit(dt.datetime.now(dt.timezone.utc)).alias("started_at"), F.lit(order).alias("run_order"),
+        ), f"{models_path}/runs")
+    return runs_of(spark, models_path).filter(F.col("session") == session)
+
+
+def runs_of(spark: SparkSession, models_path: str) -> DataFrame:
+    """Records of all runs of all sessions."""
     return spark.read.schema(RUNS_SCHEMA).parquet(f"{models_path}/runs")
 
 
@@ -145,14 +161,20 @@ def compare_with_production(candidate, production, holdout: DataFrame) -> DataFr
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    from ledgerlens.sources.tables import read_table
-    from pyspark.sql.types import StructType
-    return read_table(spark, path, "registry", StructType.fromDDL(REGISTRY_SCHEMA))
+    """Every version with its present stage."""
+    versions = read_table(spark, path, "registry", StructType.fromDDL(REGISTRY_SCHEMA))
+    moves = read_table(spark, path, "stages", StructType.fromDDL(_STAGES_SCHEMA))
+    last = moves.groupBy("name", "version").agg(F.max_by("stage", "move").alias("moved"))
+    return versions.join(last, ["name", "version"], "left").withColumn(
+        "stage", F.coalesce("moved", "stage")).select(*versions.columns)
 
 
 def register_model(model: PipelineModel, comparison: DataFrame, run_id: str, path: str,
                    name: str = MODEL_NAME) -> DataFrame:
-    """If the comparison says better: save as the next version, in stage Staging. Gives the registry."""
+    """If the comparison says better: save as the next version, in stage Staging. Gives the registry.
+
+    A version's folder is never written twice: of two registrations at once the later one fails.
+    """
     spark = comparison.sparkSession
     result = comparison.first()
     registry = read_registry(spark, path)
@@ -160,13 +182,37 @@ def register_model(model: PipelineModel, comparison: DataFrame, run_id: str, pat
         newest = registry.filter(F.col("name") == name).agg(F.max("version")).first()[0]
         version = (newest or 0) + 1
         model_path = f"{path}/{name}/{version}"
-        model.write().overwrite().save(model_path)
+        model.write().save(model_path)
         comparison.select(
             F.lit(name).alias("name"), F.lit(version).alias("version"), F.lit(run_id).alias("run_id"),
-            F.lit(model_path).alias("model_path"), F.lit("Staging").alias("stage"),
+            F.lit(model_path).alias("model_path"), F.lit(STAGING).alias("stage"),
             F.format_string("Trained on %s; holdout ROC area %.4f, PR area %.4f", F.current_date().cast("string"),
                             F.col("auc_score"), F.col("pr_auc")).alias("description"),
             F.current_timestamp().alias("created_at"),
         ).write.mode("append").parquet(f"{path}/registry")
         registry = read_registry(spark, path)
     return registry
+
+
+def move_to_stage(spark: SparkSession, path: str, version: int, stage: str, name: str = MODEL_NAME) -> DataFrame:
+    """Bring a version to a stage. Moves are appended, the last one counts. Gives the registry."""
+    known = read_registry(spark, path).filter((F.col("name") == name) & (F.col("version") == version))
+    if known.isEmpty():
+        raise ValueError(f"there is no version {version} of {name}")
+    moves = read_table(spark, path, "stages", StructType.fromDDL(_STAGES_SCHEMA))
+    number = (moves.agg(F.max("move")).first()[0] or 0) + 1
+    known.select("name", "version", F.lit(stage).alias("stage"), F.current_timestamp().alias("moved_at"),
+                 F.lit(number).alias("move")).write.mode("append").parquet(f"{path}/stages")
+    return read_registry(spark, path)
+
+
+def production_version(spark: SparkSession, path: str, name: str = MODEL_NAME) -> DataFrame:
+    """The newest version in production: one row, or none."""
+    found = read_registry(spark, path).filter((F.col("name") == name) & (F.col("stage") == PRODUCTION))
+    return found.orderBy(F.desc("version")).limit(1)
+
+
+def production_model(spark: SparkSession, path: str, name: str = MODEL_NAME) -> PipelineModel | None:
+    """The model in production, as compare_with_production takes it."""
+    found = production_version(spark, path, name).first()
+    return load_model(found["model_path"]) if found else None

@@ -286,19 +286,29 @@ def heavy_score(spark, d):
     )
 
 
-@query
-def level2_inputs(spark, d):
+def _level2_inputs(spark, d, lift_payload):
     tx = transactions(spark, d)
     messages = level2.level2_inputs(
         level2.heavy_payload(flow.features(tx)),
         level1.route_quarantined(flow.level1_messages(tx)),
-        level0.route_l0_quarantined(_gate(spark, d)),
+        level0.route_l0_quarantined(_gate(spark, d)), lift_payload,
     )
     return level2.level2_from_messages(messages).select(
         "transaction_id", "amount", "heavy_score_clamped", "verdict"
     )
 
 
+@query
+def level2_inputs(spark, d):
+    return _level2_inputs(spark, d, lift_payload=True)
+
+
+@query
+def level2_inputs_as_sent(spark, d):
+    """Level 0 events keep their amount inside the payload, where level 2 does not see it."""
+    return _level2_inputs(spark, d, lift_payload=False)
+
+
 # --- decisions --------------------------------------------------------------------------
 
 @query
@@ -381,6 +391,11 @@ def valid_judgements(spark, d):
     return reviews.valid_judgements(canonical.judgements(spark, d))
 
 
+@query
+def invalid_judgements(spark, d):
+    return reviews.invalid_judgements(canonical.judgements(spark, d))
+
+
 @query
 def match_reviews(spark, d):
     return reviews.match_reviews(canonical.judgements(spark, d), flow.review_table(transactions(spark, d)))
@@ -458,13 +473,25 @@ def recent_alerts(spark, d):
     return alerts.recent_alerts(_alerts(spark, d)).select(*ALERT)
 
 
-@query
-def latest_per_transaction(spark, d):
-    """Two decisions per transaction, one per message; the newer row is kept."""
+def _both_decisions(spark, d):
+    """Two decisions per transaction, one per message, that of level 2 a minute later."""
     made = decisions.decisions_per_message(flow.level_messages(transactions(spark, d)))
     second = F.when(F.col("level2").isNotNull(), times.MINUTE).otherwise(0)
     at = F.timestamp_micros(F.unix_micros(decisions.message_instant(made)) + second)
-    return alerts.latest_per_transaction(decisions.final_decision_rows(made, at=at)).select(*ALERT)
+    return decisions.final_decision_rows(made, at=at)
+
+
+@query
+def latest_per_transaction(spark, d):
+    """The newer decision of every transaction."""
+    return alerts.latest_per_transaction(_both_decisions(spark, d)).select(*ALERT)
+
+
+@query
+def alert_detail(spark, d):
+    """The newer decision of the transaction with the least id."""
+    least = transactions(spark, d).agg(F.min("transaction_id")).first()[0]
+    return alerts.alert_detail(_both_decisions(spark, d), least).select(*ALERT)
 
 
 @query

@@ -40,30 +40,47 @@ def train_candidates(spark, d):
 @query
 def evaluate_model(spark, d):
     """Areas of the best candidate on the holdout."""
-    folder, runs, holdout = _trained(spark, d)
-    best = learning.best_model(runs).first()["model_type"]
-    return learning.evaluate_model(learning.load_model(f"{folder}/models/{best}"), holdout)
+    _, runs, holdout = _trained(spark, d)
+    best = learning.best_model(runs).first()["model_path"]
+    return learning.evaluate_model(learning.load_model(best), holdout)
+
+
+def _model(runs, model_type):
+    return learning.load_model(learning.latest_run(runs, model_type).first()["model_path"])
 
 
 @query
 def compare_with_production(spark, d):
     """Boosted trees against a forest in production."""
-    folder, _, holdout = _trained(spark, d)
-    candidate, production = (learning.load_model(f"{folder}/models/{n}") for n in ("gbt", "random_forest"))
-    return learning.compare_with_production(candidate, production, holdout)
+    _, runs, holdout = _trained(spark, d)
+    return learning.compare_with_production(_model(runs, "gbt"), _model(runs, "random_forest"), holdout)
+
+
+def _registered(spark, d):
+    """A fresh registry with the latest run of the best candidate: nothing is in production yet."""
+    _, runs, holdout = _trained(spark, d)
+    best = learning.best_model(runs).first()
+    path = work_folder(spark, "registry")
+    model = learning.load_model(best["model_path"])
+    comparison = learning.compare_with_production(model, learning.production_model(spark, path), holdout)
+    return path, model, holdout, learning.register_model(model, comparison, best["run_id"], path)
 
 
 @query
 def register_model(spark, d):
-    """The latest run of the best candidate becomes version 1: nothing is in production yet."""
-    folder, runs, holdout = _trained(spark, d)
-    best = learning.best_model(runs).first()["model_type"]
-    run = learning.latest_run(runs, best).first()["run_id"]
-    model = learning.load_model(f"{folder}/models/{best}")
-    comparison = learning.compare_with_production(model, None, holdout)
-    return learning.register_model(model, comparison, run, f"{folder}/registry").select(
-        "name", "version", "run_id", "stage"
-    )
+    """The best candidate becomes version 1, in staging."""
+    *_, registry = _registered(spark, d)
+    return registry.select("name", "version", "stage")
+
+
+@query
+def production_model(spark, d):
+    """Version 1 in production, and the same model again: it is not better than itself, so there is no version 2."""
+    path, model, holdout, _ = _registered(spark, d)
+    learning.move_to_stage(spark, path, 1, learning.PRODUCTION)
+    comparison = learning.compare_with_production(model, learning.production_model(spark, path), holdout)
+    registry = learning.register_model(model, comparison, "again", path)
+    return registry.select("name", "version", "stage", F.lit(comparison.first()["better"]).alias("better"))
 
 
 @query

@@ -4,17 +4,21 @@
 (url, driver, user ...). Parquet tables of the pipeline are partitioned by who
 wrote them, by the epoch of the writer, and by date. A stream's writer is the id
 in its checkpoint: a repeated micro-batch replaces its own rows, and a stream with
-a new checkpoint, whose epochs start again, leaves those of others alone.
+a new checkpoint, whose epochs start again, leaves those of others alone. Epochs that
+are final are compacted (see segments); readers see rows in either place once.
 """
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, IntegerType, StringType, StructField, StructType
 
 from ledgerlens import schemas
+from ledgerlens.sources import segments
 
 BATCH = "batch"  # writer of rows that no stream wrote
+REVIEW_IDS = "review_ids"
+BUCKETS = 1024  # of the ids of reviewed transactions
 
 SCHEMAS = {
     "manual_reviews": schemas.MANUAL_REVIEWS,
@@ -39,9 +43,16 @@ def read_table(spark: SparkSession, where, name: str, schema=None) -> DataFrame:
         if schema is None or error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
+    found = segments.live(found, _folder(where, name))
     return found if schema is None else found.select(*schema.names)
 
 
+def compact_table(spark: SparkSession, where, name: str, writer: str, epoch: int, fan: int | None = None) -> None:
+    """Compact what a writer wrote before `epoch`, if that is enough. Databases need no such thing."""
+    if not isinstance(where, dict):
+        segments.compact(spark, _folder(where, name), writer, epoch, "bucket" if name == REVIEW_IDS else "day", fan or segments.FAN)
+
+
 def append_table(
     df: DataFrame, where, name: str, day: str = "created_at", epoch: int | None = None, writer: str = BATCH
 ) -> None:
@@ -67,6 +78,34 @@ def append_manual_reviews(rows: DataFrame, where, epoch: int | None = None, writ
     append_table(rows, where, "manual_reviews", epoch=epoch, writer=writer)
 
 
+def bucket_of(transaction_id: Column) -> Column:
+    return F.pmod(F.xxhash64(transaction_id), F.lit(BUCKETS)).cast("int")
+
+
+def append_review_ids(spark: SparkSession, where: str, epoch: int, writer: str = BATCH) -> None:
+    """Ids of the reviews that an epoch has opened, taken from what it has written."""
+    opened = read_epoch(spark, where, "manual_reviews", epoch, "transaction_id string", writer)
+    opened.select("transaction_id", bucket_of(F.col("transaction_id")).alias("bucket")).write.mode("overwrite") \
+        .parquet(f"{_folder(where, REVIEW_IDS)}/writer={writer}/epoch={epoch}")
+
+
+def reviewed_ids(spark: SparkSession, where: str, escalated: DataFrame, epoch: int, writer: str = BATCH) -> DataFrame:
+    """transaction_id of the reviews of other writers and earlier epochs, in the buckets of the `escalated` transactions.
+
+    Compacted ids lie in folders by bucket, and no other folders are read. The
+    numbers of the buckets, BUCKETS at most, go through the driver. Reviews that a
+    stream without this table has written are taken over once.
+    """
+    folder = _folder(where, REVIEW_IDS)
+    if not segments.exists(spark, folder):
+        before = read_table_before(spark, where, "manual_reviews", epoch, "transaction_id string", writer)
+        segments.seed(before.select("transaction_id", bucket_of(F.col("transaction_id")).alias("bucket")), folder, "seed", "bucket")
+    wanted = [r[0] for r in escalated.select(bucket_of(F.col("transaction_id")).alias("b")).distinct().collect()]
+    schema = StructType.fromDDL("transaction_id string, bucket int, writer string, epoch int")
+    own = (F.col("writer") == writer) & (F.col("epoch") >= epoch)
+    return read_table(spark, where, REVIEW_IDS, schema).filter(F.col("bucket").isin(wanted) & ~own).select("transaction_id")
+
+
 def append_feedback(rows: DataFrame, where, epoch: int | None = None, writer: str = BATCH) -> None:
     append_table(rows, where, "feedback_labels", epoch=epoch, writer=writer)
 

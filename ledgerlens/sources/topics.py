@@ -1,8 +1,10 @@
 """Message topics: Kafka, or folders of files that stand in for it.
 
 `where` is either a dict of Kafka options (at least kafka.bootstrap.servers) or
-a folder that has one sub-folder per topic. Both give a text column `value` and
-the name of the `topic`.
+a folder that has one sub-folder per topic. Both give a text column `value`, the
+name of the `topic`, and the place of the message in it: `broker_time`, `partition`
+and `offset`. For files these are the time the file was written, 0, and the number
+of the row in its file.
 """
 
 from functools import reduce
@@ -22,6 +24,7 @@ FEEDBACK = "feedback.labels"
 # ----------------------------------------------------------------------------
 
 _FILE_SCHEMA = "value string"
+POSITION = ("broker_time", "partition", "offset")  # in the order that messages are in
 
 
 def _folder(where: str, topic: str) -> str:
@@ -41,10 +44,12 @@ def read_topics(spark: SparkSession, topics: list[str], where, streaming: bool =
     if isinstance(where, dict):
         source = reader.format("kafka").options(**where).options(**options).option("subscribe", ",".join(topics)) \
             .option("startingOffsets", "earliest").option("failOnDataLoss", str(fail_on_data_loss).lower()).load()
-        return source.select(F.col("value").cast("string").alias("value"), "topic")
+        return source.select(F.col("value").cast("string").alias("value"), "topic",
+                             F.col("timestamp").alias("broker_time"), "partition", "offset")
     parts = [
         reader.schema(_FILE_SCHEMA).options(**options).parquet(_folder(where, topic))
-        .withColumn("topic", F.lit(topic)) for topic in topics
+        .select("value", F.lit(topic).alias("topic"), F.col("_metadata.file_modification_time").alias("broker_time"),
+                F.lit(0).alias("partition"), F.col("_metadata.row_index").alias("offset")) for topic in topics
     ]
     return reduce(DataFrame.unionByName, parts)
 

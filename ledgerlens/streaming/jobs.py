@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlens.operators import decisions, level0, level1, level2, parse, trailing
-from ledgerlens.sources import tables, topics
+from ledgerlens.sources import segments, tables, topics
 from ledgerlens.streaming.windows import features_of_batch
 
 
@@ -28,10 +28,12 @@ def _now():
     return F.lit(dt.datetime.now(dt.timezone.utc))
 
 
-def start(stream: DataFrame, process, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+def start(stream: DataFrame, process, checkpoint: str, available_now: bool = False, table_where=None,
+          compacted: tuple[str, ...] = ()) -> StreamingQuery:
     """foreachBatch with an own checkpoint.
 
-    `process` gets non-empty batches, cached for its several writes, with their epoch and writer.
+    `process` gets non-empty batches, cached for its several writes, with their epoch and writer. Every
+    segments.FAN epochs, the `compacted` tables lose the epoch folders of all batches before.
     """
     writer_ids = []
 
@@ -41,6 +43,8 @@ def start(stream: DataFrame, process, checkpoint: str, available_now: bool = Fal
             if not held.isEmpty():
                 if not writer_ids:
                     writer_ids.append(writer_of(batch.sparkSession, checkpoint))
+                for name in compacted if epoch % segments.FAN == 0 else ():
+                    tables.compact_table(batch.sparkSession, table_where, name, writer_ids[0], epoch)
                 process(held, epoch, writer_ids[0])
         finally:
             held.unpersist()
@@ -97,7 +101,7 @@ def stream_features(tx: DataFrame, topic_where, table_where, checkpoint: str, **
         written = tables.read_epoch(spark, table_where, "features", epoch, featured.schema, writer)
         side_effects(written, epoch, topic_where, table_where, writer)
 
-    return start(tx, process, checkpoint, **options)
+    return start(tx, process, checkpoint, table_where=table_where, compacted=("features", "hot_features"), **options)
 
 
 _FEATURE_ROW = "user_id string, timestamp timestamp, amount double"
@@ -130,7 +134,9 @@ def stream_decisions(messages: DataFrame, topic_where, table_where, checkpoint:
 
     Decisions are published and appended to the audit table. Reviews are opened
     for escalated transactions that no earlier epoch has opened one for: an anti
-    join with the ids of the review table, which is exact and survives restarts.
+    join with the ids of all reviews, of which a batch reads the buckets of its own
+    transactions. It is exact and survives restarts: ids follow from the reviews
+    an epoch has written, and a repeated epoch replaces both.
     """
     def process(batch: DataFrame, epoch: int, writer: str):
         spark = batch.sparkSession
@@ -138,11 +144,13 @@ def stream_decisions(messages: DataFrame, topic_where, table_where, checkpoint:
         at = F.coalesce(decisions.message_instant(made), _now())
         topics.write_topic(parse.to_value(decisions.final_decision(made, at)), topics.FINAL_DECISIONS, topic_where)
         tables.append_final_decisions(decisions.final_decision_rows(made, at), table_where, epoch, writer)
-        existing = tables.read_table_before(spark, table_where, "manual_reviews", epoch, "transaction_id string", writer)
+        existing = tables.reviewed_ids(spark, table_where, decisions.only_escalated(made), epoch, writer)
         opened = decisions.open_reviews(made, existing, at)
         tables.append_manual_reviews(opened, table_where, epoch, writer)
+        tables.append_review_ids(spark, table_where, epoch, writer)
 
-    return start(messages, process, checkpoint, **options)
+    kept = ("final_decisions", "manual_reviews", tables.REVIEW_IDS)
+    return start(messages, process, checkpoint, table_where=table_where, compacted=kept, **options)
 
 
 def await_all(spark) -> None:

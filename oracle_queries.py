@@ -584,27 +584,28 @@ SELECT model_type, round(roc_auc, 6) AS roc_auc, fold,
 FROM fold_scores WHERE model_type = 'fast' ORDER BY fold DESC LIMIT 1"""),
 }
 
-# --- streams: a window is out once the watermark, ten minutes behind the newest event, has passed its end -------
-
-_CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM tx)"
-
-
-def _closed(width: str) -> str:
-    return f"WHERE window_start + INTERVAL {width} <= {_CLOSED}"
+ORACLES |= {
+    "level2_inputs_as_sent": ORACLES["level2_inputs"].replace(
+        "SELECT transaction_id, amount FROM events0", "SELECT transaction_id, CAST(NULL AS DOUBLE) FROM events0"),
+    "invalid_judgements": _with(*LEVELS, COMBINED, REVIEWS, JUDGED, select="""
+SELECT * FROM judgement WHERE coalesce(verdict, '') NOT IN ('Allow', 'Block', 'Escalate')"""),
+    "alert_detail": f"""{ORACLES['latest_per_transaction']}
+  AND transaction_id = (SELECT min(transaction_id) FROM made)""",
+}
 
+# --- streams: the closing row lets every window out, so these are the batch results ----------------------------
 
 ORACLES |= {
-    "stream_user_stats_24h": _with(TX, STATS, select=f"""
-SELECT user_id, window_start, round(mean_amount, 6) AS mean_amount, round(stddev_amount, 6) AS stddev_amount FROM stats
-{_closed('24 HOUR')}"""),
-    "stream_tx_count_1h": _with(TX, HOURLY, select=f"SELECT * FROM hourly {_closed('1 HOUR')}"),
-    "stream_tx_count_1min": _with(TX, MINUTELY, select=f"SELECT * FROM minutely {_closed('1 MINUTE')}"),
+    "stream_user_stats_24h": _with(TX, STATS, select="""
+SELECT user_id, window_start, round(mean_amount, 6) AS mean_amount, round(stddev_amount, 6) AS stddev_amount FROM stats"""),
+    "stream_tx_count_1h": _with(TX, HOURLY, select="SELECT * FROM hourly"),
+    "stream_tx_count_1min": _with(TX, MINUTELY, select="SELECT * FROM minutely"),
     "stream_join_window_stats": _with(TX, STATS, _joined("stats", "1 HOUR", 24), select=f"""
-SELECT transaction_id, window_start, round({ZSCORE}, 6) AS amount_zscore FROM joined {_closed('24 HOUR')}"""),
+SELECT transaction_id, window_start, round({ZSCORE}, 6) AS amount_zscore FROM joined"""),
     "stream_join_hourly_counts": _with(TX, HOURLY, _joined("hourly", "5 MINUTE", 12), select=f"""
-SELECT transaction_id, window_start, tx_count FROM joined {_closed('1 HOUR')}"""),
+SELECT transaction_id, window_start, tx_count FROM joined"""),
     "stream_join_minute_counts": _with(TX, MINUTELY, _joined("minutely", "10 SECOND", 6), select=f"""
-SELECT transaction_id, window_start, tx_count_1min FROM joined {_closed('1 MINUTE')}"""),
+SELECT transaction_id, window_start, tx_count_1min FROM joined"""),
     "stream_trailing_features": ORACLES["trailing_features"],
     "stream_hot_features": ORACLES["upsert_hot_features"],
     "stream_side_effects": _with(*FEATURED, select=f"""
@@ -634,6 +635,9 @@ SELECT transaction_id, user_id, amount, merchant_category, ts AS "timestamp", lo
   CAST(hour(ts) AS INTEGER) AS hour_of_day, CAST(isodow(ts) - 1 AS INTEGER) AS day_of_week FROM tx"""),
     "read_ingest_json": _with(TX, BODIES, _checked(False), select="""
 SELECT violations, count(*) AS bodies FROM checked GROUP BY violations"""),
+    "register_model": "SELECT 'fraud_detector' AS name, CAST(1 AS INTEGER) AS version, 'Staging' AS stage",
+    "production_model": """
+SELECT 'fraud_detector' AS name, CAST(1 AS INTEGER) AS version, 'Production' AS stage, false AS better""",
     "write_features": ORACLES["extract_features"],
     "read_table": ORACLES["labelled_reviews"],
     "write_feedback_topic": _with(*LEVELS, COMBINED, REVIEWS, JUDGED, select="""

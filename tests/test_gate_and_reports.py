@@ -4,6 +4,8 @@ import json
 import random
 
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import alerts, bloom, level0, learning, metrics, reports
@@ -122,7 +124,7 @@ def test_train_evaluate_register(spark, tmp_path):
     runs = learning.train_candidates(train, str(tmp_path), candidates=learning.default_candidates(2, 2), k=2)
     best = learning.best_model(runs).first()
     assert best["cv_auc"] > 0.9
-    model = learning.load_model(f"{tmp_path}/{best['model_type']}")
+    model = learning.load_model(best["model_path"])
     result = learning.compare_with_production(model, None, holdout)
     assert result.first()["better"] is True and result.first()["auc_score"] > 0.9
     for version in (1, 2):
@@ -133,6 +135,36 @@ def test_train_evaluate_register(spark, tmp_path):
     assert learning.register_model(model, same, "x", f"{tmp_path}/registry").count() == 2
     assert registry.first()["description"].startswith("Trained on ")
 
+    # a later session leaves runs and models of earlier ones as they are
+    again = learning.train_candidates(train, str(tmp_path), candidates=learning.default_candidates(1, 1), k=2)
+    every = learning.runs_of(spark, str(tmp_path))
+    assert runs.count() == again.count() == 2 and every.select("run_id", "model_path").distinct().count() == 4
+    assert learning.latest_run(every, "gbt").first()["run_id"] == again.filter("model_type = 'gbt'").first()["run_id"]
+    assert learning.evaluate_model(learning.load_model(best["model_path"]), holdout).collect() == \
+        learning.evaluate_model(model, holdout).collect()
+
+
+def test_stages_and_the_model_in_production(spark, tmp_path):
+    where = str(tmp_path)
+    rows = spark.range(80).select(F.col("id").cast("double").alias("amount"), F.lit(0.1).alias("level1_score"),
+                                  F.lit(0.2).alias("level2_score"), (F.col("id") >= 40).cast("int").alias("label"))
+    stages = [VectorAssembler(inputCols=learning.FEATURES, outputCol="features"), learning.default_candidates(1, 2)["random_forest"]]
+    model = Pipeline(stages=stages).fit(rows)
+    result = learning.compare_with_production(model, None, rows)
+    for _ in range(3):
+        learning.register_model(model, result, "run", where)
+    assert learning.production_model(spark, where) is None
+    learning.move_to_stage(spark, where, 1, learning.PRODUCTION)
+    learning.move_to_stage(spark, where, 3, learning.PRODUCTION)
+    assert learning.production_version(spark, where).first()["version"] == 3
+    learning.move_to_stage(spark, where, 3, "Archived")
+    found = {r["version"]: r["stage"] for r in learning.read_registry(spark, where).collect()}
+    assert found == {1: "Production", 2: "Staging", 3: "Archived"}
+    assert learning.production_version(spark, where).first()["version"] == 1
+    assert learning.evaluate_model(learning.production_model(spark, where), rows).collect() == learning.evaluate_model(model, rows).collect()
+    with pytest.raises(ValueError, match="no version 9"):
+        learning.move_to_stage(spark, where, 9, learning.PRODUCTION)
+
 
 def test_pages_shallow_and_deep(spark, monkeypatch):
     base = dt.datetime(2024, 1, 1)
