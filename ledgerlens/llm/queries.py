@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import (
-    alignment, backoff, chat, factorisation, jaccard, merkle, mixing, outliers, packs, pieces, secrets, substrings, syncmers,
+    alignment, backoff, chat, factorisation, jaccard, merkle, mixing, multiindex, outliers, packs, pieces, secrets, substrings, syncmers,
 )
 from ledgerlens.llm.shipping import ship
 
@@ -126,6 +126,13 @@ def op10_temperature_mixing(spark, sf_dir):
         "doc_id", "source", "copies", "n_tokens", "epoch", "start")
 
 
+@_query
+def op11_multi_index(spark, sf_dir):
+    """The ten nearest of all other vectors for every hundredth one."""
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return multiindex.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 @_query
 def op12_merkle_manifest(spark, sf_dir):
     """Leaf, subroot, root and proof of all documents; line ends deleted from half of them, and found by the proof."""
