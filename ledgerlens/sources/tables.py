@@ -8,10 +8,12 @@ a new checkpoint, whose epochs start again, leaves those of others alone. Epochs
 are final are compacted (see segments); readers see rows in either place once.
 """
 
+import hashlib
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DateType, IntegerType, MapType, StringType, StructField, StructType
 
 from ledgerlens import schemas
 from ledgerlens.sources import segments
@@ -31,10 +33,17 @@ def _folder(where: str, name: str) -> str:
     return f"{where.rstrip('/')}/{name}"
 
 
-def read_table(spark: SparkSession, where, name: str, schema=None) -> DataFrame:
-    """A table, empty if it has not been written yet."""
+def read_table(spark: SparkSession, where, name: str, schema=None, split: tuple[str, int] | None = None) -> DataFrame:
+    """A table, empty if it has not been written yet.
+
+    A database table is read by one task unless `split` names a number or time column and how many tasks share its range.
+    """
     if isinstance(where, dict):
-        return spark.read.format("jdbc").options(**where).option("dbtable", name).load()
+        reader = spark.read.format("jdbc").options(**where)
+        if split is None:
+            return reader.option("dbtable", name).load()
+        ends = spark.read.format("jdbc").options(**where).option("query", range_query(name, split[0])).load().first()
+        return reader.options(**split_options(*split, *ends)).option("dbtable", name).load()
     schema = schema or SCHEMAS.get(name)
     reader = spark.read if schema is None else spark.read.schema(schema)
     try:
@@ -47,6 +56,59 @@ def read_table(spark: SparkSession, where, name: str, schema=None) -> DataFrame:
     return found if schema is None else found.select(*schema.names)
 
 
+def range_query(name: str, column: str) -> str:
+    return f"SELECT min({column}) AS low, max({column}) AS high FROM {name}"
+
+
+def split_options(column: str, parts: int, low, high) -> dict[str, str]:
+    """Options that let `parts` tasks read a range each; none for a table without values."""
+    if low is None:
+        return {}
+    return {"partitionColumn": column, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(parts)}
+
+
+def replace_statements(name: str, columns: list[str], stage: str, writer: str, epoch: int) -> list[str]:
+    """What turns staged rows into those of a writer's epoch, in one transaction: an earlier attempt's rows go."""
+    listed, by = ", ".join(columns), writer.replace("'", "''")
+    return [
+        f"DELETE FROM {name} WHERE writer = '{by}' AND epoch = {epoch}",
+        f"INSERT INTO {name} ({listed}, writer, epoch) SELECT {listed}, '{by}', {epoch} FROM {stage}",
+        f"DROP TABLE {stage}",
+    ]
+
+
+def stage_name(name: str, writer: str, epoch: int) -> str:
+    """A table for what a writer's epoch stages: a repeated attempt overwrites it."""
+    return f"{name}_{hashlib.md5(writer.encode()).hexdigest()[:12]}_{epoch}"
+
+
+def _in_one_transaction(spark: SparkSession, where: dict, statements: list[str]) -> None:
+    properties = spark._jvm.java.util.Properties()
+    for key in ("user", "password"):
+        if key in where:
+            properties.setProperty(key, where[key])
+    connection = spark._jvm.java.sql.DriverManager.getConnection(where["url"], properties)
+    try:
+        connection.setAutoCommit(False)
+        for statement in statements:
+            connection.createStatement().executeUpdate(statement)
+        connection.commit()
+    finally:
+        connection.close()  # what is not committed is rolled back
+
+
+def _append_to_database(df: DataFrame, where: dict, name: str, epoch: int | None, writer: str) -> None:
+    """Structs and arrays as JSON. With an epoch, rows are staged by all tasks and replace those of the epoch at once."""
+    rows = df.select([F.to_json(f.name).alias(f.name) if isinstance(f.dataType, (StructType, ArrayType, MapType)) else f.name
+                      for f in df.schema.fields])
+    if epoch is None:
+        rows.write.format("jdbc").options(**where).option("dbtable", name).mode("append").save()
+        return
+    stage = stage_name(name, writer, epoch)
+    rows.write.format("jdbc").options(**where).option("dbtable", stage).mode("overwrite").save()
+    _in_one_transaction(df.sparkSession, where, replace_statements(name, rows.columns, stage, writer, epoch))
+
+
 def compact_table(spark: SparkSession, where, name: str, writer: str, epoch: int, fan: int | None = None) -> None:
     """Compact what a writer wrote before `epoch`, if that is enough. Databases need no such thing."""
     if not isinstance(where, dict):
@@ -56,9 +118,12 @@ def compact_table(spark: SparkSession, where, name: str, writer: str, epoch: int
 def append_table(
     df: DataFrame, where, name: str, day: str = "created_at", epoch: int | None = None, writer: str = BATCH
 ) -> None:
-    """Append rows. With `epoch` the write is idempotent: it replaces all that this writer's epoch wrote before."""
+    """Append rows. With `epoch` the write is idempotent: it replaces all that this writer's epoch wrote before.
+
+    Database tables that streams write need columns writer and epoch for that.
+    """
     if isinstance(where, dict):
-        df.write.format("jdbc").options(**where).option("dbtable", name).mode("append").save()
+        _append_to_database(df, where, name, epoch, writer)
         return
     rows = df.withColumn("day", F.to_date(day))
     if epoch is None:

@@ -118,6 +118,26 @@ def test_days_of_segments_are_pruned(spark, tmp_path):
     assert [r["transaction_id"] for r in found.collect()] == ["t2"]
 
 
+# --- databases: the statements, as none can run here ----------------------------------------------
+
+
+def test_statements_replace_the_rows_of_an_epoch():
+    stage = tables.stage_name("final_decisions", "it's", 7)
+    assert stage == tables.stage_name("final_decisions", "it's", 7) != tables.stage_name("final_decisions", "other", 7)
+    assert tables.replace_statements("final_decisions", ["id", "reason"], stage, "it's", 7) == [
+        "DELETE FROM final_decisions WHERE writer = 'it''s' AND epoch = 7",
+        f"INSERT INTO final_decisions (id, reason, writer, epoch) SELECT id, reason, 'it''s', 7 FROM {stage}",
+        f"DROP TABLE {stage}",
+    ]
+
+
+def test_ranges_of_a_split_read():
+    assert tables.range_query("t", "created_at") == "SELECT min(created_at) AS low, max(created_at) AS high FROM t"
+    assert tables.split_options("id", 4, 10, 90) == {
+        "partitionColumn": "id", "lowerBound": "10", "upperBound": "90", "numPartitions": "4"}
+    assert tables.split_options("id", 4, None, None) == {}
+
+
 # --- review ids ---------------------------------------------------------------------------------
 
 
