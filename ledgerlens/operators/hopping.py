@@ -275,30 +275,6 @@ def direct_moments(raw: Column | None = None) -> Column:
     )
 
 
-def pooled_moments(parts: Column) -> Column:
-    """Moments struct of an array of disjoint ones, merged pair by pair.
-
-    Every step compares means of the array itself, so the spread of a frame keeps
-    its precision whatever the level of other amounts of the user.
-    """
-    def merge(a, p):
-        n, gap = a["n"] + p["n"], p["mean"] - a["mean"]
-        return F.struct(
-            n.alias("n"), (a["mean"] + gap * p["n"] / n).alias("mean"),
-            (a["m2"] + p["m2"] + gap * gap * a["n"] * p["n"] / n).alias("m2"),
-            F.least(a["lowest"], p["lowest"]).alias("lowest"), F.greatest(a["highest"], p["highest"]).alias("highest"),
-        )
-
-    empty = F.struct(
-        F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"),
-        F.lit(None).cast("double").alias("lowest"), F.lit(None).cast("double").alias("highest"),
-    )
-    return F.aggregate(
-        F.filter(parts, lambda p: p["n"] > 0), empty, merge,
-        lambda a: a.withField("mean", F.when(a["n"] > 0, a["mean"])),
-    )
-
-
 def merge_moments(parts: list[Column]) -> Column:
     """One moments struct from several disjoint ones; absent or empty parts count as nothing."""
     def count(p):

@@ -5,155 +5,75 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import scoring, times
 from ledgerlens.functions.times import DAY, HOUR, MINUTE
-from ledgerlens.operators.hopping import (
-    amount_zscore, direct_moments, mean_of, merge_moments, moments_aggs, pooled_moments, stddev_of,
-)
+from ledgerlens.operators.hopping import amount_zscore, direct_moments, mean_of, merge_moments, stddev_of
 
-_SHIFTS = (MINUTE, HOUR, DAY)
 
-# A user with more transactions than this on any day is worked on minute by minute.
-BUSY_DAY = 1_000
-
-
-def trailing_features(df: DataFrame, busy_day: int = BUSY_DAY) -> DataFrame:
+def trailing_features(df: DataFrame) -> DataFrame:
     """One row per transaction with trailing 24 h mean, deviation and z-score, 1 h and 1 min counts.
 
     Frames include the transaction itself and others of the user at the same
     instant. Rows without user or time have both counts 1 and no statistics.
 
-    Most users get plain range windows: one shuffle, and frames of at most two
-    busy days. A hot user would fill a single task and recompute a long frame for
-    every row, so users above `busy_day` take another path with the same result.
-    They are found by counts that are combined before the shuffle; where there
-    are none, adaptive execution drops that path.
+    Users are cut by day, so the group of a hot user is a day of it. What a frame
+    takes from the day before comes as narrow (user, time, amount) copies whose time is
+    moved forward by the frame's width. With t the time of a transaction in its
+    group of one day,
+      - [t - 24 h, t] is the rows of the day up to t and the rows moved by 24 h at or after t;
+      - [t - 1 h, t] is the rows of the day up to t, less those of them moved by 1 h to before t,
+        and with the rows of the day before that were moved by 1 h to t or later.
+    So all frames only grow along one of two orders, and the cost of a row depends
+    neither on its user nor on the width of a frame.
     """
     usable = F.col("user_id").isNotNull() & F.col("timestamp").isNotNull()
-    # A row that belongs to no user is a group by itself: no huge key, and no frame to run over.
-    key = F.when(usable, F.concat(F.lit("u"), F.col("user_id"))).otherwise(
-        F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))
+    none, every = F.array(F.lit(0).cast("bigint")), F.array(*[F.lit(w).cast("bigint") for w in (0, MINUTE, HOUR, DAY)])
+    moved = df.select(
+        "user_id", "amount", F.struct(*df.columns).alias("row"), usable.alias("usable"),
+        times.micros(F.col("timestamp")).alias("us"), F.explode(F.when(usable, every).otherwise(none)).alias("shift"),
     )
-    day = times.slot(times.micros(F.col("timestamp")), DAY)
-    busy = df.filter(usable).groupBy("user_id", day.alias("day")).agg(F.count("*").alias("n")) \
-        .filter(F.col("n") > busy_day).select(F.concat(F.lit("u"), F.col("user_id")).alias("_key")).distinct()
-    keyed = df.withColumn("_key", key)
-    calm = _plain_frames(keyed.join(busy, "_key", "left_anti"), usable)
-    hot = _minute_frames(keyed.join(busy, "_key", "left_semi").select(*df.columns))
-    columns = [*df.columns, *_FRAMED]
-    return amount_zscore(calm.select(*columns).unionByName(hot.select(*columns)))
-
-
-_FRAMED = ["mean_amount", "stddev_amount", "transactions_last_hour", "tx_count_1min"]
-
-
-def _plain_frames(keyed: DataFrame, usable) -> DataFrame:
-    ordered = Window.partitionBy("_key").orderBy(times.micros(F.col("timestamp")))
-    day, hour, minute = (ordered.rangeBetween(-width, Window.currentRow) for width in (DAY, HOUR, MINUTE))
-    return keyed.withColumns({
-        "mean_amount": F.when(usable, F.avg("amount").over(day)),
-        "stddev_amount": F.when(usable, F.stddev("amount").over(day)),
-        "transactions_last_hour": F.when(usable, F.count("*").over(hour)).otherwise(1),
-        "tx_count_1min": F.when(usable, F.count("*").over(minute)).otherwise(1),
-    })
-
-
-def _minute_frames(df: DataFrame) -> DataFrame:
-    """The same frames for users of any size, cut by (user, minute).
-
-    With m the minute of a transaction, the frame [t - W, t] is made of
-      - rows of minute m up to t,
-      - whole minutes in between, from pre-aggregated minute rows,
-      - rows of minute m - W at or after t - W; these are copied to minute m
-        with their time shifted by W, as narrow (user, time, amount) rows.
-    Each part is a frame that only grows, so the cost per row is constant and no
-    task holds more than one user's minute.
-    """
-    shifts = F.array(*[F.lit(shift).cast("bigint") for shift in (0, *_SHIFTS)])
-    copies = df.select(
-        "user_id", "amount", F.struct(*df.columns).alias("row"),
-        times.micros(F.col("timestamp")).alias("us"), F.explode(shifts).alias("shift"),
-    ).select(
-        "user_id", "amount", "shift", (F.col("us") + F.col("shift")).alias("at"),
+    at = F.col("us") + F.col("shift")
+    copies = moved.select(
+        "user_id", "amount", "usable", "shift", at.alias("at"),
+        times.slot_or_spread(F.col("usable"), times.slot(at, DAY)).alias("day"),
+        (times.slot(F.col("us"), DAY) == times.slot(at, DAY)).alias("same_day"),
         F.when(F.col("shift") == 0, F.col("row")).alias("row"),
-    ).withColumn("minute", times.slot(F.col("at"), MINUTE))
-
-    def only(shift):
-        return F.col("shift") == shift
+    )
 
-    group = Window.partitionBy("user_id", "minute")
-    until = group.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    since = group.orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    group = Window.partitionBy("user_id", "day")
+    rising, falling = group.orderBy("at"), group.orderBy(F.desc("at"))
+    until = rising.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = rising.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    since = falling.rangeBetween(Window.unboundedPreceding, Window.currentRow)
 
-    def count_over(frame, shift):
-        return F.count(F.when(only(shift), 1)).over(frame)
+    def count_over(frame, which):
+        return F.count(F.when(which, 1)).over(frame)
 
-    def raw_moments(frame, shift):
-        x = F.when(only(shift), F.col("amount"))
+    def moments_over(frame, shift):
+        x = F.when(F.col("shift") == shift, F.col("amount"))
         return F.struct(
-            F.count(x).over(frame).alias("n"), F.avg(x).over(frame).alias("mean"),
-            F.var_pop(x).over(frame).alias("variance"),
+            F.count(x).over(frame).alias("n"), F.avg(x).over(frame).alias("mean"), F.var_pop(x).over(frame).alias("variance"),
             F.min(x).over(frame).alias("lowest"), F.max(x).over(frame).alias("highest"),
         )
 
-    edges = copies.select(
-        "user_id", "minute", "shift", "row",
-        count_over(until, 0).alias("n_until"), raw_moments(until, 0).alias("m_until"),
-        count_over(since, MINUTE).alias("n_minute"), count_over(since, HOUR).alias("n_hour"),
-        raw_moments(since, DAY).alias("m_since"),
-    ).filter(only(0))
-
-    joined = edges.join(_whole_minutes(df), ["user_id", "minute"])
-    moments = merge_moments([
-        direct_moments(F.col("m_until")), F.col("m_between"), direct_moments(F.col("m_since")),
-    ])
-    return joined.withColumn("moments", moments).select(
-        "row.*",
-        mean_of(F.col("moments")).alias("mean_amount"), stddev_of(F.col("moments")).alias("stddev_amount"),
-        (F.col("n_until") + F.coalesce("n_between", F.lit(0)) + F.col("n_hour")).alias("transactions_last_hour"),
-        (F.col("n_until") + F.col("n_minute")).alias("tx_count_1min"),
-    )
-
-
-def _whole_minutes(known: DataFrame) -> DataFrame:
-    """Per (user, minute): moments of the 1,439 and count of the 59 whole minutes before it.
-
-    The 1,439 minutes are those before it in its hour, the 23 whole hours before
-    that, and the end of the hour before those: lists of 59, 23 and 59 at most.
-    """
-    at = times.micros(F.col("timestamp"))
-
-    def per(width, name):
-        return known.groupBy("user_id", times.slot(at, width).alias(name)).agg(
-            F.count("*").alias("transactions"), *moments_aggs("amount")
-        )
-
-    minutes_of_hour = HOUR // MINUTE
-    this_hour = F.floor(F.col("minute") / minutes_of_hour).cast("bigint")
-    minutes = per(MINUTE, "minute").withColumns({"hour": this_hour, "part": direct_moments()})
-    by_minute = Window.partitionBy("user_id").orderBy("minute")
-    before = by_minute.rangeBetween(1 - minutes_of_hour, -1)
-    far = by_minute.rangeBetween(1 - DAY // MINUTE, minutes_of_hour - DAY // MINUTE)
-    listed = F.struct("hour", "part")
-    minutes = minutes.select(
-        "user_id", "minute", "hour",
-        F.collect_list(listed).over(before).alias("before"), F.collect_list(listed).over(far).alias("far"),
-        F.sum("transactions").over(before).alias("n_between"),
-    )
-
-    by_hour = Window.partitionBy("user_id").orderBy("hour")
-    hours = per(HOUR, "hour").select(
-        "user_id", "hour",
-        F.collect_list(direct_moments()).over(by_hour.rangeBetween(1 - DAY // HOUR, -1)).alias("hours"),
-    )
-
-    def in_hour(parts, hour):
-        return F.filter(parts, lambda p: p["hour"] == hour)["part"]
-
-    return minutes.join(hours, ["user_id", "hour"]).select(
-        "user_id", "minute", "n_between",
-        pooled_moments(F.concat(
-            in_hour("before", F.col("hour")), F.col("hours"), in_hour("far", F.col("hour") - DAY // HOUR),
-        )).alias("m_between"),
-    )
+    def moved_by(width):
+        return F.col("shift") == width
+
+    framed = copies.select(
+        "row", "usable", "shift", count_over(until, moved_by(0)).alias("n_until"),
+        *[count_over(since, moved_by(w)).alias(f"since_{w}") for w in (MINUTE, HOUR)],
+        *[count_over(whole, moved_by(w) & F.col("same_day")).alias(f"moved_{w}") for w in (MINUTE, HOUR)],
+        moments_over(until, 0).alias("today"), moments_over(since, DAY).alias("yesterday"),
+    ).filter(moved_by(0))
+
+    def trailing_count(width):
+        return F.when(F.col("usable"), F.col("n_until") - F.col(f"moved_{width}") + F.col(f"since_{width}")).otherwise(1)
+
+    moments = F.col("moments")
+    pooled = framed.withColumn("moments", merge_moments([direct_moments(F.col("today")), direct_moments(F.col("yesterday"))]))
+    return amount_zscore(pooled.select(
+        "row.*", F.when(F.col("usable"), mean_of(moments)).alias("mean_amount"),
+        F.when(F.col("usable"), stddev_of(moments)).alias("stddev_amount"),
+        trailing_count(HOUR).alias("transactions_last_hour"), trailing_count(MINUTE).alias("tx_count_1min"),
+    ))
 
 
 # --- fixed values: order of the enriched message ------------------------------

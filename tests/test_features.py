@@ -82,11 +82,10 @@ def random_transactions(spark, n, seed):
         timestamp timestamp, location string, device_id string, is_fraud boolean""")
 
 
-@pytest.mark.parametrize("busy_day", [0, 20, 10**6])
-def test_hot_and_plain_path_equal_brute_force(spark, busy_day):
+def test_trailing_features_equal_brute_force(spark):
     df = random_transactions(spark, 400, 7).cache()
     rows = df.collect()
-    got = {r["transaction_id"]: r for r in trailing.trailing_features(df, busy_day).collect()}
+    got = {r["transaction_id"]: r for r in trailing.trailing_features(df).collect()}
     assert len(got) == len(rows)
     for r in rows:
         g = got[r["transaction_id"]]
@@ -168,15 +167,33 @@ def shifted_level(spark):
         "transaction_id string, user_id string, amount double, timestamp timestamp")
 
 
-@pytest.mark.parametrize("busy_day", [0, 10**6])
-def test_deviation_survives_a_level_shift(spark, busy_day):
-    got = {int(r["transaction_id"]): r for r in trailing.trailing_features(shifted_level(spark), busy_day).collect()}
+def test_deviation_survives_a_level_shift(spark):
+    got = {int(r["transaction_id"]): r for r in trailing.trailing_features(shifted_level(spark)).collect()}
     for i in range(51, 55):
         amounts = [a for a, _ in SHIFT[50:i + 1]]
         assert got[i]["mean_amount"] == pytest.approx(statistics.mean(amounts))
         assert got[i]["stddev_amount"] == pytest.approx(statistics.stdev(amounts))
 
 
+@pytest.mark.parametrize("width", [60, 3600, 86400])
+def test_frames_over_midnight_hold_both_ends(spark, width):
+    midnight = dt.datetime(2024, 1, 2)
+    offsets = [-width - 1e-6, -width, -width / 2, -1e-6, 0.0, 1e-6, width / 2, width, width + 1e-6]
+    df = spark.createDataFrame(
+        [(f"{start}/{o}", "u", float(i), midnight + dt.timedelta(seconds=start + o))
+         for start in (0, width / 3) for i, o in enumerate(offsets)],
+        "transaction_id string, user_id string, amount double, timestamp timestamp")
+    rows = df.collect()
+    names = {60: "tx_count_1min", 3600: "transactions_last_hour"}
+    for g in trailing.trailing_features(df).collect():
+        since = g["timestamp"] - dt.timedelta(seconds=width)
+        inside = [r["amount"] for r in rows if since <= r["timestamp"] <= g["timestamp"]]
+        if width in names:
+            assert g[names[width]] == len(inside)
+        else:
+            assert g["mean_amount"] == pytest.approx(statistics.mean(inside))
+
+
 def test_batch_windows_equal_plain_windows_after_a_level_shift(spark):
     tx = shifted_level(spark)
     got = {r["window"]: r for r in hopping.user_stats_24h(tx).collect()}

@@ -53,5 +53,9 @@ def test_aggregates_combine_before_the_shuffle_and_read_what_they_need(spark, sf
 
 def test_trailing_features_have_no_global_or_cross_step(spark, sf_dir):
     text = plan(trailing.trailing_features(canonical.transactions(spark, sf_dir)))
+    source = plan(canonical.transactions(spark, sf_dir))
     assert "SinglePartition" not in text
+    # one scan, one shuffle, no joins of its own
+    assert all(text.count(step) == source.count(step) for step in ("Scan parquet", "Join"))
+    assert text.count("hashpartitioning(user_id") - source.count("hashpartitioning(user_id") == 1
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
