@@ -90,7 +90,7 @@ def page(df: DataFrame, number: int = 1, page_size: int = 10) -> DataFrame:
         rows = df.orderBy(*order).offset(start).limit(page_size)
     else:
         minute = times.slot(times.micros(F.col("timestamp")), times.MINUTE)
-        placed = running_totals(df, order, minute, {"_position": F.lit(1)})
+        placed = running_totals(df, order, minute, {"_position": F.lit(1)}, unplaced=F.col("transaction_id"))
         rows = placed.filter(F.col("_position").between(start + 1, start + page_size)) \
             .orderBy("_position").drop("_position", "_position_all")
     return rows.withColumns({

@@ -12,12 +12,15 @@ def _curve(scored: DataFrame, score: str, label: str, within: tuple[str, ...]) -
     """One row per distinct score with its positives and negatives and their running totals from below.
 
     Equal scores collapse before the shuffle; buckets of the score range keep the
-    running totals parallel when scores are continuous.
+    running totals parallel when scores are continuous. Scores beyond [0, 1], such as
+    margins, get buckets of the logistic curve: it squeezes them into (0, 1) in their order.
     """
     per_score = scored.groupBy(*within, F.col(score).alias("score")).agg(
         F.sum(F.col(label).cast("bigint")).alias("pos"), F.sum(1 - F.col(label).cast("bigint")).alias("neg")
     )
-    bucket = F.floor(F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0)) * _SCORE_BUCKETS)
+    x = F.col("score").cast("double")
+    beyond = F.floor(_SCORE_BUCKETS / (1 + F.exp(-x)))
+    bucket = F.when(F.isnan(x), 3 * _SCORE_BUCKETS).when(x < 0, beyond - _SCORE_BUCKETS).when(x > 1, beyond + _SCORE_BUCKETS).otherwise(F.floor(x * _SCORE_BUCKETS))
     return running_totals(
         per_score, [F.col("score")], bucket, {"pos_upto": F.col("pos"), "neg_upto": F.col("neg")}, within
     )

@@ -94,6 +94,7 @@ def running_fraud_rate(df: DataFrame, every: int = REPORT_EVERY) -> DataFrame:
         df.select("timestamp", "transaction_id", "is_fraud"),
         [F.col("timestamp"), F.col("transaction_id")], minute,
         {"sent": F.lit(1), "fraudulent": F.when(F.col("is_fraud"), 1).otherwise(0)},
+        unplaced=F.col("transaction_id"),
     )
     return counted.filter(F.col("sent") % every == 0).select(
         "sent", "fraudulent", (F.col("fraudulent") * 100.0 / F.col("sent")).alias("fraud_rate")

@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import alerts, bloom, level0, learning, metrics, reports
-from ledgerlens.operators.running import running_totals
+from ledgerlens.operators.running import _part_of, running_totals
 from ledgerlens.sources import topics
 
 VALID = {"transaction_id": "t", "user_id": "user_12345", "amount": 150.5, "timestamp": "2024-01-01T00:00:00",
@@ -79,9 +79,34 @@ def test_running_totals(spark):
         assert {r["run_all"] for r in mine} == {total}
 
 
-def test_areas(spark):
+@pytest.mark.parametrize("ids", [lambda i: f"txn_{i:07d}", lambda i: f"txn_{i}", lambda i: hashlib.md5(str(i).encode()).hexdigest(),
+                                 lambda i: "same", lambda i: None, lambda i: ["é", "", "Ünï", None][i % 4] and f"é{i}"])
+def test_running_totals_of_rows_without_a_bucket(spark, ids):
+    rng = random.Random(3)
+    rows = [(None if i % 3 else i // 50, ids(i), rng.randrange(9)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "x int, id string, v int")
+    order = [F.col("x"), F.col("id"), F.col("v")]
+    got = running_totals(df, order, F.col("x"), {"run": F.col("v"), "at": F.lit(1)}, unplaced=F.col("id"), part_rows=100).collect()
+    mine = sorted(got, key=lambda r: (r["x"] is not None, r["x"] or 0, r["id"] is not None, (r["id"] or "").encode(), r["v"]))
+    total = at = 0
+    for r in sorted(got, key=lambda r: (r["at"], r["run"])):
+        total, at = total + r["v"], at + 1
+        assert (r["run"], r["at"]) == (total, at)
+    assert [(r["x"], r["id"], r["v"]) for r in mine] == [
+        (r["x"], r["id"], r["v"]) for r in sorted(got, key=lambda r: (r["at"], r["run"]))]
+
+
+def test_rows_without_a_bucket_are_many_groups(spark):
+    df = spark.range(1_000_000).select(F.format_string("txn_%08d", "id").alias("id"))
+    part = _part_of(df, F.col("id"), 100_000)
+    sizes = [r["count"] for r in df.groupBy(part.alias("part")).count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 200_000
+
+
+@pytest.mark.parametrize("scale", [1, 40])
+def test_areas(spark, scale):
     rng = random.Random(2)
-    rows = [(rng.choice([rng.random(), 0.5, 0.25]), int(rng.random() < 0.3)) for _ in range(400)]
+    rows = [((rng.choice([rng.random(), 0.5, 0.25]) - (scale > 1) / 2) * scale, int(rng.random() < 0.3)) for _ in range(400)]
     df = spark.createDataFrame(rows, "score double, label int")
     pos, neg = [s for s, y in rows if y], [s for s, y in rows if not y]
     auc = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
