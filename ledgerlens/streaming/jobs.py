@@ -1,15 +1,15 @@
 """Streaming jobs: thin wrappers that feed micro-batches to the batch operators.
 
 Every job writes from the executors, has a checkpoint folder of its own, and
-tags what it writes with the id in that folder and the epoch of the micro-batch,
+tags what it writes with the query's id, which lives in that folder, and the epoch of the micro-batch,
 so that a repeated batch replaces its tables rows instead of adding to them, and
 jobs do not replace each other's. Topics are at-least-once.
 """
 
 import datetime as dt
-import json
+import threading
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,11 +18,6 @@ from ledgerlens.sources import segments, tables, topics
 from ledgerlens.streaming.windows import features_of_batch
 
 
-def writer_of(spark: SparkSession, checkpoint: str) -> str:
-    """Id of the stream that owns a checkpoint: it survives restarts, and a new checkpoint has another."""
-    return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata", wholetext=True).first()["value"])["id"]
-
-
 def _now():
     """The time of a batch, the same in all of its writes."""
     return F.lit(dt.datetime.now(dt.timezone.utc))
@@ -35,14 +30,13 @@ def start(stream: DataFrame, process, checkpoint: str, available_now: bool = Fal
     `process` gets non-empty batches, cached for its several writes, with their epoch and writer. Every
     segments.FAN epochs, the `compacted` tables lose the epoch folders of all batches before.
     """
-    writer_ids = []
+    started, writer_ids = threading.Event(), []
 
     def run(batch: DataFrame, epoch: int):
         held = batch.persist()
         try:
             if not held.isEmpty():
-                if not writer_ids:
-                    writer_ids.append(writer_of(batch.sparkSession, checkpoint))
+                started.wait()
                 for name in compacted if epoch % segments.FAN == 0 else ():
                     tables.compact_table(batch.sparkSession, table_where, name, writer_ids[0], epoch)
                 process(held, epoch, writer_ids[0])
@@ -50,7 +44,12 @@ def start(stream: DataFrame, process, checkpoint: str, available_now: bool = Fal
             held.unpersist()
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).outputMode("append")
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    try:
+        query = (writer.trigger(availableNow=True) if available_now else writer).start()
+        writer_ids.append(query.id)  # survives restarts; a new checkpoint has another
+    finally:
+        started.set()
+    return query
 
 
 def stream_gate(bodies: DataFrame, blacklist: DataFrame, topic_where, checkpoint: str, **options) -> StreamingQuery:

@@ -31,7 +31,9 @@ def closing_row(spark: SparkSession, schema: StructType) -> DataFrame:
     It has a user because a join leaves out rows without one before it looks at
     their times. Windows are emitted once the watermark has passed their end, so the last ones
     need a later event. The windows of this one stay open: it is emitted nowhere.
-    It must arrive after all others, which would be late behind it.
+    It must arrive after all others, which would be late behind it, and with it the
+    watermark of a checkpoint is the end of time for good. So it is for streams that are
+    drained once; one that goes on emits its last windows when later events come.
     """
     known = {"timestamp": CLOSING_TIME, "user_id": "closing"}
     return spark.range(1).select(*(F.lit(known.get(f.name)).cast(f.dataType).alias(f.name) for f in schema))
