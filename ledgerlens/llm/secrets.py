@@ -13,8 +13,12 @@ Positions are code points; ends are exclusive. Matches of a kind are the leftmos
 ones that do not overlap: the text is split at them, and their places follow from
 the lengths of pieces and matches.
 
-Defined cases: null text is empty; other columns are kept (those named like a
-result are replaced); a run of any length is one candidate; an empty table gives
+Runs are taken apart once, and every step reads its own place in them, so work grows
+with the length of a text; no pattern repeats a group, which would take a frame of
+the JVM's stack for every part of a long run.
+
+Defined cases: null text is empty; other columns are kept (one named like the
+result is replaced); a run of any length is one candidate; an empty table gives
 no rows.
 """
 
@@ -41,10 +45,11 @@ ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # UUID
     r"(?i)^(sha|md)[0-9]{1,3}[-=]",  # published checksums
     r"^[A-Za-z]*[-_/]?[0-9]+$",  # a name and a number
-    r"^([A-Za-z]{2,}|[0-9]{1,4})([-_/]+([A-Za-z]{2,}|[0-9]{1,4}))+[-_/]*$",  # words and short numbers: paths, slugs, dates
 )
-LISTED = (r"[^=/_]*(?i:example|sample|placeholder|dummy|changeme|xxxx|"
-          r"abcdefghij|0123456789|1234567890|qwertyuiop)[^=/_]*")
+JOINT, SLUG_PART = "[-_/]+", "^(?:[A-Za-z]{2,}|[0-9]{1,4})$"  # words and short numbers: paths, slugs, dates
+LISTED = (r"(?i)example|sample|placeholder|dummy|changeme|xxxx|"
+          r"abcdefghij|0123456789|1234567890|qwertyuiop")
+_BITS, _FIELDS = 5, 12  # of a count, and counts in a whole number
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -61,7 +66,8 @@ def _spans(text: Column, pattern: str, matched) -> Column:
     def add(state, pair):
         start = state["at"] + F.length(pair["piece"])
         found = matched(pair["match"], start)
-        return F.struct((start + F.length(pair["match"])).alias("at"), F.concat(state["spans"], found).alias("spans"))
+        spans = F.when(F.size(found) > 0, F.concat(state["spans"], found)).otherwise(state["spans"])
+        return F.struct((start + F.length(pair["match"])).alias("at"), spans.alias("spans"))
 
     # the last piece has no match behind it
     pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda p, m: F.struct(
@@ -79,13 +85,25 @@ def _whole(kind: int, keep=None):
     return spans
 
 
+def _each(values: Column, of) -> Column:
+    """Of one value: what `of` makes of it, which reads it as often as it likes while it is worked out once."""
+    return F.get(F.transform(F.array(values), of), 0)
+
+
+def _slug(run: Column) -> Column:
+    """Two words or short numbers at least, joined by - _ /, and nothing else."""
+    return run.rlike("^[A-Za-z0-9]") & _each(
+        F.filter(F.split(run, JOINT), lambda p: p != ""),
+        lambda parts: (F.size(parts) > 1) & F.forall(parts, lambda p: p.rlike(SLUG_PART)))
+
+
 def _limit(run: Column) -> Column:
     """Entropy limit of a run by its character class; null for runs that are not keys."""
-    allowed = F.lit(False)
+    allowed = ~run.rlike("[0-9]") | ~run.rlike("[A-Za-z]")
     for pattern in ALLOWED:
         allowed = allowed | run.rlike(pattern)
     return (
-        F.when(allowed | ~run.rlike("[0-9]") | ~run.rlike("[A-Za-z]"), F.lit(None).cast("double"))
+        F.when(allowed | _slug(run), F.lit(None).cast("double"))
         .when(run.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit(LIMITS["hex"]))
         .when(~run.rlike("[A-Z]") | ~run.rlike("[a-z]"), F.lit(LIMITS["lower"]))
         .otherwise(F.lit(LIMITS["mixed"]))
@@ -93,77 +111,104 @@ def _limit(run: Column) -> Column:
 
 
 def _term(count: Column) -> Column:
-    """count x log2(count), 0 for 0."""
-    return F.when(count > 1, count * F.log2(count)).otherwise(F.lit(0.0))
+    """count x log2(count), 0 for 0, of counts within a window."""
+    return F.get(F.array(F.lit(0.0), *(F.lit(n) * F.log2(F.lit(n)) for n in range(1, WINDOW + 2))), count)
 
 
 def suspicious_stretch(run: Column, limit: Column) -> Column:
     """struct<first, last>: begin of the first and end of the last window at or above its limit; nulls if there is none.
 
-    `limit` is that of windows without letters or without digits.
+    `limit` is that of windows without letters or without digits. The counts of the
+    characters in the window are fields of _BITS bits in a few whole numbers.
     """
     classes = {  # of places in ALPHABET
         "upper": lambda c: c.between(1, 26), "lower": lambda c: c.between(27, 52), "digit": lambda c: c.between(53, 62),
         "upper_hex": lambda c: c.between(1, 6), "lower_hex": lambda c: c.between(27, 32),
     }
+    words = len(ALPHABET) // _FIELDS + 1
     state = F.struct(
         *(F.lit(0).alias(k) for k in classes),
-        F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"), F.lit(0.0).alias("sum"),
+        F.array_repeat(F.lit(0).cast("bigint"), words).alias("counts"), F.lit(0.0).alias("sum"),
         F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
 
-    chars = F.transform(F.filter(F.split(run, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    steps = F.transform(chars, lambda c, i: F.struct(
-        i.alias("i"), c.alias("enters"), F.when(i >= WINDOW, F.get(chars, i - WINDOW)).alias("leaves")))
+    # a character leaves WINDOW steps after it enters: the run beside itself, moved by a window
+    places = F.transform(F.filter(F.split(run, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    none = F.array_repeat(F.lit(None).cast("int"), WINDOW)
+    steps = _each(places, lambda chars: F.transform(
+        F.zip_with(chars, F.slice(F.concat(none, chars), F.lit(1), F.size(chars)), lambda c, gone: F.struct(
+            c.alias("enters"), gone.alias("leaves"))),
+        lambda step, i: F.struct(
+            i.alias("i"), step["enters"].alias("enters"), step["leaves"].alias("leaves"),
+            F.floor(step["enters"] / _FIELDS).cast("int").alias("to"), (step["enters"] % _FIELDS * _BITS).alias("to_bit"),
+            F.floor(step["leaves"] / _FIELDS).cast("int").alias("off"), (step["leaves"] % _FIELDS * _BITS).alias("off_bit"))))
+    one = F.lit(1).cast("bigint")
+
+    def count(s, word, bit):
+        return F.call_function("shiftright", F.get(s["counts"], word), bit).bitwiseAND((1 << _BITS) - 1).cast("int")
 
     def slide(s, step):
-        gains, loses = F.get(s["counts"], step["enters"]), F.get(s["counts"], step["leaves"])
+        gains, loses = count(s, step["to"], step["to_bit"]), count(s, step["off"], step["off_bit"])
         same = step["leaves"].eqNullSafe(step["enters"])
         change = F.when(same, F.lit(0.0)).otherwise(
             _term(gains + 1) - _term(gains) + F.when(step["leaves"].isNull(), F.lit(0.0)).otherwise(
                 _term(loses - 1) - _term(loses)))
-        counts = F.transform(s["counts"], lambda n, k: n + (k == step["enters"]).cast("int") - F.coalesce(
-            (k == step["leaves"]).cast("int"), F.lit(0)))
+        counts = F.transform(s["counts"], lambda n, k: n
+                             + F.when(k == step["to"], F.call_function("shiftleft", one, step["to_bit"])).otherwise(0)
+                             - F.when(k == step["off"], F.call_function("shiftleft", one, step["off_bit"])).otherwise(0))
         total = s["sum"] + change
         n = {k: s[k] + of(step["enters"]).cast("int") - F.coalesce(of(step["leaves"]).cast("int"), F.lit(0))
              for k, of in classes.items()}
+        return F.struct(
+            *(v.alias(k) for k, v in n.items()), counts.alias("counts"), total.alias("sum"),
+            s["first"].alias("first"), s["last"].alias("last"), step["i"].alias("i"))
+
+    def judged(s):
+        """The state with the window that ends here taken in, if it is at or above its limit."""
         own = (
-            F.when((n["digit"] == 0) | (n["upper"] + n["lower"] == 0), limit)
-            .when((n["lower_hex"] + n["digit"] == WINDOW) | (n["upper_hex"] + n["digit"] == WINDOW), F.lit(LIMITS["hex"]))
-            .when((n["upper"] == 0) | (n["lower"] == 0), F.lit(LIMITS["lower"]))
+            F.when((s["digit"] == 0) | (s["upper"] + s["lower"] == 0), limit)
+            .when((s["lower_hex"] + s["digit"] == WINDOW) | (s["upper_hex"] + s["digit"] == WINDOW), F.lit(LIMITS["hex"]))
+            .when((s["upper"] == 0) | (s["lower"] == 0), F.lit(LIMITS["lower"]))
             .otherwise(F.lit(LIMITS["mixed"]))
         )
-        high = (step["i"] >= WINDOW - 1) & (F.lit(math.log2(WINDOW)) - total / WINDOW >= own)
+        high = (s["i"] >= WINDOW - 1) & (F.lit(math.log2(WINDOW)) - s["sum"] / WINDOW >= own)
         return F.struct(
-            *(v.alias(k) for k, v in n.items()),
-            counts.alias("counts"), total.alias("sum"),
-            F.when(high, F.coalesce(s["first"], step["i"] - (WINDOW - 1))).otherwise(s["first"]).cast("int").alias("first"),
-            F.when(high, step["i"] + 1).otherwise(s["last"]).cast("int").alias("last"))
+            *(s[k].alias(k) for k in classes), s["counts"].alias("counts"), s["sum"].alias("sum"),
+            F.when(high, F.coalesce(s["first"], s["i"] - (WINDOW - 1))).otherwise(s["first"]).cast("int").alias("first"),
+            F.when(high, s["i"] + 1).otherwise(s["last"]).cast("int").alias("last"))
 
-    return F.aggregate(steps, state, slide, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+    return F.aggregate(steps, state, lambda s, step: _each(slide(s, step), judged), lambda s: F.struct(
+        s["first"].alias("first"), s["last"].alias("last")))
 
 
 def _unlisted(run: Column) -> Column:
-    """array<struct<at, part>>: what a run has beside listed parts."""
-    matches = F.regexp_extract_all(run, F.lit(LISTED), F.lit(0))
-    parts = F.zip_with(F.split(run, LISTED, -1), matches, lambda p, m: F.struct(
-        p.alias("part"), F.coalesce(F.length(m), F.lit(0)).alias("gap")))
+    """array<struct<at, part>>: what a run has beside the parts between = / _ that hold a listed word."""
     none = F.array().cast("array<struct<at:int,part:string>>")
-    cut = F.aggregate(
-        parts, F.struct(F.lit(0).alias("at"), none.alias("found")),
-        lambda s, p: F.struct(
-            (s["at"] + F.length(p["part"]) + p["gap"]).alias("at"),
-            F.concat(s["found"], F.array(F.struct(s["at"].alias("at"), p["part"].alias("part")))).alias("found")),
-        lambda s: s["found"])
-    return F.filter(F.when(run.rlike(LISTED), cut).otherwise(F.array(F.struct(
-        F.lit(0).alias("at"), run.alias("part")))), lambda p: F.length(p["part"]) >= WINDOW)
+    whole = F.filter(F.array(F.struct(F.lit(0).alias("at"), run.alias("part"))), lambda p: F.length(p["part"]) >= WINDOW)
+
+    def between(tokens):
+        # parts and the characters that end them; listed parts by their places, and one beyond both ends
+        listed = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: F.get(tokens, i).rlike(LISTED))
+        ends = F.concat(F.array(F.lit(-1)), listed, F.array(F.size(tokens)))
+        pieces = F.zip_with(F.slice(ends, F.lit(1), F.size(ends) - 1), F.slice(ends, F.lit(2), F.size(ends) - 1), lambda a, b: F.struct(
+            F.array_join(F.slice(tokens, a + 2, b - a - 1), "").alias("part"),
+            F.coalesce(F.length(F.get(tokens, b)), F.lit(0)).alias("gap")))
+        return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("found")), add, lambda s: s["found"])
+
+    def add(s, p):
+        found = F.when(F.length(p["part"]) >= WINDOW, F.concat(s["found"], F.array(F.struct(
+            s["at"].alias("at"), p["part"].alias("part"))))).otherwise(s["found"])
+        return F.struct((s["at"] + F.length(p["part"]) + p["gap"]).alias("at"), found.alias("found"))
+
+    cut = _each(F.split(run, "(?<=[=/_])|(?=[=/_])"), between)
+    return F.when(run.rlike(LISTED), cut).otherwise(whole)
 
 
 def _entropy(match: Column, start: Column) -> Column:
     def found(p):
         # behind a listed part, the character that ends it is no part of the name
         name = F.when(p["at"] > 0, F.regexp_replace(p["part"], "^[=/_]+", "")).otherwise(p["part"])
-        # arrays of one, so that the limit and the stretch are worked out once
-        limits = F.filter(F.array(_limit(name)), lambda x: x.isNotNull())
+        # arrays of one, so that the name, the limit and the stretch are worked out once
+        limits = F.filter(F.transform(F.array(name), _limit), lambda x: x.isNotNull())
         stretches = F.transform(limits, lambda x: suspicious_stretch(p["part"], x))
         return F.transform(F.filter(stretches, lambda s: s["first"].isNotNull()), lambda s: F.struct(
             (start + p["at"] + s["first"]).cast("int").alias("start"), F.lit(3).alias("kind"),
@@ -172,11 +217,11 @@ def _entropy(match: Column, start: Column) -> Column:
     return F.flatten(F.transform(_unlisted(match), found))
 
 
-def found_secrets(docs: DataFrame, column: str = "text") -> DataFrame:
-    """All columns and `secrets`: array<struct<start, kind (number in KINDS), end>> by start, then kind."""
+def found_secrets(docs: DataFrame, column: str = "text", into: str = "secrets") -> DataFrame:
+    """All columns and `into`: array<struct<start, kind (number in KINDS), end>> by start, then kind."""
     text = F.coalesce(F.col(column), F.lit(""))
     value = lambda m: F.length(F.regexp_extract(m, ASSIGN, 1)) >= _LEAST_VALUE
-    return docs.withColumn("secrets", F.array_sort(F.concat(
+    return docs.withColumn(into, F.array_sort(F.concat(
         _spans(text, ASSIGN, _whole(0, value)), _spans(text, ACCESS, _whole(1)),
         _spans(text, HEX, _whole(2)), _spans(text, CANDIDATE, _entropy))))
 
