@@ -168,9 +168,11 @@ def mixed(docs: DataFrame, target_entropy: float, most_repeats: float) -> DataFr
     work = packs.Work(docs.sparkSession, "mixing")
     known = work.keep(units(docs), "units")
     times = planned(known, work, target_entropy, most_repeats, keep_all=True).groupBy("doc_id", "source", "key").agg(
-        F.count(F.lit(1)).cast("int").alias("_times")).withColumnsRenamed({"doc_id": "_id", "source": "_source", "key": "_key"})
-    own = docs.withColumn("_digest", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    joined = own.join(times, own["doc_id"].eqNullSafe(times["_id"]) & (own["_digest"] == times["_key"]) & (
-        F.coalesce(own["source"], F.lit("")) == times["_source"]))
-    return joined.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(
-        *(own[c] for c in docs.columns))
+        F.count(F.lit(1)).cast("int").alias("times"))
+    # rows travel as one column, so that no name of theirs clashes
+    own = docs.select(
+        F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.coalesce("source", F.lit("")).alias("own_source"),
+        F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("own_key"))
+    joined = own.join(times, own["own_id"].eqNullSafe(times["doc_id"]) & (own["own_key"] == times["key"]) & (
+        own["own_source"] == times["source"]))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
