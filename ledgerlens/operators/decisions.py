@@ -65,20 +65,29 @@ def latest_message(df: DataFrame, name: str) -> DataFrame:
     Latest by instant: ISO texts with and without fractions or offsets do not sort as text.
     Of messages of one instant the last in its topic counts, if their places are known.
     """
+    return _with_place(df, name, "_place").groupBy("transaction_id").agg(F.max_by(name, "_place").alias(name))
+
+
+def _with_place(df: DataFrame, name: str, place: str) -> DataFrame:
+    """transaction_id, the message as a struct, and what tells which of two messages is later."""
     content = [c for c in df.columns if c not in POSITION]
-    newest = F.struct(F.col("timestamp").try_cast("timestamp"), *_position(df), "timestamp", F.xxhash64(*content))
-    return drop_undecodable(df).groupBy("transaction_id").agg(
-        F.max_by(F.struct(*content), newest).alias(name)
-    )
+    later = F.struct(F.col("timestamp").try_cast("timestamp"), *_position(df), "timestamp", F.xxhash64(*content))
+    return drop_undecodable(df).select("transaction_id", F.struct(*content).alias(name), later.alias(place))
 
 
 def correlate_levels(l1: DataFrame, l2: DataFrame) -> DataFrame:
-    """Full outer join of the latest level 1 and level 2 message of each transaction."""
+    """The latest level 1 and level 2 message of each transaction, as of a full outer join.
+
+    Both kinds go through one aggregate, each in its own columns: one shuffle, no join.
+    """
     left = l1.select(*[F.col(c) if c in l1.columns else F.lit(None).cast(LEVEL1_ACTION[c].dataType).alias(c)
                        for c in LEVEL1_ACTION.names], *_position(l1))
     right = l2.select(*[F.col(c) if c in l2.columns else F.lit(None).cast(LEVEL2_VERDICT[c].dataType).alias(c)
                         for c in LEVEL2_VERDICT.names], *_position(l2))
-    return latest_message(left, "level1").join(latest_message(right, "level2"), "transaction_id", "full_outer")
+    both = _with_place(left, "level1", "_place1").unionByName(
+        _with_place(right, "level2", "_place2"), allowMissingColumns=True)
+    return both.groupBy("transaction_id").agg(
+        F.max_by("level1", "_place1").alias("level1"), F.max_by("level2", "_place2").alias("level2"))
 
 
 def decisions_combined(l1: DataFrame, l2: DataFrame) -> DataFrame:

@@ -37,11 +37,15 @@ def unmatched_judgements(judgements: DataFrame, reviews: DataFrame) -> DataFrame
 def feedback_rows(judgements: DataFrame, reviews: DataFrame) -> DataFrame:
     """One label per valid judgement of an existing review."""
     known = reviews.select(F.col("id").alias("review_id"), "transaction_id")
-    return valid_judgements(judgements).join(known, "review_id").select(
-        F.md5(F.concat_ws("|", "review_id", "operator_id", "verdict", "comment", F.unix_micros("judged_at"))
-              .cast("binary")).alias("id"),
-        "review_id", "transaction_id", "operator_id", "verdict", "comment", F.col("judged_at").alias("created_at"),
-    )
+    return _feedback(judgements, known).select(
+        "id", "review_id", "transaction_id", "operator_id", "verdict", "comment", "created_at")
+
+
+def _feedback(judgements: DataFrame, known: DataFrame) -> DataFrame:
+    return valid_judgements(judgements).join(known, "review_id").withColumns({
+        "id": F.md5(F.concat_ws("|", "review_id", "operator_id", "verdict", "comment", F.unix_micros("judged_at")).cast("binary")),
+        "created_at": F.col("judged_at"),
+    })
 
 
 def feedback_messages(feedback: DataFrame) -> DataFrame:
@@ -69,11 +73,19 @@ def judge_reviews(reviews: DataFrame, judgements: DataFrame) -> tuple[DataFrame,
 
 def labelled_reviews(feedback: DataFrame, reviews: DataFrame) -> DataFrame:
     """Feedback with the features of its review; the review's transaction_id is kept."""
-    features = reviews.select(
+    return feedback.drop("transaction_id").join(_features(reviews), "review_id")
+
+
+def _features(reviews: DataFrame) -> DataFrame:
+    return reviews.select(
         F.col("id").alias("review_id"), "transaction_id", "user_id", "amount", "device_id", "detection_path",
         "level1_score", "level2_score",
     )
-    return feedback.drop("transaction_id").join(features, "review_id")
+
+
+def labelled_judgements(judgements: DataFrame, reviews: DataFrame) -> DataFrame:
+    """labelled_reviews of the feedback_rows of judgements, in one join: what both read of a review is found once."""
+    return _feedback(judgements, _features(reviews)).drop("judged_at")
 
 
 def training_features(labelled: DataFrame, *keep: str) -> DataFrame:
@@ -87,3 +99,8 @@ def drop_incomplete(features: DataFrame) -> DataFrame:
 
 def extract_features(feedback: DataFrame, reviews: DataFrame, *keep: str) -> DataFrame:
     return drop_incomplete(training_features(labelled_reviews(feedback, reviews), *keep))
+
+
+def judged_features(judgements: DataFrame, reviews: DataFrame, *keep: str) -> DataFrame:
+    """extract_features of judgements that were not written as feedback."""
+    return drop_incomplete(training_features(labelled_judgements(judgements, reviews), *keep))

@@ -48,5 +48,4 @@ def review_table(tx: DataFrame) -> DataFrame:
 
 def training_table(tx: DataFrame, judgements: DataFrame) -> DataFrame:
     """review_id, amount, level scores and label of every judged review."""
-    opened = review_table(tx)
-    return reviews.extract_features(reviews.feedback_rows(judgements, opened), opened, "review_id")
+    return reviews.judged_features(judgements, review_table(tx), "review_id")

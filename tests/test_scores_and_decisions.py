@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import decisions, level1, level2, parse, reviews
+from ledgerlens.plans import canonical, flow
 from ledgerlens.schemas import JUDGEMENT
 from ledgerlens.sources import topics
 
@@ -156,3 +157,22 @@ def test_onnx_scores(spark, tmp_path):
 def test_model_score_falls_back(spark):
     df = spark.createDataFrame([(1500.0, 2)], "amount double, tx_count_1min bigint")
     assert level1.model_scores(df).first()["score"] == pytest.approx(0.7)
+
+
+def test_training_rows_of_judgements_need_one_join(spark, sf_dir):
+    opened = flow.review_table(canonical.transactions(spark, sf_dir))
+    judged = canonical.judgements(spark, sf_dir)
+    two = reviews.labelled_reviews(reviews.feedback_rows(judged, opened), opened)
+    one = reviews.labelled_judgements(judged, opened)
+    assert set(one.columns) == set(two.columns) and one.count() == two.count() > 0
+    assert one.select(*two.columns).exceptAll(two).isEmpty()
+
+
+def test_levels_meet_in_one_shuffle(spark):
+    l1 = spark.createDataFrame([("a", "Allow"), ("b", "Quarantine"), (None, "Allow")], "transaction_id string, verdict string")
+    l2 = spark.createDataFrame([("b", "Allow"), ("c", "Challenge")], "transaction_id string, verdict string")
+    both = decisions.correlate_levels(l1, l2)
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(transaction_id") == 1 and "Join" not in plan
+    got = {r["transaction_id"]: (r["level1"] and r["level1"]["verdict"], r["level2"] and r["level2"]["verdict"]) for r in both.collect()}
+    assert got == {"a": ("Allow", None), "b": ("Quarantine", "Allow"), "c": (None, "Challenge")}
