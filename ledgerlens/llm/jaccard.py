@@ -14,12 +14,14 @@ pairs of r. The order is by how frequent signatures are in the corpus (a table o
 counts of fixed size), rare ones first, so passages that many documents share
 are enumerated only by documents that consist of little else.
 
-Documents with equal sets are one class. Classes that meet in a signature's
-bucket are candidates: all pairs of a small group; in a larger one every class
-with the group's first class. Candidates are compared as whole sets and joined to
-components (parity sketches exclude most others before that). Then, in larger groups that still hold several components, the pairs
-across components follow, unless sizes or parity sketches exclude them. So
-every link between different sets is either found or inside a component already.
+Documents with equal sets are one class. Of the classes that share a signature,
+each is a candidate with the first one: a star, not all pairs, so candidates grow with
+the members of groups. Candidates are compared as whole sets (parity sketches exclude
+most before that) and joined to components. Then, in groups that still hold
+several components, the pairs across components follow, unless sizes or parity
+sketches exclude them. So every link between different sets is either found or
+inside a component already. Components come by contraction: every round each node
+moves to its least neighbour and edges are drawn anew between what is left.
 
 Defined cases: null text is empty; a document without words is linked with
 nothing, not even with its like; rows without doc_id take part but never name a
@@ -31,14 +33,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import blocks, packs
 from ledgerlens.llm.shingles import ShingleSets, least_difference
 
 U = np.uint64
-SMALL_GROUP = 8
+_PAIRED = 8  # open groups up to this size are paired row by row, larger ones block by block
+_WORD = r"[^\x20\x09-\x0D]"
+_SALTS = 16  # the rows of a component are dealt over as many tasks
 _COUNTERS, _SLICES = 1 << 21, 64  # the table of signature counts, and the marks of candidates
 _SINGLE = 4096  # partitions of bands below 64 elements: every shingle is nearly alone
 _BLOCK = 1024  # classes that one task compares with a whole larger group
@@ -100,7 +104,7 @@ def _summed(slices: DataFrame) -> np.ndarray:
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """Rows of kinds doc (doc_id, n, class, its first half as name, parity) and slice (slice, counts)."""
+    """Rows of kinds doc (doc_id, key, n, class, its first half as name, parity) and slice (slice, counts)."""
     def measure(batches):
         counts = np.zeros(_COUNTERS, np.int64)
         for batch in batches:
@@ -110,20 +114,26 @@ def _classes(docs: DataFrame) -> DataFrame:
                 n = len(part)
                 names = np.column_stack(sets.digests())
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(["doc"] * n, pa.string()), part.column("doc_id"), pa.array(sets.sizes.astype(np.int64)),
+                    pa.array(["doc"] * n, pa.string()), part.column("doc_id"), part.column("key"), pa.array(sets.sizes.astype(np.int64)),
                     blocks.binary_column(list(names)), pa.array(names[:, 0].view(np.int64) if n else [], pa.int64()),
                     blocks.binary_column(sets.parities()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
                 ], names=names_)
         found = _sliced(counts)
         n = len(found)
         yield pa.RecordBatch.from_arrays([
-            pa.array(["slice"] * n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()),
-            pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array([i for i, _ in found], pa.int32()), pa.array([c for _, c in found], pa.binary()),
+            pa.array(["slice"] * n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()),
+            pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()),
+            pa.array([i for i, _ in found], pa.int32()), pa.array([c for _, c in found], pa.binary()),
         ], names=names_)
 
-    names_ = ["kind", "doc_id", "n", "class", "name", "parity", "slice", "counts"]
-    return docs.mapInArrow(
-        measure, "kind string, doc_id bigint, n bigint, class binary, name bigint, parity binary, slice int, counts binary")
+    names_ = ["kind", "doc_id", "key", "n", "class", "name", "parity", "slice", "counts"]
+    return docs.select("doc_id", "text", _key(F.col("text")).alias("key")).mapInArrow(
+        measure, "kind string, doc_id bigint, key string, n bigint, class binary, name bigint, parity binary, slice int, counts binary")
+
+
+def _key(text: Column) -> Column:
+    """Digest of a text, which with the id tells a row from others."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
 def _enumerated(docs: DataFrame, counts, buckets: int) -> DataFrame:
@@ -169,7 +179,7 @@ def _near_in_size(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _candidates(sent: DataFrame) -> DataFrame:
-    """Rows of kinds pair (a, b) and group (grp, members) for the larger groups."""
+    """Rows of kinds pair (a, b), a star for every group, and group (grp, members) for those of three and more."""
     def meet(key, table):
         sig = np.concatenate([np.frombuffer(v.as_buffer(), np.uint32) for v in table["signatures"]])
         name = np.concatenate([packs.u64(v) for v in table["names"]])
@@ -185,17 +195,10 @@ def _candidates(sent: DataFrame) -> DataFrame:
         sig, name, size = sig[several], name[several], size[several]
         first, ends = packs.runs(sig)
         length = _lengths(first, ends)
-        start, many = np.repeat(first, length), np.repeat(length, length)
-        at = np.arange(len(sig))
-        a, b = [start[many > SMALL_GROUP]], [at[many > SMALL_GROUP]]
-        for step in range(1, SMALL_GROUP):
-            left = np.flatnonzero((many <= SMALL_GROUP) & (at - start + step < many))
-            a.append(left)
-            b.append(left + step)
-        a, b = np.concatenate(a), np.concatenate(b)
+        a, b = np.repeat(first, length), np.arange(len(sig))
         good = (a != b) & _near_in_size(size[a], size[b])
         pairs = np.unique(np.column_stack([name[a[good]], name[b[good]]]), axis=0).view(np.int64)
-        large = np.flatnonzero(length > SMALL_GROUP)
+        large = np.flatnonzero(length > 2)
         n, m = len(pairs), len(large)
         bucket = key[0].as_py()
         return pa.table({
@@ -275,28 +278,41 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def components(links: DataFrame, work: packs.Work) -> DataFrame:
     """node and label (the least node reachable) of all nodes of links (u, v)."""
-    both = work.keep(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
-    labels = work.keep(both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("label")).withColumnRenamed("u", "node"), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        moved = labels.join(near, labels["node"] == near["u"]).select(
-            "node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        moved = work.keep(moved, "moved")
-        further = moved.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        jumped = work.keep(moved.join(further, "label", "left").select(
-            "node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
-        labels = jumped.select("node", "label")
-        if jumped.where("old <> label").isEmpty():
-            return labels
+    edges = work.keep(links.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+    rounds = []
+    while not edges.isEmpty():
+        # nodes are digests, so least neighbours are dealt at random and chains shrink by a share every round
+        ends = edges.select(F.col("v").alias("node"), F.col("u").alias("to")).unionByName(
+            edges.select(F.col("u").alias("node"), F.col("u").alias("to")))
+        moved = work.keep(ends.groupBy("node").agg(F.min("to").alias("label")), "moved")
+        rounds.append(moved)
+        of_u, of_v = (moved.select(F.col("node").alias(c), F.col("label").alias(f"new_{c}")) for c in "uv")
+        edges = work.keep(edges.join(of_u, "u").join(of_v, "v").where("new_u <> new_v").select(
+            F.least("new_u", "new_v").alias("u"), F.greatest("new_u", "new_v").alias("v")).distinct(), "edges")
+    if not rounds:
+        return links.select(F.col("u").alias("node"), F.col("v").alias("label")).limit(0)
+    labels = rounds[-1]
+    for moved in reversed(rounds[:-1]):
+        later = labels.select(F.col("node").alias("label"), F.col("label").alias("last"))
+        labels = _looked_up(moved, "label", "node", later, "left").select("node", F.coalesce("last", "label").alias("label"))
+    return work.keep(labels, "labels")
+
+
+def _looked_up(rows: DataFrame, key: str, of: str, found: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows joined with `found`, which has one row for each `key`; a key's rows are dealt over several tasks by `of`."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(of), F.lit(_SALTS)).cast("int"))
+    every = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return dealt.join(every, [key, "_salt"], how).drop("_salt")
 
 
 def _across(groups: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of different components inside the larger groups, unless sizes or parities exclude them."""
     def unfold(batches):
         for batch in batches:
-            for grp, members in zip(batch.column("grp").to_pylist(), batch.column("members"), strict=True):
-                names = packs.u64(members).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), grp)), pa.array(names)], names=["grp", "name"])
+            members = [v.as_buffer() for v in batch.column("members")]
+            grp = np.repeat(batch.column("grp").to_numpy(), [len(v) // 8 for v in members])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(grp), pa.array(np.frombuffer(b"".join(members), np.int64))], names=["grp", "name"])
 
     def cross(key, table):
         place = np.unique(np.array([v.as_py() for v in table["label"]], object), return_inverse=True)[1]
@@ -324,29 +340,43 @@ def _across(groups: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFra
 
     known = classes.join(labels, classes["class"] == labels["node"], "left").select(
         "name", "n", "parity", F.coalesce("label", "class").alias("label"))
-    rows = groups.mapInArrow(unfold, "grp bigint, name bigint").join(known, "name")
-    open_ = rows.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
-    rows = rows.join(open_.select("grp", "m"), "grp")
-    # a group of m goes to one task per _BLOCK members, each of which compares its own members with all
+    size = F.octet_length("members") / 8
+
+    def rows_of(some, *columns):
+        return some.mapInArrow(unfold, "grp bigint, name bigint").join(known.select("name", *columns), "name")
+
+    few = rows_of(groups.where(size <= _PAIRED), "n", "label").groupBy("grp").agg(
+        F.collect_list(F.struct("name", "n", "label")).alias("members"))
+    partners = F.transform("members", lambda x: F.transform(
+        F.filter("members", lambda y: (y["name"] > x["name"]) & (y["label"] != x["label"]) & _near_in_size(x["n"], y["n"])),
+        lambda y: F.struct(x["name"].alias("a"), y["name"].alias("b"))))
+    paired = few.select(F.inline(F.flatten(partners)))
+
+    large = groups.where(size > _PAIRED)
+    open_ = rows_of(large, "label").groupBy("grp").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
+    many = rows_of(large.join(open_.select("grp"), "grp", "left_semi"), "n", "parity", "label").join(open_.select("grp", "m"), "grp")
+
+    # a larger group of m goes to one task per _BLOCK members, each of which compares its own members with all
     shares = F.ceil(F.col("m") / _BLOCK).cast("int")
-    rows = rows.withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1))).withColumn(
+    many = many.withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1))).withColumn(
         "own", F.pmod(F.xxhash64("name"), shares) == F.col("share"))
-    return rows.select("grp", "share", "name", "n", "parity", "label", "own").groupBy("grp", "share").applyInArrow(
+    crossed = many.select("grp", "share", "name", "n", "parity", "label", "own").groupBy("grp", "share").applyInArrow(
         cross, "a bigint, others binary").groupBy("a").applyInArrow(once, "a bigint, b bigint")
+    return paired.unionByName(crossed).distinct()
 
 
-def linked_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row of (doc_id, text)."""
+def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, key, n, class) and labels (node, label) of the classes that have links."""
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
     work = packs.Work(spark, "jaccard")
     _, size = packs.corpus_size(docs)
     measured = work.keep(_classes(docs), "classes", by="kind")
-    rows = measured.where("kind = 'doc'").select("doc_id", "n", "class", "name", "parity")
+    rows = measured.where("kind = 'doc'").select("doc_id", "key", "n", "class", "name", "parity")
     counts = _summed(measured.where("kind = 'slice'").select("slice", "counts")).astype(np.uint32)
-    classes = rows.where("n > 0").groupBy("class").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("name").alias("name"),
-        F.first("parity").alias("parity"))
+    classes = work.keep(rows.where("n > 0").groupBy("class").agg(
+        F.first("n").alias("n"), F.first("name").alias("name"), F.first("parity").alias("parity")), "distinct")
 
     shared = spark.sparkContext.broadcast(counts)
     found = work.keep(_candidates(_enumerated(docs, shared, packs.parts_for(size))), "candidates", by="kind")
@@ -357,19 +387,55 @@ def linked_components(docs: DataFrame) -> DataFrame:
 
     groups = found.where("kind = 'group'").select("grp", "members")
     if not groups.isEmpty():
-        more = work.keep(_across(groups, classes, labels), "across")
+        more = work.keep(_possible(work.keep(_across(groups, classes, labels), "across"), classes), "pairs")
         if not more.isEmpty():
             labels = components(links.unionByName(work.keep(_compared(docs, more, work), "links")), work)
 
-    least = classes.join(labels, classes["class"] == labels["node"], "left").select(
-        "class", "doc_id", F.coalesce("label", "class").alias("label"))
-    of_label = least.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = least.join(of_label, "label").select("class", "component_id")
-    return rows.join(named, "class", "left").select(
+    return rows.select("doc_id", "key", "n", "class"), labels
+
+
+def _first_of(rows: DataFrame, labels: DataFrame, first: Column) -> DataFrame:
+    """class and, as the fields of `first`, the least row of all classes of its component.
+
+    Classes without links are components by themselves; the classes of a component are dealt over several tasks.
+    """
+    own = rows.where("n > 0").groupBy("class").agg(F.min(first).alias("first"))
+    alone = own.join(labels, own["class"] == labels["node"], "left_anti").select("class", "first")
+    linked = own.join(labels, own["class"] == labels["node"]).select("class", "first", "label")
+    of_label = linked.groupBy("label").agg(F.min("first").alias("first"))
+    return alone.unionByName(_looked_up(linked.drop("first"), "label", "class", of_label).select("class", "first")).select(
+        "class", "first.*")
+
+
+def linked_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row of (doc_id, text)."""
+    rows, labels = _labelled(docs)
+    named = _first_of(rows, labels, F.struct(F.col("doc_id").isNull().alias("without"), "doc_id"))
+    return rows.join(named.select("class", F.col("doc_id").alias("component_id")), "class", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs without words, and one row of each component of the others, with the columns they have.
+
+    Of a component the row with the least id stays (rows without id are last), of
+    equal ids the one with the least digest of its text, and of rows with the same id and
+    text the one with the least hash of all its columns.
+    """
+    rows, labels = _labelled(docs)
+    without = F.col("doc_id").isNull().alias("without")
+    kept = _first_of(rows, labels, F.struct(without, "doc_id", "key")).select(
+        F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key")).distinct()
+    # rows travel as one column, so that no name of theirs clashes
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), _key(F.col("text")).alias("own_key"),
+                      F.coalesce(F.col("text").rlike(_WORD), F.lit(False)).alias("worded"), F.xxhash64(*docs.columns).alias("turn"))
+    same = Window.partitionBy("own_id", "own_key").orderBy("turn")
+    first = own.where("worded").withColumn("at", F.row_number().over(same)).where("at = 1")
+    chosen = first.join(kept, first["own_id"].eqNullSafe(kept["kept_id"]) & (first["own_key"] == kept["kept_key"]), "left_semi")
+    return chosen.select("row.*").unionByName(own.where("not worded").select("row.*"))
+
+
 def _compared(docs: DataFrame, pairs: DataFrame, work: packs.Work) -> DataFrame:
     marks = docs.sparkSession.sparkContext.broadcast(_marked(pairs))
     sets = work.keep(_sets(docs, marks), "sets")
