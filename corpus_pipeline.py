@@ -1,18 +1,19 @@
 """From raw documents to encoded training data.
 
 Each stage takes (spark, docs, sf_dir) and works on every row that its predecessor
-kept. All but the last return the columns they got.
+kept. All but the last return the columns they got, whatever their names; null texts
+are empty; an empty table passes through.
 
 1. quality classifier: documents scored below the threshold go;
-2. near copies: of each component the document with the least id stays, and of
-   rows with that id the first by text;
+2. near copies: of each component one row stays, that with the least id (rows
+   without id last), then the least digest of its text; rows without words all stay;
 3. secrets: every stretch found is replaced by a mark;
 4. mixing: rows pass as often as the weights of their source ask, every source at
    least once;
 5. pieces: the three best segmentations of every text.
 """
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import factorisation, jaccard, mixing, pieces, secrets
@@ -23,31 +24,31 @@ ENTROPY, MOST_REPEATS = 0.9, 1.25
 _FOLD = 4
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs has not."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(remainder("doc_id", _FOLD) != 2)
-    scored = factorisation.scored(docs, factorisation.train(docs, labels), column="_score")
-    return scored.where(F.col("_score") >= factorisation.THRESHOLD).select(*docs.columns)
+    score = _fresh(docs, "score")
+    scored = factorisation.scored(docs, factorisation.train(docs, labels), column=score)
+    return scored.where(F.col(score) >= factorisation.THRESHOLD).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    # rows without an id stay, unless a row with one is linked to them
-    found = jaccard.linked_components(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
-    ids = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count()
-    if ids.where("count > 1").isEmpty():
-        return left
-    order = Window.partitionBy("doc_id").orderBy(*docs.columns)
-    return left.withColumn("_at", F.when(F.col("doc_id").isNotNull(), F.row_number().over(order)).otherwise(1)).where(
-        "_at = 1").select(*docs.columns)
+    return jaccard.without_near_copies(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = secrets.found_secrets(docs)
-    hit = F.size("secrets") > 0
-    changed = found.withColumn("text", F.when(hit, secrets.redacted(F.col("text"), F.col("secrets"))).otherwise(F.col("text")))
+    spans = _fresh(docs, "secrets")
+    found = secrets.found_secrets(docs, into=spans)
+    hit = F.size(spans) > 0
+    changed = found.withColumn("text", F.when(hit, secrets.redacted(F.col("text"), F.col(spans))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.when(hit, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
     return changed.select(*docs.columns)
