@@ -148,7 +148,9 @@ def bucket_of(transaction_id: Column) -> Column:
 
 
 def append_review_ids(spark: SparkSession, where: str, epoch: int, writer: str = BATCH) -> None:
-    """Ids of the reviews that an epoch has opened, taken from what it has written."""
+    """Ids of the reviews that an epoch has opened, taken from what it has written. A database has its index instead."""
+    if isinstance(where, dict):
+        return
     opened = read_epoch(spark, where, "manual_reviews", epoch, "transaction_id string", writer)
     opened.select("transaction_id", bucket_of(F.col("transaction_id")).alias("bucket")).write.mode("overwrite") \
         .parquet(f"{_folder(where, REVIEW_IDS)}/writer={writer}/epoch={epoch}")
@@ -161,13 +163,15 @@ def reviewed_ids(spark: SparkSession, where: str, escalated: DataFrame, epoch: i
     numbers of the buckets, BUCKETS at most, go through the driver. Reviews that a
     stream without this table has written are taken over once.
     """
+    own = (F.col("writer") == writer) & (F.col("epoch") >= epoch)
+    if isinstance(where, dict):
+        return read_table(spark, where, "manual_reviews").filter(~own).select("transaction_id")
     folder = _folder(where, REVIEW_IDS)
     if not segments.exists(spark, folder):
         before = read_table_before(spark, where, "manual_reviews", epoch, "transaction_id string", writer)
         segments.seed(before.select("transaction_id", bucket_of(F.col("transaction_id")).alias("bucket")), folder, "seed", "bucket")
     wanted = [r[0] for r in escalated.select(bucket_of(F.col("transaction_id")).alias("b")).distinct().collect()]
     schema = StructType.fromDDL("transaction_id string, bucket int, writer string, epoch int")
-    own = (F.col("writer") == writer) & (F.col("epoch") >= epoch)
     return read_table(spark, where, REVIEW_IDS, schema).filter(F.col("bucket").isin(wanted) & ~own).select("transaction_id")
 
 
