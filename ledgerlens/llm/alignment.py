@@ -1,10 +1,11 @@
 """Alignment of two tokenizers over the same bytes, and how often their ids meet in the corpus.
 
-Both token sequences of a text are cut at byte offsets. The ends of each sequence are
-a dictionary from end to index; the intersection of both key sets, sorted, gives the
-offsets where both have an end. They slice both id lists into groups, and each
-slice's links - the pairs whose byte ranges overlap - are expanded by themselves: all
-pairs if one side is a single token, else by walking along both.
+Both token sequences of a text are cut at byte offsets. The ends of one sequence are
+a dictionary from end to index, in which the ends of the other are looked up in
+rising order: so the offsets where both have an end come sorted, with their indices in
+both. They slice both id lists into groups, and each slice's links - the pairs whose
+byte ranges overlap - are expanded by themselves: all pairs if one side is a single
+token, else by walking along both.
 
 A pair's count is the number of documents that hold it. Texts are encoded once. Task
 by task, documents are closed into chunks of about CHUNK_BYTES; a chunk leaves one
@@ -28,7 +29,9 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,12 @@ _BATCH_BYTES = 1_000_000  # of text encoded at once
 RESULTS = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups string"
 _SHIFT = 32  # a pair is one number: id of the first tokenizer, then of the second
 
+# --- fixed value: how byte-level vocabularies cut a text before they merge -----------------------
+_CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# ------------------------------------------------------------------------------------------------
+# Both libraries class these characters alike, and neither runs out of stack.
+_PLAIN = re.compile(r"(?!.*\s{1000})[\x00-\u024f]*", re.DOTALL)
+
 
 def _byte_of_mark() -> dict[str, int]:
     """Byte-level vocabularies write each byte as a printable character: its own if it has one, else one from 256 on."""
@@ -52,7 +61,11 @@ def _byte_of_mark() -> dict[str, int]:
 
 
 class ByteLevel:
-    """A byte-level BPE file of the tokenizers library."""
+    """A byte-level BPE file of the tokenizers library.
+
+    Texts of Latin letters and signs are encoded by tiktoken with the merges of the file, in a
+    quarter of the time; all others, and files of another make, by the library itself. Ids are the same.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -61,15 +74,33 @@ class ByteLevel:
         self.coder = Tokenizer.from_file(path)
         self.coder.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
-            vocabulary = json.load(file)["model"]["vocab"]
-        byte = _byte_of_mark()
+            stated = json.load(file)
+        vocabulary, byte = stated["model"]["vocab"], _byte_of_mark()
         self.bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             if all(c in byte for c in token):
                 self.bytes[i] = bytes(byte[c] for c in token)
+        self.fast = self._ranked(stated)
+
+    def _ranked(self, stated):
+        """The same merges as ranks, if the file has them in the order of their ids and nothing but a byte-level cut before."""
+        model, before = stated["model"], stated.get("pre_tokenizer") or {}
+        merged = [model["vocab"].get("".join(m) if isinstance(m, list) else m.replace(" ", "")) for m in model["merges"]]
+        plain = (
+            before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+            and not stated.get("normalizer") and not model.get("dropout") and not model.get("ignore_merges")
+            and merged == list(range(256, 256 + len(merged))))
+        if not plain:
+            return None
+        import tiktoken
+
+        ranks = {self.bytes[i]: i for i in range(256 + len(merged))}
+        return tiktoken.Encoding("merges", pat_str=_CUT, mergeable_ranks=ranks, special_tokens={})
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        fast = [self.fast is not None and _PLAIN.fullmatch(t) is not None for t in texts]
+        others = iter(self.coder.encode_batch_fast([t for t, f in zip(texts, fast, strict=True) if not f], add_special_tokens=False))
+        return [np.array(self.fast.encode_ordinary(t) if f else next(others).ids, np.int64) for t, f in zip(texts, fast, strict=True)]
 
 
 class Pieces:
@@ -84,66 +115,88 @@ class Pieces:
             bytes([int(piece[3:-1], 16)]) if self.coder.is_byte(i) else piece.replace("▁", " ").encode()
             for i, piece in ((i, self.coder.id_to_piece(i)) for i in range(n))]
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return self.coder.encode(texts, num_threads=1)
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(ids, np.int64) for ids in self.coder.encode(texts, num_threads=1)]
 
 
 @lru_cache(maxsize=4)
 def _loaded(kind, path: str):
+    """Coder, the lengths of its tokens, and its ids as texts."""
     coder = kind(path)
-    return coder, np.array([len(b) for b in coder.bytes], np.int64), [str(i) for i in range(len(coder.bytes))]
+    lengths = np.array([len(b) for b in coder.bytes], np.int64)
+    return coder, lengths, np.array([str(i) for i in range(len(lengths))], object)
 
 
 def linked(ids_a: list[int], ends_a: list[int], ids_b: list[int], ends_b: list[int]) -> list[tuple[int, int]]:
     """Pairs of ids whose byte ranges overlap, in order, within a slice that begins and ends with both."""
-    if len(ids_a) == 1 or len(ids_b) == 1:
-        return [(a, b) for a in ids_a for b in ids_b]
     out, i, j = [], 0, 0
     while i < len(ids_a) and j < len(ids_b):
         out.append((ids_a[i], ids_b[j]))
-        if ends_a[i] <= ends_b[j]:
+        if ends_a[i] == ends_b[j]:
+            i, j = i + 1, j + 1
+        elif ends_a[i] < ends_b[j]:
             i += 1
         else:
             j += 1
     return out
 
 
+def _all_of(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The places begin[0] .. end[0] - 1, begin[1] .. end[1] - 1 and so on."""
+    n = end - begin
+    return np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
+
+
 class Alignment:
     """Groups and links of one text's two token sequences."""
 
-    def __init__(self, ids_a: list[int], ends_a: np.ndarray, ids_b: list[int], ends_b: np.ndarray):
-        self.ids_a, self.ids_b, self.ends_a, self.ends_b = ids_a, ids_b, ends_a.tolist(), ends_b.tolist()
-        at_a = dict(zip(self.ends_a, range(1, len(ids_a) + 1), strict=True))
-        at_b = dict(zip(self.ends_b, range(1, len(ids_b) + 1), strict=True))
-        common = sorted(at_a.keys() & at_b.keys())
-        self.cuts_a, self.cuts_b = [0, *map(at_a.__getitem__, common)], [0, *map(at_b.__getitem__, common)]
-
-    def slices(self):
-        """(from, to) in the first and in the second sequence, group by group."""
-        return zip(self.cuts_a, self.cuts_a[1:], self.cuts_b, self.cuts_b[1:], strict=False)
+    def __init__(self, ids_a: np.ndarray, ends_a: np.ndarray, ids_b: np.ndarray, ends_b: np.ndarray):
+        self.ids_a, self.ids_b, self.ends_a, self.ends_b = ids_a, ids_b, ends_a, ends_b
+        at_b = dict(zip(ends_b.tolist(), range(1, len(ids_b) + 1), strict=True))
+        cut = np.fromiter(map(at_b.get, ends_a.tolist(), repeat(0)), np.int64, len(ids_a))
+        self.cuts_a = np.flatnonzero(cut) + 1
+        self.cuts_b = cut[self.cuts_a - 1]
+        self.from_a, self.from_b = (np.concatenate([[0], cuts[:-1]]) for cuts in (self.cuts_a, self.cuts_b))
+        self.n_of_a, self.n_of_b = self.cuts_a - self.from_a, self.cuts_b - self.from_b
 
     @property
     def n_groups(self) -> int:
-        return len(self.cuts_a) - 1
+        return len(self.cuts_a)
+
+    def slices(self, which: np.ndarray):
+        """(from, to) in the first and in the second sequence, for the groups at the given places."""
+        return zip(*(x[which].tolist() for x in (self.from_a, self.cuts_a, self.from_b, self.cuts_b)), strict=True)
 
     def groups(self) -> list[tuple[list[int], list[int]]]:
-        return [(self.ids_a[a:b], self.ids_b[c:d]) for a, b, c, d in self.slices()]
-
-    def links(self) -> list[tuple[int, int]]:
-        out = []
-        for a, b, c, d in self.slices():
-            if b - a == 1 and d - c == 1:
-                out.append((self.ids_a[a], self.ids_b[c]))
-            else:
-                out += linked(self.ids_a[a:b], self.ends_a[a:b], self.ids_b[c:d], self.ends_b[c:d])
-        return out
-
-    def text(self, names_a: list[str], names_b: list[str]) -> str:
+        return [(self.ids_a[a:b].tolist(), self.ids_b[c:d].tolist()) for a, b, c, d in self.slices(np.arange(self.n_groups))]
+
+    def links(self) -> np.ndarray:
+        """Rows of two ids, in no order."""
+        one_a = self.n_of_a == 1  # one token beside one or several
+        one_b = ~one_a & (self.n_of_b == 1)
+        of_a = [np.repeat(self.ids_a[self.from_a[one_a]], self.n_of_b[one_a]), self.ids_a[_all_of(self.from_a[one_b], self.cuts_a[one_b])]]
+        of_b = [self.ids_b[_all_of(self.from_b[one_a], self.cuts_b[one_a])], np.repeat(self.ids_b[self.from_b[one_b]], self.n_of_a[one_b])]
+        others = np.flatnonzero(~one_a & ~one_b)
+        if len(others):
+            ids_a, ends_a, ids_b, ends_b = (x.tolist() for x in (self.ids_a, self.ends_a, self.ids_b, self.ends_b))
+            pairs = []
+            for a, b, c, d in self.slices(others):
+                pairs += linked(ids_a[a:b], ends_a[a:b], ids_b[c:d], ends_b[c:d])
+            several = np.array(pairs, np.int64)
+            of_a.append(several[:, 0])
+            of_b.append(several[:, 1])
+        return np.column_stack([np.concatenate(of_a), np.concatenate(of_b)])
+
+    def text(self, names_a: np.ndarray, names_b: np.ndarray) -> str:
         """`a1,a2|b1;a3|b2,b3`."""
-        shown_a, shown_b = [names_a[i] for i in self.ids_a], [names_b[i] for i in self.ids_b]
-        return ";".join([
-            f"{shown_a[a]}|{shown_b[c]}" if b - a == 1 and d - c == 1 else f"{','.join(shown_a[a:b])}|{','.join(shown_b[c:d])}"
-            for a, b, c, d in self.slices()])
+        shown_a, shown_b = names_a[self.ids_a], names_b[self.ids_b]
+        shown = (shown_a[self.from_a] + "|" + shown_b[self.from_b]).tolist()
+        several = np.flatnonzero((self.n_of_a > 1) | (self.n_of_b > 1))
+        if len(several):
+            shown_a, shown_b = shown_a.tolist(), shown_b.tolist()
+            for at, (a, b, c, d) in zip(several.tolist(), self.slices(several), strict=True):
+                shown[at] = f"{','.join(shown_a[a:b])}|{','.join(shown_b[c:d])}"
+        return ";".join(shown)
 
 
 def aligned(texts: list[str], coder_a, coder_b, length_a: np.ndarray, length_b: np.ndarray) -> list[Alignment | None]:
@@ -154,8 +207,8 @@ def aligned(texts: list[str], coder_a, coder_b, length_a: np.ndarray, length_b:
     out: list[Alignment | None] = [None] * len(texts)
     for i, ids_a, ids_b in zip(known, all_a, all_b, strict=True):
         whole = (" " + texts[i]).encode()
-        if (b"".join(map(coder_a.bytes.__getitem__, ids_a)) == whole
-                and b"".join(map(coder_b.bytes.__getitem__, ids_b)) == whole):
+        if (b"".join(map(coder_a.bytes.__getitem__, ids_a.tolist())) == whole
+                and b"".join(map(coder_b.bytes.__getitem__, ids_b.tolist())) == whole):
             out[i] = Alignment(ids_a, np.cumsum(length_a[ids_a]), ids_b, np.cumsum(length_b[ids_b]))
     return out
 
@@ -200,7 +253,7 @@ def _chunks(docs: DataFrame, path_a: str, path_b: str, chunk_bytes: int) -> Data
                         pairs.append(packs.coded(np.zeros(0, np.uint64)))
                         times.append(pairs[-1])
                         continue
-                    links = np.array(one.links(), np.int64).reshape(-1, 2)
+                    links = one.links()
                     distinct, n = np.unique((links[:, 0] << _SHIFT) | links[:, 1], return_counts=True)
                     numbers.append((len(one.ids_a), len(one.ids_b), one.n_groups, len(links)))
                     digests.append(hashlib.sha256(one.text(names_a, names_b).encode()).hexdigest())

@@ -1,6 +1,7 @@
 """Alignment of two tokenizers against overlaps of all token pairs, and the counts of a small corpus."""
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -26,7 +27,7 @@ def spans(coder, text):
     if b"".join(coder.bytes[i] for i in ids) != (" " + text).encode():
         return None
     ends = np.cumsum([len(coder.bytes[i]) for i in ids]).tolist()
-    return list(zip(ids, [0, *ends], ends))
+    return list(zip(ids.tolist(), [0, *ends], ends))
 
 
 def plain(text):
@@ -84,6 +85,21 @@ def test_vocabulary_bytes_are_all_bytes():
     assert {bytes([b]) for b in range(256)} <= set(CODERS[0].bytes)
 
 
+def test_both_encoders_give_the_same_ids():
+    coder, rng = CODERS[0], random.Random(1)
+    texts = [form.replace("?", chr(c)) for c in range(0x250) for form in ("a?b", " ? ", "??a", "1?2", "  ?", "'?s", "!?!", "\n?\n")]
+    signs = [chr(c) for c in range(0x250)] + list(" \n\t'.,abc012 ") * 20
+    texts += ["".join(rng.choices(signs, k=rng.randrange(1, 60))) for _ in range(3000)] + ["x" * 20_000, "a " * 5000]
+    assert coder.fast is not None and all(alignment._PLAIN.fullmatch(t) for t in texts)
+    assert [i.tolist() for i in coder.ids(texts)] == [e.ids for e in coder.coder.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_long_runs_of_space_and_other_scripts():
+    texts = [" " * 50_000, "a" + "\n" * 3000 + "b", "\u0100\u4e2d " * 50]
+    assert not any(alignment._PLAIN.fullmatch(t) for t in texts)
+    assert [sum(len(CODERS[0].bytes[i]) for i in ids) for ids in CODERS[0].ids(texts)] == [len(t.encode()) for t in texts]
+
+
 def test_odd_rows_and_empty_table(spark, odd):
     found = {(r.doc_id, r.n_a): r for r in alignment.aligned_documents(odd, BYTE_MODEL, MODEL).collect()}
     assert len(alignment.aligned_documents(odd, BYTE_MODEL, MODEL).collect()) == odd.count()
