@@ -40,7 +40,12 @@ def closing_row(spark: SparkSession, schema: StructType) -> DataFrame:
 
 
 def window_aggregate(tx: DataFrame, name: str) -> DataFrame:
-    """The batch aggregate over a watermarked stream. A window is emitted once the watermark passes its end."""
+    """The batch aggregate over a watermarked stream.
+
+    The windows that begin in one block of slots are emitted together, once the watermark passes the
+    end of the last of them: up to a window's width less one slide after their own. A late row counts
+    in all windows that are not emitted yet.
+    """
     aggregate, _ = WINDOWS[name]
     return aggregate(watermarked(tx))
 
@@ -48,21 +53,31 @@ def window_aggregate(tx: DataFrame, name: str) -> DataFrame:
 def window_join(tx: DataFrame, name: str) -> DataFrame:
     """Each transaction with the windows that hold it, as a stream.
 
-    Streams can only join on equal, watermarked keys, so the row is given its
-    windows first and both sides meet on (user, window). One query per window:
-    a chain of two windows would carry two event-time columns. Only the windows
-    are watermarked, not the rows: a row later than the watermark finds its windows
+    Streams can only join on equal, watermarked keys, so the row is given its two
+    spans first and both sides meet on (user, span); its windows are unfolded from
+    what the join emits, so state holds a row twice, not once per window. One query per
+    window: a chain of two windows would carry two event-time columns. Only the spans
+    are watermarked, not the rows: a row later than the watermark finds its spans
     closed and is emitted without statistics. A row without time has no window and
     is emitted once, without statistics.
     """
-    _, size_slide = WINDOWS[name]
-    stats = window_aggregate(tx, name)
-    rows = tx.filter(F.col("timestamp").isNotNull()).withColumn("window", hopping.hop(size_slide))
-    joined = rows.join(stats, ["user_id", "window"], "left")
-    joined = joined.unionByName(tx.filter(F.col("timestamp").isNull()), allowMissingColumns=True)
+    _, (size, slide) = WINDOWS[name]
+    hops, source = size // slide, watermarked(tx)
     if name == "stats_24h":
-        return hopping.amount_zscore(joined)
-    return hopping.default_counts(joined, "tx_count" if name == "count_1h" else "tx_count_1min")
+        found, values = hopping.span_stats(source), ["mean_amount", "stddev_amount"]
+        held = [F.col(f"_windows.{v}").alias(f"_{v}") for v in values]
+    else:
+        found, values = hopping.span_counts(source, (size, slide)), ["tx_count" if name == "count_1h" else "tx_count_1min"]
+        held = [F.col("_windows").alias(f"_{values[0]}")]
+    rows = tx.filter(F.col("timestamp").isNotNull()).withColumn("span", hopping.span((size, slide)))
+    joined = rows.join(found.select("user_id", "span", *held), ["user_id", "span"], "left")
+    place = hopping.place_in_span(slide)
+    starts = F.sequence(F.greatest(place - (hops - 1), F.lit(0)), F.least(place, F.lit(hops - 1)))
+    unfolded = joined.withColumn("_i", F.explode_outer(starts)).select(
+        *tx.columns, hopping.window_in_span(F.col("_i"), (size, slide)).alias("window"),
+        *[F.get(f"_{v}", F.col("_i").cast("int")).alias(v) for v in values],
+    ).unionByName(tx.filter(F.col("timestamp").isNull()), allowMissingColumns=True)
+    return hopping.amount_zscore(unfolded) if name == "stats_24h" else hopping.default_counts(unfolded, *values)
 
 
 def parsed_transactions(messages: DataFrame) -> DataFrame:

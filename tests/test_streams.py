@@ -203,3 +203,16 @@ def test_window_join_keeps_late_and_timeless_rows(spark, tmp_path, name, count,
     assert len(out) == 5 * hops + 1  # and nothing of the closing row
     if name == "count_1h":
         assert {r[2] for r in out if r[0] in ("1", "1b")} == {2}
+
+
+@pytest.mark.parametrize(("name", "hops"), [("stats_24h", 24), ("count_1h", 12), ("count_1min", 6)])
+def test_state_holds_a_transaction_by_spans_not_by_windows(spark, tmp_path, name, hops):
+    base = dt.datetime(2024, 1, 1, 0, 30)
+    rows = [(str(i), f"u{i % 3}", float(i), "x", base + dt.timedelta(minutes=37 * i), "N", "d", False) for i in range(60)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = stream_session(spark).readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")
+    query = windows.window_join(stream, name).writeStream.format("parquet").outputMode("append") \
+        .option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start(f"{tmp_path}/out")
+    query.awaitTermination()
+    join = [s for p in query.recentProgress for s in p["stateOperators"] if "Join" in s["operatorName"]]
+    assert 0 < sum(s["numRowsUpdated"] for s in join) <= 4 * len(rows) < hops * len(rows)
