@@ -66,6 +66,22 @@ def test_hopping_chain_equals_brute_force(smoke):
     assert {tuple(r)[:4]: r["count"] for r in got} == expected
 
 
+def test_hopping_totals_add_up_the_chain_and_move_each_transaction_once(spark):
+    df = random_transactions(spark, 60, 5)
+    df = df.unionByName(df.filter("transaction_id = '1'"))
+    names = ["transaction_id", "feature_rows", "z", "transactions_last_hour", "tx_count_1min", "highest_product"]
+    expected = hopping.hopping_features(df).groupBy("transaction_id").agg(
+        F.count("*").alias("feature_rows"), F.round(F.avg("amount_zscore"), 6).alias("z"),
+        F.sum("transactions_last_hour").alias("transactions_last_hour"), F.sum("tx_count_1min").alias("tx_count_1min"),
+        F.max(F.col("transactions_last_hour") * F.col("tx_count_1min")).alias("highest_product"))
+    totals = hopping.hopping_totals(df)
+    got = totals.withColumn("z", F.round("amount_zscore", 6)).select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, expected.select(*names).collect()))
+    text = hopping.hopping_features(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert max(i for i, line in enumerate(text.splitlines()) if "Generate explode" in line) < min(
+        i for i, line in enumerate(text.splitlines()) if "Join " in line)  # unfolded above all joins
+
+
 def random_transactions(spark, n, seed):
     """Few users, clustered times with exact ties, equal amounts, missing users, times and amounts."""
     rng = random.Random(seed)
