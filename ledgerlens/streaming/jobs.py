@@ -6,6 +6,7 @@ so that a repeated batch replaces its tables rows instead of adding to them, and
 jobs do not replace each other's. Topics are at-least-once.
 """
 
+import contextlib
 import datetime as dt
 import threading
 
@@ -18,6 +19,26 @@ from ledgerlens.sources import segments, tables, topics
 from ledgerlens.streaming.windows import features_of_batch
 
 
+# --- fixed value: rows of a batch that one task of its shuffles gets, about ---------
+_TASK_ROWS = 100_000
+# ----------------------------------------------------------------------------
+
+
+@contextlib.contextmanager
+def shuffle_by_rows(spark, rows: int):
+    """As many shuffle partitions as a batch of so many rows needs, at least those set.
+
+    A stream's session sets one per core, and adaptive execution only merges partitions: a task would get ever more rows.
+    """
+    name = "spark.sql.shuffle.partitions"
+    usual = spark.conf.get(name)
+    spark.conf.set(name, str(max(int(usual), -(-rows // _TASK_ROWS))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, usual)
+
+
 def _now():
     """The time of a batch, the same in all of its writes."""
     return F.lit(dt.datetime.now(dt.timezone.utc))
@@ -35,11 +56,13 @@ def start(stream: DataFrame, process, checkpoint: str, available_now: bool = Fal
     def run(batch: DataFrame, epoch: int):
         held = batch.persist()
         try:
-            if not held.isEmpty():
+            rows = held.count()
+            if rows:
                 started.wait()
                 for name in compacted if epoch % segments.FAN == 0 else ():
                     tables.compact_table(batch.sparkSession, table_where, name, writer_ids[0], epoch)
-                process(held, epoch, writer_ids[0])
+                with shuffle_by_rows(batch.sparkSession, rows):
+                    process(held, epoch, writer_ids[0])
         finally:
             held.unpersist()
 

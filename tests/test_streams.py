@@ -216,3 +216,19 @@ def test_state_holds_a_transaction_by_spans_not_by_windows(spark, tmp_path, name
     query.awaitTermination()
     join = [s for p in query.recentProgress for s in p["stateOperators"] if "Join" in s["operatorName"]]
     assert 0 < sum(s["numRowsUpdated"] for s in join) <= 4 * len(rows) < hops * len(rows)
+
+
+def test_shuffles_of_a_batch_follow_its_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "_TASK_ROWS", 10)
+    spark.range(1000).write.parquet(f"{tmp_path}/in")
+    session = stream_session(spark)
+    usual, seen = int(session.conf.get("spark.sql.shuffle.partitions")), []
+
+    def process(batch, epoch, writer):
+        seen.append(int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    jobs.start(session.readStream.schema("id bigint").parquet(f"{tmp_path}/in"), process, f"{tmp_path}/cp",
+               available_now=True).awaitTermination()
+    assert seen == [100] and usual < 100
+    with jobs.shuffle_by_rows(session, 5):
+        assert int(session.conf.get("spark.sql.shuffle.partitions")) == usual
