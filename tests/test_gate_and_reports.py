@@ -169,6 +169,17 @@ def test_train_evaluate_register(spark, tmp_path):
         learning.evaluate_model(model, holdout).collect()
 
 
+def test_fits_read_as_many_files_as_their_rows_need(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(learning, "_FIT_ROWS", 100)
+    train = spark.range(1000).select(
+        F.col("id").cast("string").alias("review_id"), *[F.rand(i).alias(c) for i, c in enumerate(learning.FEATURES)],
+        (F.col("id") % 2).cast("int").alias("label"))
+    learning.train_candidates(
+        train, str(tmp_path), candidates={"random_forest": learning.default_candidates(2, 2)["random_forest"]}, k=2)
+    cores = spark.sparkContext.defaultParallelism
+    assert len(list(tmp_path.glob("folded/*/*.parquet"))) == min(10, cores)
+
+
 def test_stages_and_the_model_in_production(spark, tmp_path):
     where = str(tmp_path)
     rows = spark.range(80).select(F.col("id").cast("double").alias("amount"), F.lit(0.1).alias("level1_score"),
